@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F
+
+# Workers need not have this package installed: the helpers travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -91,11 +98,19 @@ def lexical_similarity_of(a: str, b: str) -> float:
     return (weighted_ratio(a, b) + token_sort_ratio(a, b)) / 200.0
 
 
-@F.pandas_udf("double")
-def lexical_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((lexical_similarity_of(a, b) for a, b in zip(left, right)), float, len(left)))
+def _pairwise(measure: Callable[[str, str], float], left: Column, right: Column) -> Column:
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((measure(x, y) for x, y in zip(a, b)), float, len(a)))
+
+    batch.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "double")(left, right)
+
+
+def lexical_similarity(left: Column, right: Column) -> Column:
+    """Mean of the weighted and the token-sort ratio, 0 to 1 (for pairs of names)."""
+    return _pairwise(lexical_similarity_of, left, right)
 
 
-@F.pandas_udf("double")
-def indel_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((indel_ratio(a, b) for a, b in zip(left, right)), float, len(left)))
+def indel_similarity(left: Column, right: Column) -> Column:
+    """Ratio 0 to 100 (for pairs that a join has already brought together)."""
+    return _pairwise(indel_ratio, left, right)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +23,11 @@ _FLOAT = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when a lambda uses it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -183,16 +189,16 @@ def squeezed_name(c: Column) -> Column:
 
 def name_runs(c: Column) -> Column:
     """Every run of 1 to 10 consecutive words, joined without spaces."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    starts = F.sequence(F.lit(1), F.size(words))
-    runs = F.transform(
-        starts,
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(V.MAX_NAME_WORDS), F.size(words) - s + 1)),
-            lambda n: F.array_join(F.slice(words, s, n), ""),
-        ),
-    )
-    return F.when(F.size(words) > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+    def runs(words: Column) -> Column:
+        return F.flatten(F.transform(
+            words,
+            lambda _, s: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(V.MAX_NAME_WORDS), F.size(words) - s)),
+                lambda n: F.array_join(F.slice(words, s + 1, n), ""),
+            ),
+        ))
+
+    return let(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), runs)
 
 
 def rename_words(c: Column, names: dict[str, str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesense import values as V
-from tablesense.functions.text import strip
+from tablesense.functions.text import let, strip
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,9 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 def grams(text: Column) -> Column:
     """Trigrams of the padded text, then each whole word marked at both ends."""
     padded = F.concat(F.lit("  "), strip(F.lower(text)), F.lit("  "))
-    tri = F.transform(
-        F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3))
-    )
+    tri = let(padded, lambda p: F.transform(
+        F.sequence(F.lit(1), F.length(p) - 2), lambda i: p.substr(i, F.lit(3))
+    ))
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     return F.concat(tri, F.transform(words, lambda w: F.concat(F.lit("__"), w, F.lit("__"))))
 
@@ -67,11 +67,13 @@ def dense_vector(text: Column, dim: int = V.VECTOR_DIM) -> Column:
             F.slice(acc, p["b"] + 2, F.lit(dim) - p["b"] - 1),
         ),
     )
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(
-        F.length(strip(text)) >= 0,
-        F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float")),
-    )
+
+    def scaled(weights: Column) -> Column:
+        norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.transform(
+            weights, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
+
+    return F.when(text.isNotNull(), let(sums, scaled))
 
 
 def name_similarity(left: Column, right: Column, dim: int = V.VECTOR_DIM) -> Column:
@@ -87,6 +89,9 @@ def name_similarity(left: Column, right: Column, dim: int = V.VECTOR_DIM) -> Col
             ),
         )
 
-    a, b = sparse(left), sparse(right)
-    norms = F.sqrt(product(a, a).cast("double") * product(b, b).cast("double"))
-    return F.coalesce(F.when(norms > 0, product(a, b) / norms), F.lit(0.0))
+    def similarity(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        norms = F.sqrt(product(a, a).cast("double") * product(b, b).cast("double"))
+        return F.coalesce(F.when(norms > 0, product(a, b) / norms), F.lit(0.0))
+
+    return let(F.struct(sparse(left).alias("a"), sparse(right).alias("b")), similarity)

@@ -114,11 +114,9 @@ def value_masks(tables: Mapping[str, DataFrame], refs: list[ColumnRef], group: s
     Numeric and datetime columns are compared natively, text columns as trimmed text.
     """
     words = _words(len(refs))
-    cast = {"numeric": "decimal(20,0)", "datetime": "timestamp_ntz"}.get(group, "string")
-    if group == "numeric" and all(
-        isinstance(r.data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for r in refs
-    ):
-        cast = "bigint"
+    cast = {"numeric": "bigint", "datetime": "timestamp_ntz"}.get(group, "string")
+    if group == "numeric" and not all(isinstance(r.data_type, T.IntegralType) for r in refs):
+        cast = "string"  # whole floats must equal integers, digit for digit
     slot = {r.cid: i for i, r in enumerate(refs)}
     parts = []
     for name, df in tables.items():
@@ -129,7 +127,7 @@ def value_masks(tables: Mapping[str, DataFrame], refs: list[ColumnRef], group: s
             F.struct(
                 *[F.lit((1 << (slot[r.cid] % WORD)) if slot[r.cid] // WORD == k else 0).cast("bigint").alias(w)
                   for k, w in enumerate(words)],
-                (equality_key(F.btrim(F.col(f"`{r.column}`").cast("string"))) if cast == "string"
+                (equality_key(F.btrim(cell_text(F.col(f"`{r.column}`"), r.data_type))) if cast == "string"
                  else F.col(f"`{r.column}`").cast(cast)).alias("value"),
             )
             for r in mine
