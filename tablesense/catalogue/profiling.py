@@ -201,7 +201,7 @@ WITH types AS ({TYPES}),
 samples AS ({S.union(f"SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t} GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 20)" for t, c, k in ALL)}),
 hits AS (SELECT t.table_name, t.column_name, r.rank, r.label FROM types t, {rule_rows()}
   WHERE (len(allowed) = 0 OR list_contains(allowed, t.column_type))
-  AND (len(words) = 0 OR len(list_filter(words, w -> CASE WHEN contains(w, '_') THEN contains(t.column_name, w) ELSE list_contains(string_split(t.column_name, '_'), w) END)) > 0)
+  AND (len(words) = 0 OR len(list_filter(words, lambda w: CASE WHEN contains(w, '_') THEN contains(t.column_name, w) ELSE list_contains(string_split(t.column_name, '_'), w) END)) > 0)
   AND (pattern IS NULL OR (SELECT avg(CASE WHEN regexp_matches(s.value, pattern) THEN 1.0 ELSE 0 END) FROM samples s WHERE s.table_name = t.table_name AND s.column_name = t.column_name) >= share))
 SELECT t.table_name, t.column_name, coalesce(h.label, 'unknown') AS taxonomy_label FROM types t
 LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY rank) = 1) h USING (table_name, column_name)"""

@@ -8,7 +8,7 @@ from tablesense import values as V
 from tablesense.functions.text import collapse_spaces, strip
 
 #: A cheap test every format satisfies; most text never reaches a parser.
-_DATE_LIKE = r"^[0-9A-Za-z][0-9A-Za-z ,./:\s-]{5,24}$"
+_DATE_LIKE = r"^(\d{1,4}[-/.\s]|[A-Za-z]{3}\s+\d)"
 
 
 def parse_with(c: Column, name: str) -> Column:
@@ -29,7 +29,7 @@ def parse_date(c: Column, formats: tuple[str, ...] = V.DATE_FORMAT_NAMES) -> Col
     if not formats:
         return F.lit(None).cast("timestamp_ntz")
     return F.when(
-        text.rlike(_DATE_LIKE) & text.rlike(r"\d"), F.coalesce(*[parse_with(text, f) for f in formats])
+        text.rlike(_DATE_LIKE), F.coalesce(*[parse_with(text, f) for f in formats])
     )
 
 
@@ -40,7 +40,7 @@ def matching_formats(c: Column) -> Column:
         F.when(parse_with(text, name).isNotNull(), F.lit(i))
         for i, name in enumerate(V.DATE_FORMAT_NAMES)
     ]))
-    return F.when(text.rlike(_DATE_LIKE) & text.rlike(r"\d"), hits).otherwise(F.array().cast("array<int>"))
+    return F.when(text.rlike(_DATE_LIKE), hits).otherwise(F.array().cast("array<int>"))
 
 
 def format_date(c: Column, formats: tuple[str, ...], target: str = "yyyy-MM-dd") -> Column:

@@ -17,6 +17,8 @@ WHITESPACE = "".join(
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Decimal digits of other scripts, mapped to ASCII before a numeric parse.
 _DIGIT_SCRIPTS = "".join(chr(z + i) for z in (0x0660, 0x06F0, 0x0966, 0x09E6, 0xFF10) for i in range(10))
+#: Every character a number can be written with; prose fails at its first other letter.
+_NUMBER_LETTERS = r"(?U)^[\s\x1c-\x1f\p{Nd}.,+()_eE৳$£€₹¥₦RTKktiInNfFyY-]+$"
 _FLOAT = (
     r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
     r"|^[+-]?(?i:inf|infinity)$"
@@ -66,7 +68,8 @@ def strip_currency(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Double, or null: one guarded cast, so no suffix letters are read as numbers."""
     text = strip_currency(F.translate(c, _DIGIT_SCRIPTS, "0123456789" * 5))
-    return F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    number = F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+    return F.when(c.rlike(_NUMBER_LETTERS), number)
 
 
 def to_plain_number(c: Column) -> Column:

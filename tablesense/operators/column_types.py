@@ -122,7 +122,9 @@ def column_types(spark: SparkSession, tables: Mapping[str, DataFrame], symbols:
     """
     refs = column_refs(tables)
     counts = counts if counts is not None else value_counts(tables, refs)
+    # One row per column: computed once, then reasoned about as a catalogue.
     evidence = type_evidence(counts, refs)
+    evidence = spark.createDataFrame(evidence.collect(), evidence.schema)
     steady = _steady(counts, evidence)
     by_cid = {r.cid: (symbols or {}).get((r.table, r.column)) for r in refs}
     facts = column_catalogue(spark, refs).join(evidence, "cid", "left")

@@ -29,15 +29,17 @@ def _delete_one(variants: Column) -> Column:
 
 def _variants(df: DataFrame, depth: int) -> DataFrame:
     """(value, deleted, variant digest) with up to ``depth`` characters removed."""
-    levels = [F.array("value")]
     current = df
     for k in range(1, depth + 1):
         current = current.withColumn(f"_v{k}", _delete_one(F.col(f"_v{k - 1}") if k > 1 else F.array("value")))
-    sets = [F.transform(levels[0], lambda t: F.struct(F.lit(0).alias("deleted"), F.xxhash64(t).alias("variant")))]
+
+    def digests(texts: Column, k: int) -> Column:
+        return F.transform(texts, lambda t: F.struct(F.lit(k).alias("deleted"), F.xxhash64(t).alias("variant")))
+
+    sets = [digests(F.array("value"), 0)]
     for k in range(1, depth + 1):
-        sets.append(F.transform(
-            F.when(F.length("value") > k, F.col(f"_v{k}")).otherwise(F.array().cast("array<string>")),
-            lambda t, k=k: F.struct(F.lit(k).alias("deleted"), F.xxhash64(t).alias("variant"))))
+        some = F.when(F.length("value") > k, F.col(f"_v{k}")).otherwise(F.array().cast("array<string>"))
+        sets.append(digests(some, k))
     return current.select("value", F.inline(F.concat(*sets)))
 
 

@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablesense.session import family, is_fractional, is_scalar
+from tablesense.session import family, is_fractional, is_scalar, spread
 
 #: Column flags per 64-bit word (the sign bit is left alone).
 WORD = 62
@@ -89,7 +89,8 @@ def long_cells(df: DataFrame, refs: list[ColumnRef]) -> DataFrame:
         F.struct(F.lit(r.cid).alias("cid"), cell_text(F.col(f"`{r.column}`"), r.data_type).alias("value"))
         for r in refs
     ])
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    narrow = df.select(*[F.col(f"`{r.column}`") for r in refs])
+    return spread(narrow).select(F.inline(cells)).where(F.col("value").isNotNull())
 
 
 def value_counts(tables: Mapping[str, DataFrame], refs: list[ColumnRef] | None = None) -> DataFrame:
@@ -132,7 +133,8 @@ def value_masks(tables: Mapping[str, DataFrame], refs: list[ColumnRef], group: s
             )
             for r in mine
         ])
-        parts.append(df.select(F.inline(cells)).where(F.col("value").isNotNull()))
+        narrow = df.select(*[F.col(f"`{r.column}`") for r in mine])
+        parts.append(spread(narrow).select(F.inline(cells)).where(F.col("value").isNotNull()))
     cells = reduce(DataFrame.unionAll, parts)
     return cells.groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
 

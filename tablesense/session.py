@@ -86,6 +86,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, floor_bytes: int = 1 << 20) -> DataFrame:
+    """Split an input that arrives in fewer partitions than there are cores.
+
+    A table stored as one unsplittable piece would run all per-cell work in one
+    task.  Inputs that already have a partition per core, as any large table
+    does, are returned untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) < floor_bytes:
+        return df
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts * 2 <= cores else df
+
+
 def metadata_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of metadata rows (one per column or table), never of data rows."""
     return spark.createDataFrame(rows, schema)
