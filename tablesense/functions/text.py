@@ -17,6 +17,9 @@ WHITESPACE = "".join(
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Decimal digits of other scripts, mapped to ASCII before a numeric parse.
 _DIGIT_SCRIPTS = "".join(chr(z + i) for z in (0x0660, 0x06F0, 0x0966, 0x09E6, 0xFF10) for i in range(10))
+#: One sign is removed; ``$`` goes before ``R$`` does, which leaves the R and no number.
+_SYMBOLS = "(?:" + "|".join(r"\Q" + s + r"\E" for s in V.CURRENCY_SYMBOLS if s != "R$") + ")"
+_TWO_SYMBOLS = rf"({_SYMBOLS[3:-1]}).*(?!\1){_SYMBOLS}"
 #: Every character a number can be written with; prose fails at its first other letter.
 _NUMBER_LETTERS = r"(?U)^[\s\x1c-\x1f\p{Nd}.,+()_eE৳$£€₹¥₦RTKktiInNfFyY-]+$"
 _FLOAT = (
@@ -60,16 +63,20 @@ def currency_symbol(c: Column) -> Column:
 def strip_currency(c: Column) -> Column:
     """Text without one currency symbol, spaces and thousands commas; ``(x)`` as ``-x``."""
     compact = F.regexp_replace(c, _SPACE, "")
-    bare = F.replace(compact, F.coalesce(currency_symbol(compact), F.lit("")), F.lit(""))
-    signed = F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
+    return _undecorated(let(compact, lambda k: F.replace(k, F.coalesce(currency_symbol(k), F.lit("")), F.lit(""))))
+
+
+def _undecorated(text: Column) -> Column:
+    signed = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
     return F.regexp_replace(signed, r"(?<=\d),(?=\d{3}\b)", "")
 
 
 def to_number(c: Column) -> Column:
     """Double, or null: one guarded cast, so no suffix letters are read as numbers."""
-    text = strip_currency(F.translate(c, _DIGIT_SCRIPTS, "0123456789" * 5))
-    number = F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    return F.when(c.rlike(_NUMBER_LETTERS), number)
+    bare = F.regexp_replace(F.translate(c, _DIGIT_SCRIPTS, "0123456789" * 5), rf"{_SPACE}|{_SYMBOLS}", "")
+    number = F.regexp_extract(_undecorated(bare), _FLOAT, 0)
+    readable = c.rlike(_NUMBER_LETTERS) & ~c.rlike(_TWO_SYMBOLS)
+    return F.when(readable, F.replace(number, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def to_plain_number(c: Column) -> Column:

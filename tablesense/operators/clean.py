@@ -16,7 +16,8 @@ def rank_date_formats(counts: DataFrame) -> DataFrame:
     """(cid, format, hits, rank): which spelling explains most distinct values of a column."""
     names = F.array(*[F.lit(f) for f in V.DATE_FORMAT_NAMES])
     hits = (
-        counts.select("cid", F.explode(dates.matching_formats(F.col("value"))).alias("pos"))
+        counts.select("cid", X.strip(F.col("value")).alias("text"))
+        .select("cid", F.explode(dates.matching_formats(F.col("text"))).alias("pos"))
         .groupBy("cid", "pos").agg(F.count(F.lit(1)).alias("hits"))
     )
     w = Window.partitionBy("cid").orderBy(F.desc("hits"), "pos")
@@ -31,19 +32,19 @@ def text_refs(tables: Mapping[str, DataFrame]) -> list[ColumnRef]:
 
 def column_evidence(counts: DataFrame) -> DataFrame:
     """Per column: weighted hits of every reading, in one aggregate over value counts."""
-    v, n = F.col("value"), F.col("n")
-    blank = X.is_null_token(v)
-    text = X.strip(v)
+    n = F.col("n")
 
     def total(when: Column) -> Column:
         return F.coalesce(F.sum(F.when(when, n)), F.lit(0))
 
-    marked = counts.select(
-        "cid", "n", "value", blank.alias("blank"), (text != v).alias("untrimmed"),
-        F.when(~blank, X.parse_percent(text)).alias("percent"), F.when(~blank, X.to_number(text)).alias("number"),
-        (~blank & X.is_zero_padded(text)).alias("padded"),
-        F.when(~blank, X.currency_symbol(text)).alias("symbol"),
-        F.when(~blank, dates.parse_date(text)).alias("moment"),
+    # Two projections: the trimmed text is computed once and read many times.
+    trimmed = counts.select("cid", "n", "value", X.strip(F.col("value")).alias("text"))
+    text, filled = F.col("text"), ~F.col("blank")
+    marked = trimmed.select("*", F.lower("text").isin(*V.NULL_TOKENS).alias("blank")).select(
+        "cid", "n", "blank", (text != F.col("value")).alias("untrimmed"),
+        F.when(filled, X.parse_percent(text)).alias("percent"), F.when(filled, X.to_number(text)).alias("number"),
+        (filled & X.is_zero_padded(text)).alias("padded"), F.when(filled, X.currency_symbol(text)).alias("symbol"),
+        F.when(filled, dates.parse_trimmed(text)).alias("moment"),
     )
     c = F.col
     symbols = [total(c("symbol") == s).alias(f"s{i}") for i, s in enumerate(V.CURRENCY_SYMBOLS)]
@@ -117,23 +118,25 @@ def markers_kept(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def clean_table(df: DataFrame, name: str = "table") -> tuple[DataFrame, DataFrame]:
     """(cleaned table, report).  One small row per column reaches the driver."""
-    report = clean_report({name: df})
-    rules = {r.column_name: r for r in report.collect()}
+    found = clean_report({name: df})
+    rows = found.collect()
+    rules = {r.column_name: r for r in rows}
+    report = df.sparkSession.createDataFrame(rows, found.schema)
+    texts = set(rules)
+    trimmed = df.select(*[
+        X.normalise_text(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
     out = []
-    for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
-        rule = rules.get(field.name)
-        if rule is None:
-            out.append(c)
-            continue
-        text = X.normalise_text(c)
-        cleaned = {
-            "percent": lambda: X.parse_percent(text),
-            "numeric": lambda: X.to_number(text).try_cast("bigint") if rule.whole else X.to_number(text),
-            "date": lambda: dates.parse_date(text, tuple(rule.date_formats)),
-        }.get(rule.kind, lambda: text)()
-        out.append(cleaned.alias(field.name))
-    return df.select(*out), report
+    for c in df.columns:
+        rule, text = rules.get(c), F.col(f"`{c}`")
+        kind = rule.kind if rule else "typed"
+        if kind == "percent":
+            text = X.parse_percent(text)
+        elif kind == "numeric":
+            text = X.to_number(text).try_cast("bigint") if rule.whole else X.to_number(text)
+        elif kind == "date":
+            text = dates.parse_trimmed(text, tuple(rule.date_formats))
+        out.append(text.alias(c))
+    return trimmed.select(*out), report
 
 
 def drop_empty_edges(df: DataFrame) -> DataFrame:

@@ -26,13 +26,13 @@ def type_evidence(counts: DataFrame, refs: list[ColumnRef]) -> DataFrame:
     for group in kind:
         ids = [r.cid for r in refs if r.family == group]
         kind[group] = F.col("cid").isin(ids) if ids else F.lit(False)
-    v, n = X.strip(F.col("value")), F.col("n")
-    word = F.lower(v)
-    truth = word.isin(*V.BOOLEAN_TRUE, *V.BOOLEAN_FALSE)
+    v = F.col("v")
+    trimmed = counts.select("cid", "n", "value", X.strip(F.col("value")).alias("v"))
+    worded = trimmed.select("*", F.lower("v").alias("word"))
     number = F.when(kind["numeric"], F.col("value").try_cast("double")).when(kind["text"], X.to_number(v))
-    marked = counts.select(
-        "cid", "n", v.alias("v"), truth.alias("truth"), word.alias("word"), number.alias("number"),
-        (kind["text"] & dates.parse_date(v).isNotNull()).alias("date"),
+    marked = worded.select(
+        "cid", "n", "v", "word", F.col("word").isin(*V.BOOLEAN_TRUE, *V.BOOLEAN_FALSE).alias("truth"), number.alias("number"),
+        (kind["text"] & dates.parse_trimmed(v).isNotNull()).alias("date"),
         (kind["text"] & X.is_zero_padded(v)).alias("padded"), (kind["text"] & v.rlike(V.UUID_PATTERN)).alias("uuid"),
         (kind["text"] & v.rlike(V.HEX_PATTERN)).alias("hex"), (kind["text"] & v.rlike(V.CODE_PATTERN)).alias("code"),
         v.rlike(r"^[\p{L}\p{N}]+$|[-_]").alias("plain"), F.length(v).alias("len"),
