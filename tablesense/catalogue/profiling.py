@@ -12,7 +12,7 @@ from tablesense.operators.column_types import column_types
 from tablesense.operators.labels import label_columns, rules
 from tablesense.operators.ranks import spacing
 from tablesense.operators.value_counts import column_refs, value_counts
-from tablesense.session import load_tables
+from tablesense.session import cut_lineage, load_tables
 
 ALL = S.columns()
 NUMERIC = S.columns(S.TPC, ("int", "float"))
@@ -210,7 +210,7 @@ LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY table_name
 @query("column_labels", LABELS)
 def column_labels(spark, path):
     tables = load_tables(spark, path)
-    counts = value_counts(tables)
+    counts = cut_lineage(value_counts(tables))
     return label_columns(column_types(spark, tables, counts=counts), counts).select("table_name", "column_name", "taxonomy_label")
 
 

@@ -13,7 +13,7 @@ from tablesense.operators import dependencies as FD, foreign_keys as FK, keys as
 from tablesense.operators.column_types import column_types
 from tablesense.operators.labels import label_columns, unknown_columns, with_overrides
 from tablesense.operators.value_counts import gather_evidence, value_counts
-from tablesense.session import load_tables, row_counts, scratch_folder
+from tablesense.session import as_catalogue, cut_lineage, load_tables, row_counts, scratch_folder
 
 EDGES = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"),
          ("nation", "n_regionkey", "region", "r_regionkey"), ("lineitem", "l_linenumber", "part", "p_size"))
@@ -34,10 +34,12 @@ def key_columns(spark):
 
 def profiled(spark, tables):
     """Stats, types and labels of every column from one set of value counts."""
-    counts = value_counts(tables)
+    counts = cut_lineage(value_counts(tables))
     labelled = label_columns(column_types(spark, tables, counts=counts), counts).select(
         "cid", "column_type", "type_confidence", "taxonomy_label", "label_confidence")
-    return P.basic_stats(tables, counts=counts).join(labelled, "cid")
+    samples = P.top_values(counts, 5).groupBy("cid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("sample_values"))
+    return as_catalogue(P.basic_stats(tables, counts=counts).join(labelled, "cid").join(samples, "cid", "left"))
 
 
 COUNTS = S.union(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS u, count(DISTINCT {c}) / count({c}) AS r FROM {t}" for t, c, _ in S.columns(S.TPC))
@@ -65,13 +67,13 @@ def understood(spark, path):
     found = K.discover_keys(tables, max_depth=1, evidence=evidence)
     single = {t: a.primary_key[0] for t, a in found.items() if len(a.primary_key) == 1}
     references = settle.settle_foreign_keys(spark, FK.foreign_keys(spark, tables, single, evidence=evidence))
-    inner = FD.dependencies(spark, tables, {t: [c] for t, c in single.items()}, evidence).where("exact")
+    inner = as_catalogue(FD.dependencies(spark, tables, {t: [c] for t, c in single.items()}, evidence).where("exact"))
     edges = references.select(F.lit("foreign_key").alias("rel_type"), *FK.PAIR, "status").unionByName(inner.select(
         F.lit("functional_dependency").alias("rel_type"), F.col("table_name").alias("from_table"), F.col("determinant").alias("from_column"),
         F.col("table_name").alias("to_table"), F.col("dependent").alias("to_column"), F.lit("confirmed").alias("status")))
     keys = spark.createDataFrame(list(single.items()), "table_name string, column_name string")
     columns = profiled(spark, tables)
-    features = TP.table_features(spark, row_counts(tables), columns, keys, edges)
+    features = as_catalogue(TP.table_features(spark, as_catalogue(row_counts(tables)), columns, keys, as_catalogue(edges)))
     return tables, columns, keys, edges, TP.table_types(TP.table_labels(features))
 
 
@@ -223,15 +225,12 @@ def metadata(spark, path):
     columns = profiled(spark, tables)
     plan = PB.plan_types(PB.fit_facts(spark, tables), columns.select("table_name", "column_name", "column_type"))
     roles = settle.project_roles(columns, key_columns(spark), confirmed_edges(spark))
-    counts = value_counts(tables)
-    samples = P.top_values(counts, 5).groupBy("cid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("sample_values"))
     joined = (
-        roles.join(plan.select("table_name", "column_name", "sql_type"), ["table_name", "column_name"]).join(samples, "cid", "left")
+        roles.join(plan.select("table_name", "column_name", "sql_type"), ["table_name", "column_name"])
         .select("table_name", "column_name", "position", F.col("column_type").alias("data_type"), "sql_type", "taxonomy_label", "is_primary_key", "is_foreign_key",
                 "references_table", "references_column", "null_ratio", "row_count", "sample_values", F.lit("").alias("description"), F.lit("data").alias("table_type"))
     )
-    return PB.metadata_rows(joined)
+    return as_catalogue(PB.metadata_rows(as_catalogue(joined)))
 
 
 @query("sem_metadata", f"""
@@ -257,7 +256,7 @@ def layer_bundle(spark, path):
 @query("unknown_columns", f"SELECT table_name, column_name FROM ({LABELS}) WHERE taxonomy_label = 'unknown'")
 def unlabelled(spark, path):
     tables = load_tables(spark, path)
-    counts = value_counts(tables)
+    counts = cut_lineage(value_counts(tables))
     return unknown_columns(label_columns(column_types(spark, tables, counts=counts), counts)).select("table_name", "column_name")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tablesense import values as V
 from tablesense.functions import dates, text as X
 from tablesense.operators.value_counts import ColumnRef, column_catalogue, column_refs, value_counts
+from tablesense.session import cut_lineage
 
 
 def rank_date_formats(counts: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def decisions(evidence: DataFrame) -> DataFrame:
 def clean_report(tables: Mapping[str, DataFrame], refs: list[ColumnRef] | None = None) -> DataFrame:
     """One row per text column of every table; one shuffle of value counts in all."""
     refs = refs or text_refs(tables)
-    counts = value_counts(tables, refs)
+    counts = cut_lineage(value_counts(tables, refs))
     ranked = rank_date_formats(counts).groupBy("cid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "format"))), lambda x: x["format"]).alias("date_formats")
     )

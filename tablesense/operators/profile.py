@@ -11,7 +11,7 @@ from tablesense import values as V
 from tablesense.functions import text as X
 from tablesense.operators.ranks import exact_medians
 from tablesense.operators.value_counts import ColumnRef, column_catalogue, column_refs, value_counts
-from tablesense.session import row_counts
+from tablesense.session import cut_lineage, row_counts
 
 
 def with_names(df: DataFrame, refs: list[ColumnRef]) -> DataFrame:
@@ -156,7 +156,7 @@ def profile(spark: SparkSession, tables: Mapping[str, DataFrame], types: DataFra
     that kind, so a dataset costs a fixed number of jobs, not one per column.
     """
     refs = column_refs(tables)
-    counts = value_counts(tables, refs)
+    counts = cut_lineage(value_counts(tables, refs))
     kind = {r.cid: r.column_type for r in types.collect()}
     numeric = [r for r in refs if kind.get(r.cid) in V.NUMERIC_COLUMN_TYPES and r.family == "numeric"]
     boolean = [r.cid for r in refs if kind.get(r.cid) == "boolean"]

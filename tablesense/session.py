@@ -81,6 +81,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
+def as_catalogue(df: DataFrame) -> DataFrame:
+    """Fix a catalogue (one row per column, table or finding) so later steps do not recompute it.
+
+    Only for frames whose size is the width of a schema; data rows never come here.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
