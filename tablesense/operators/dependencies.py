@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablesense import values as V
 from tablesense.operators.value_counts import ColumnEvidence, gather_evidence
-from tablesense.session import cut_lineage
+from tablesense.session import spread
 
 SAMPLE_ROWS = 20_000
 SCHEMA = (
@@ -18,35 +18,42 @@ SCHEMA = (
 )
 
 
-def witness_counts(df: DataFrame, table: str, determinant: str, dependents: Sequence[str]) -> DataFrame:
-    """All dependents of one determinant from one grouping.
+def witness_counts(df: DataFrame, table: str, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
+    """All wanted determinant → dependent pairs of one table from one scan and one shuffle.
 
-    A group agrees on a dependent exactly when its smallest and largest 64-bit
-    value digest are the same, so no distinct sets are built, every aggregate is
-    a fixed-width number, and a hot determinant value is one row per map task.
+    A row is copied once per determinant with the 64-bit digests of the dependents.
+    A group agrees on a dependent exactly when its smallest and largest digest are
+    the same, so no distinct sets are built, every aggregate is a fixed-width number
+    combined map-side, and a hot determinant value is one row per map task.
     """
-    group = F.col(f"`{determinant}`")
+    left = list(wanted)
+    right = sorted({b for bs in wanted.values() for b in bs})
+
+    def digest(name: str, *salt: Column) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(c.isNotNull(), F.xxhash64(*salt, c))
+
+    hashed = df.select(
+        F.array(*[F.struct(F.lit(i).alias("det"), digest(a).alias("g1"), digest(a, F.lit(7919)).alias("g2")) for i, a in enumerate(left)]).alias("keys"),
+        *[digest(b).alias(f"b{i}") for i, b in enumerate(right)])
+    rows = hashed.select(F.inline("keys"), *[f"b{i}" for i in range(len(right))]).where("g1 IS NOT NULL")
     aggs = []
-    for i, c in enumerate(dependents):
-        digest = F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.col(f"`{c}`")))
-        aggs += [F.count(digest).alias(f"n{i}"), F.min(digest).alias(f"lo{i}"), F.max(digest).alias(f"hi{i}")]
-    grouped = df.where(group.isNotNull()).groupBy(group.alias("g")).agg(*aggs)
-    totals = []
-    for i, c in enumerate(dependents):
-        n, same = F.col(f"n{i}"), F.col(f"lo{i}") == F.col(f"hi{i}")
-        totals += [
-            F.count_if(n > 1).alias(f"w{i}"), F.count_if((n > 1) & same).alias(f"c{i}"),
-            F.count_if(n > 0).alias(f"t{i}"), F.coalesce(F.sum(n), F.lit(0)).alias(f"r{i}"),
-        ]
-    rows = F.array(*[
-        F.struct(
-            F.lit(table).alias("table_name"), F.lit(determinant).alias("determinant"), F.lit(c).alias("dependent"),
-            F.col(f"w{i}").alias("witness_groups"), F.col(f"c{i}").alias("consistent_witnesses"),
-            F.col(f"t{i}").alias("total_groups"), F.col(f"r{i}").alias("rows_considered"),
-        )
-        for i, c in enumerate(dependents)
-    ])
-    return grouped.agg(*totals).select(F.inline(rows))
+    for i in range(len(right)):
+        aggs += [F.count(f"b{i}").alias(f"n{i}"), F.min(f"b{i}").alias(f"lo{i}"), F.max(f"b{i}").alias(f"hi{i}")]
+    grouped = rows.groupBy("det", "g1", "g2").agg(*aggs)
+    c = F.col
+    per = grouped.select("det", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("dep"), c(f"n{i}").alias("n"), (c(f"lo{i}") == c(f"hi{i}")).alias("same")) for i in range(len(right))])))
+    names = lambda xs, at: F.element_at(F.array(*[F.lit(x) for x in xs]), c(at) + 1)
+    keep = [left.index(a) * len(right) + right.index(b) for a, bs in wanted.items() for b in bs]
+    return (
+        per.groupBy("det", "dep").agg(
+            F.count_if(c("n") > 1).alias("witness_groups"), F.count_if((c("n") > 1) & c("same")).alias("consistent_witnesses"),
+            F.count_if(c("n") > 0).alias("total_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_considered"))
+        .where((c("det") * len(right) + c("dep")).isin(keep))
+        .select(F.lit(table).alias("table_name"), names(left, "det").alias("determinant"), names(right, "dep").alias("dependent"),
+                "witness_groups", "consistent_witnesses", "total_groups", "rows_considered")
+    )
 
 
 def _pairs(evidence: ColumnEvidence, table: str, keys: Sequence[str]) -> tuple[list[str], dict[str, int]]:
@@ -74,30 +81,31 @@ def dependencies(
     """
     evidence = evidence or gather_evidence(tables)
     keys = keys or {}
-    todo: list[tuple[str, str, list[str]]] = []
+    todo: dict[str, dict[str, list[str]]] = {}
     trial: list[DataFrame] = []
     for table, df in tables.items():
         rows = evidence.rows(table)
         if rows < V.FD_MIN_ROWS:
             continue
         usable, left = _pairs(evidence, table, keys.get(table, ()))
-        plans = [(table, a, [b for b in usable if b != a]) for a in left if len(usable) > 1]
-        if rows > sample_rows and plans:
-            sample = cut_lineage(df.select(*usable).sample(fraction=sample_rows / rows, seed=20240501))
-            trial += [witness_counts(sample, t, a, bs) for t, a, bs in plans]
-        todo += plans
+        wanted = {a: [b for b in usable if b != a] for a in left if len(usable) > 1}
+        if not wanted:
+            continue
+        if rows > sample_rows:
+            sample = df.select(*[F.col(f"`{c}`") for c in usable]).sample(fraction=sample_rows / rows, seed=20240501)
+            trial.append(witness_counts(sample, table, wanted))
+        todo[table] = wanted
     if trial:
-        failed = set()
+        distinct = {(r.table, r.column): evidence.distinct(r) for r in evidence.refs}
         for r in reduce(DataFrame.unionAll, trial).collect():
-            distinct = next(evidence.distinct(x) for x in evidence.refs if (x.table, x.column) == (r.table_name, r.determinant))
-            most = min(distinct, evidence.rows(r.table_name) // 2)
+            most = min(distinct[(r.table_name, r.determinant)], evidence.rows(r.table_name) // 2)
             if r.witness_groups - r.consistent_witnesses > (1 - threshold) * most:
-                failed.add((r.table_name, r.determinant, r.dependent))
-        todo = [(t, a, kept) for t, a, bs in todo if (kept := [b for b in bs if (t, a, b) not in failed])]
-    if not todo:
+                todo[r.table_name][r.determinant].remove(r.dependent)
+    left = {t: kept for t, wanted in todo.items() if (kept := {a: bs for a, bs in wanted.items() if bs})}
+    if not left:
         counted = spark.createDataFrame([], SCHEMA)
     else:
-        counted = reduce(DataFrame.unionAll, [witness_counts(tables[t], t, a, bs) for t, a, bs in todo])
+        counted = reduce(DataFrame.unionAll, [witness_counts(spread(tables[t]), t, wanted) for t, wanted in left.items()])
     score = F.col("consistent_witnesses") / F.col("witness_groups")
     return (
         counted.where(

@@ -21,14 +21,6 @@ def rules() -> list[tuple[int, str, float, str | None, float, list[str], list[st
     return out
 
 
-def _name_hit(name: Column, words: list[str]) -> Column:
-    tokens = F.split(name, "_")
-    out = F.lit(False)
-    for w in words:
-        out = out | (name.contains(w) if "_" in w else F.array_contains(tokens, w))
-    return out
-
-
 def pattern_shares(counts: DataFrame) -> DataFrame:
     """Share of a column's 20 most frequent values that fit each value pattern."""
     sample = top_values(counts, SAMPLE)
@@ -40,24 +32,28 @@ def label_columns(types: DataFrame, counts: DataFrame) -> DataFrame:
     """taxonomy_label, label_confidence and label_source per column; ``unknown`` when no rule fits."""
     facts = types.join(pattern_shares(counts), "cid", "left")
     name = F.btrim(F.regexp_replace(F.lower("column_name"), "[^a-z0-9]+", "_"), F.lit("_"))
-    hits = []
-    for rank, label, confidence, pattern, share, allowed, words in rules():
-        fits = F.lit(True)
-        if allowed:
-            fits = fits & F.col("column_type").isin(*allowed)
-        if words:
-            fits = fits & _name_hit(name, words)
-        if pattern:
-            fits = fits & (F.coalesce(F.col(f"share_{pattern}"), F.lit(0.0)) >= share)
-        score = min(0.99, confidence + 0.03) if pattern and words else confidence
-        hits.append(F.when(fits, F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"))))
-    first = F.coalesce(*hits)
+    shares = F.create_map(*[x for k in V.LABEL_PATTERNS for x in (F.lit(k), F.coalesce(F.col(f"share_{k}"), F.lit(0.0)))])
+    facts = facts.withColumn("_name", name).withColumn("_tokens", F.split(name, "_")).withColumn("_shares", shares)
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    table = F.array(*[
+        F.struct(F.lit(label).alias("label"), F.lit(min(0.99, c + 0.03) if p and words else c).alias("score"), F.lit(p).cast("string").alias("pattern"),
+                 F.lit(share).alias("share"), lits(allowed).alias("allowed"), lits(words).alias("words"))
+        for _, label, c, p, share, allowed, words in rules()])
+
+    def fits(rule: Column) -> Column:
+        named = F.exists(rule["words"], lambda w: F.when(F.contains(w, F.lit("_")), F.contains(F.col("_name"), w)).otherwise(F.array_contains(F.col("_tokens"), w)))
+        return (
+            ((F.size(rule["allowed"]) == 0) | F.array_contains(rule["allowed"], F.col("column_type")))
+            & ((F.size(rule["words"]) == 0) | named)
+            & (rule["pattern"].isNull() | (F.try_element_at(F.col("_shares"), rule["pattern"]) >= rule["share"]))
+        )
+
     return (
-        facts.withColumn("_hit", first)
+        facts.withColumn("_hit", F.get(F.filter(table, fits), F.lit(0)))
         .withColumn("taxonomy_label", F.coalesce(F.col("_hit.label"), F.lit("unknown")))
         .withColumn("label_confidence", F.coalesce(F.col("_hit.score"), F.lit(0.0)))
         .withColumn("label_source", F.when(F.col("_hit").isNotNull(), "rule").otherwise("fallback"))
-        .drop("_hit", *[f"share_{k}" for k in V.LABEL_PATTERNS])
+        .drop("_hit", "_name", "_tokens", "_shares", *[f"share_{k}" for k in V.LABEL_PATTERNS])
     )
 
 

@@ -11,7 +11,7 @@ from tablesense import values as V
 from tablesense.functions import text as X
 from tablesense.operators.ranks import exact_medians
 from tablesense.operators.value_counts import ColumnRef, column_catalogue, column_refs, value_counts
-from tablesense.session import cut_lineage, row_counts
+from tablesense.session import as_catalogue, cut_lineage, row_counts, spread
 
 
 def with_names(df: DataFrame, refs: list[ColumnRef]) -> DataFrame:
@@ -52,35 +52,23 @@ def numeric_long(tables: Mapping[str, DataFrame], refs: list[ColumnRef]) -> Data
         if mine:
             cells = F.array(*[
                 F.struct(F.lit(str(r.cid)).alias("group_id"), F.col(f"`{r.column}`").cast("double").alias("x")) for r in mine])
-            parts.append(df.select(F.inline(cells)).where(F.col("x").isNotNull() & ~F.isnan("x")))
+            narrow = spread(df.select(*[F.col(f"`{r.column}`") for r in mine]))
+            parts.append(narrow.select(F.inline(cells)).where(F.col("x").isNotNull() & ~F.isnan("x")))
     return reduce(DataFrame.unionAll, parts)
 
 
 def numeric_distribution(spark: SparkSession, tables: Mapping[str, DataFrame], refs: list[ColumnRef] | None = None) -> DataFrame:
     """Min, max, mean, exact median, sample deviation, sum, zeros and negatives per column."""
     refs = refs or numeric_refs(tables)
-    parts = []
-    for name, df in tables.items():
-        mine = [r for r in refs if r.table == name]
-        if not mine:
-            continue
-        aggs = []
-        for r in mine:
-            x = F.col(f"`{r.column}`").cast("double")
-            x = F.when(~F.isnan(x), x) if r.fractional else x
-            aggs += [F.count(x).alias(f"n{r.cid}"), F.min(x).alias(f"lo{r.cid}"), F.max(x).alias(f"hi{r.cid}"),
-                     F.avg(x).alias(f"avg{r.cid}"), F.stddev_samp(x).alias(f"sd{r.cid}"), F.sum(x).alias(f"sum{r.cid}"),
-                     F.count_if(x == 0).alias(f"z{r.cid}"), F.count_if(x < 0).alias(f"neg{r.cid}")]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*[
-            F.struct(
-                F.lit(r.cid).alias("cid"), *[F.col(f"{a}{r.cid}").alias(b) for a, b in (
-                    ("n", "filled"), ("lo", "min"), ("hi", "max"), ("avg", "mean"), ("sd", "std"), ("sum", "sum"),
-                    ("z", "zero_count"), ("neg", "negative_count"))])
-            for r in mine]))))
-    medians = exact_medians(numeric_long(tables, refs))
-    middle = spark.createDataFrame([(int(g), m) for g, m in medians.items()], "cid int, median double")
+    long = numeric_long(tables, refs)
+    x = F.col("x")
+    stats = as_catalogue(long.groupBy("group_id").agg(
+        F.count(x).alias("filled"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        F.sum(x).alias("sum"), F.count_if(x == 0).alias("zero_count"), F.count_if(x < 0).alias("negative_count")))
+    bounds = {r.group_id: (r.filled, r.min, r.max) for r in stats.collect()}
+    middle = spark.createDataFrame([(int(g), m) for g, m in exact_medians(long, bounds).items()], "cid int, median double")
     return (
-        reduce(DataFrame.unionAll, parts).join(F.broadcast(middle), "cid", "left")
+        stats.withColumn("cid", F.col("group_id").cast("int")).drop("group_id").join(F.broadcast(middle), "cid", "left")
         .withColumn("std", F.when(F.col("filled") == 1, 0.0).otherwise(F.col("std")))
     )
 

@@ -12,7 +12,15 @@ from tablesense.session import cut_lineage
 BINS = 2048
 
 
-def select_ranks(long: DataFrame, targets: Mapping[tuple[str, int], None] | list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+def group_bounds(long: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """group -> (filled, min, max) of ``long`` (group_id, x): one row per group."""
+    rows = long.groupBy("group_id").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    return {r.group_id: (r.n, r.lo, r.hi) for r in rows if r.n}
+
+
+def select_ranks(
+    long: DataFrame, targets: list[tuple[str, int]], bounds: Mapping[str, tuple[int, float, float]] | None = None
+) -> dict[tuple[str, int], float]:
     """Exact value at each 0-based rank of each group of ``long`` (group_id, x).
 
     Every pass counts 2 048 equal-width bins between known bounds and keeps, per
@@ -20,10 +28,7 @@ def select_ranks(long: DataFrame, targets: Mapping[tuple[str, int], None] | list
     the search.  What reaches the driver is bins per target, whatever the rows.
     """
     spark = long.sparkSession
-    bounds = {
-        r.group_id: (r.lo, r.hi)
-        for r in long.groupBy("group_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    }
+    bounds = {g: (lo, hi) for g, (_, lo, hi) in (bounds or group_bounds(long)).items()}
     open_ = {(g, k): (bounds[g][0], bounds[g][1], k) for g, k in targets if g in bounds}
     found: dict[tuple[str, int], float] = {}
     while open_:
@@ -59,12 +64,12 @@ def select_ranks(long: DataFrame, targets: Mapping[tuple[str, int], None] | list
     return found
 
 
-def exact_medians(long: DataFrame) -> dict[str, float]:
+def exact_medians(long: DataFrame, bounds: Mapping[str, tuple[int, float, float]] | None = None) -> dict[str, float]:
     """Exact median per group of ``long`` (group_id, x)."""
-    counts = {r.group_id: r.n for r in long.groupBy("group_id").agg(F.count("x").alias("n")).collect() if r.n}
-    targets = [(g, k) for g, n in counts.items() for k in {(n - 1) // 2, n // 2}]
-    at = select_ranks(long, targets)
-    return {g: (at[(g, (n - 1) // 2)] + at[(g, n // 2)]) / 2 for g, n in counts.items()}
+    bounds = bounds or group_bounds(long)
+    targets = [(g, k) for g, (n, _, _) in bounds.items() for k in {(n - 1) // 2, n // 2}]
+    at = select_ranks(long, targets, bounds)
+    return {g: (at[(g, (n - 1) // 2)] + at[(g, n // 2)]) / 2 for g, (n, _, _) in bounds.items()}
 
 
 def nearest_rank(n: int, q: float) -> int:

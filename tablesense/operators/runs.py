@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesense import values as V
 from tablesense.functions.stats import mcnemar_p, wilson
-from tablesense.operators.ranks import exact_medians, nearest_rank, select_ranks
+from tablesense.operators.ranks import exact_medians, group_bounds, nearest_rank, select_ranks
 
 METRICS = ("strict", "normalised", "relaxed")
 
@@ -45,9 +45,10 @@ def run_metrics(records: DataFrame, cap: int | None = None) -> DataFrame:
 def latency(spark: SparkSession, records: DataFrame, q: float = 0.9) -> DataFrame:
     """Exact median and nearest-rank percentile of seconds per arm, without sorting an arm."""
     long = records.where(F.col("elapsed_seconds").isNotNull()).select(F.col("arm").alias("group_id"), F.col("elapsed_seconds").cast("double").alias("x"))
-    counts = {r.group_id: r.n for r in long.groupBy("group_id").agg(F.count("x").alias("n")).collect()}
-    medians = exact_medians(long)
-    at = select_ranks(long, [(g, nearest_rank(n, q)) for g, n in counts.items()])
+    bounds = group_bounds(long)
+    counts = {g: n for g, (n, _, _) in bounds.items()}
+    medians = exact_medians(long, bounds)
+    at = select_ranks(long, [(g, nearest_rank(n, q)) for g, n in counts.items()], bounds)
     return spark.createDataFrame(
         [(g, n, medians[g], at[(g, nearest_rank(n, q))]) for g, n in counts.items()], "arm string, n bigint, median_seconds double, p90_seconds double")
 
