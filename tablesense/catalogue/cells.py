@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesense.catalogue import query
-from tablesense.session import load_tables
+from tablesense.session import cut_lineage, load_tables
 from tablesense.sources import cells as C
 
 #: Row 1 banner, rows 2 and 3 stacked headers, customers from row 4.
@@ -45,7 +45,8 @@ def merged_cells_filled(spark, path):
 
 
 def filled(spark, path):
-    return C.fill_merged(*sheets(spark, path))
+    """The filled cell table, written once as a stored cell table would be."""
+    return cut_lineage(C.fill_merged(*sheets(spark, path)))
 
 
 @query("banner_rows", FILLED_SQL + " SELECT sheet, row FROM filled WHERE row = 1 GROUP BY sheet, row HAVING count(DISTINCT value) <= 1")

@@ -122,7 +122,8 @@ FROM (SELECT *, CASE WHEN lost2 = 0 THEN 2 WHEN lost4 = 0 THEN 4 WHEN lost6 = 0
 @query("published_types", FITTED)
 def published_types(spark, path):
     tables = load_tables(spark, path)
-    return PB.plan_types(PB.fit_facts(spark, tables), column_types(spark, tables)).select("table_name", "column_name", "column_type", "sql_type")
+    types = as_catalogue(column_types(spark, tables))
+    return PB.plan_types(PB.fit_facts(spark, tables, types), types).select("table_name", "column_name", "column_type", "sql_type")
 
 
 @query("published_orders", """
@@ -142,7 +143,8 @@ def published_orders(spark, path):
 @query("published_rows", S.union(f"SELECT '{t}' AS table_name, count(*) AS rows_written FROM {t}" for t in S.TPC))
 def published_rows(spark, path):
     tables = load_tables(spark, path, S.TPC)
-    plan = PB.plan_names(spark, PB.plan_types(PB.fit_facts(spark, tables), column_types(spark, tables)))
+    types = as_catalogue(column_types(spark, tables))
+    plan = PB.plan_names(spark, as_catalogue(PB.plan_types(PB.fit_facts(spark, tables, types), types)))
     return PB.publish(spark, tables, plan, scratch_folder(spark, "published")).select("table_name", "rows_written")
 
 
@@ -161,7 +163,8 @@ SELECT o.*, (o.to_table, o.to_column) IN (SELECT (table_name, column_name) FROM
 FROM o JOIN k a ON a.table_name = o.from_table AND a.column_name = o.from_column JOIN k b ON b.table_name = o.to_table AND b.column_name = o.to_column""")
 def reference_status(spark, path):
     tables = load_tables(spark, path, S.TPC)
-    plan = PB.plan_types(PB.fit_facts(spark, tables), column_types(spark, tables))
+    types = as_catalogue(column_types(spark, tables))
+    plan = as_catalogue(PB.plan_types(PB.fit_facts(spark, tables, types), types))
     keys = PB.verified_keys(tables, {t: [c] for t, c in STAR_KEYS})
     return PB.reference_status(tables, plan, confirmed_edges(spark), keys).drop("reason", "deferrable")
 
@@ -223,7 +226,7 @@ def decisions_merged(spark, path):
 def metadata(spark, path):
     tables = load_tables(spark, path, S.TPC)
     columns = profiled(spark, tables)
-    plan = PB.plan_types(PB.fit_facts(spark, tables), columns.select("table_name", "column_name", "column_type"))
+    plan = PB.plan_types(PB.fit_facts(spark, tables, columns), columns.select("table_name", "column_name", "column_type"))
     roles = settle.project_roles(columns, key_columns(spark), confirmed_edges(spark))
     joined = (
         roles.join(plan.select("table_name", "column_name", "sql_type"), ["table_name", "column_name"])

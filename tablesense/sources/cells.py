@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesense.functions import text as X
+from tablesense.session import cut_lineage
 
 SCAN_ROWS = 5
 BODY_ROWS = 30
@@ -57,9 +58,10 @@ def _starts(cells: DataFrame, scan: int) -> DataFrame:
         "sheet", "width", "height", (start + 1).alias("first_row"), F.when(enough, below).otherwise(start + 2).alias("body_from"))
 
 
-def modal_shapes(cells: DataFrame, scan: int = SCAN_ROWS) -> DataFrame:
+def modal_shapes(cells: DataFrame, scan: int = SCAN_ROWS, starts: DataFrame | None = None) -> DataFrame:
     """(sheet, col, shape): most common value shape over the body rows, earliest on ties."""
-    body = cells.join(_starts(cells, scan), "sheet").where(F.col("row").between(F.col("body_from"), F.col("body_from") + BODY_ROWS - 1))
+    starts = _starts(cells, scan) if starts is None else starts
+    body = cells.join(starts, "sheet").where(F.col("row").between(F.col("body_from"), F.col("body_from") + BODY_ROWS - 1))
     shaped = body.where(~_blank(F.col("value"))).select("sheet", "col", "row", X.value_shape(F.col("value")).alias("shape"))
     counted = shaped.groupBy("sheet", "col", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row"))
     return counted.groupBy("sheet", "col").agg(F.max_by("shape", F.struct("n", -F.col("first_row"))).alias("shape"))
@@ -69,12 +71,12 @@ def _texty(c: Column) -> Column:
     return ~X.strip(c).rlike(r"^[-+]?[\d,]*\.?\d+%?$")
 
 
-def header_scores(cells: DataFrame, scan: int = SCAN_ROWS) -> DataFrame:
+def header_scores(cells: DataFrame, scan: int = SCAN_ROWS, starts: DataFrame | None = None, modal: DataFrame | None = None) -> DataFrame:
     """(sheet, row, score, text_ratio) for the rows a header may sit in."""
-    starts = _starts(cells, scan)
+    starts = _starts(cells, scan) if starts is None else starts
+    modal = modal_shapes(cells, scan, starts) if modal is None else modal
     window = cells.where(F.col("row") <= scan).join(starts, "sheet").where((F.col("row") >= F.col("first_row")) & ~_blank(F.col("value")))
-    modal = modal_shapes(cells, scan).withColumnRenamed("shape", "body_shape")
-    pair = window.join(modal, ["sheet", "col"], "left")
+    pair = window.join(modal.withColumnRenamed("shape", "body_shape"), ["sheet", "col"], "left")
     differs = (X.value_shape(F.col("value")) != F.col("body_shape")).cast("int")
     scored = pair.groupBy("sheet", "row").agg(F.coalesce(F.avg(differs), F.lit(0.0)).alias("score"), F.avg(_texty(F.col("value")).cast("int")).alias("text_ratio"))
     every = starts.select("sheet", F.explode(F.sequence(F.col("first_row"), F.least(F.lit(scan), F.col("height")))).alias("row"))
@@ -83,8 +85,11 @@ def header_scores(cells: DataFrame, scan: int = SCAN_ROWS) -> DataFrame:
 
 def detect_header(cells: DataFrame, scan: int = SCAN_ROWS) -> DataFrame:
     """(sheet, header_from, header_to, data_start, score, confident): leading rows that read as labels."""
-    plain = modal_shapes(cells, scan).groupBy("sheet").agg(F.bool_and(F.col("shape").rlike("^[a ]*$")).alias("all_text"))
-    rows = header_scores(cells, scan).join(plain, "sheet", "left")
+    # Both are a few rows per sheet and are read several times below.
+    starts = cut_lineage(_starts(cells, scan))
+    modal = cut_lineage(modal_shapes(cells, scan, starts))
+    plain = modal.groupBy("sheet").agg(F.bool_and(F.col("shape").rlike("^[a ]*$")).alias("all_text"))
+    rows = cut_lineage(header_scores(cells, scan, starts, modal).join(plain, "sheet", "left"))
     looks = (F.col("score") > 0.5) | (F.coalesce("all_text", F.lit(True)) & (F.col("text_ratio") >= TEXT_RATIO) & (F.col("score") > 0))
     marked = rows.withColumn("looks", looks)
     edges = marked.groupBy("sheet").agg(F.min("row").alias("header_from"), F.min(F.when(~F.col("looks"), F.col("row"))).alias("stop"), F.max("row").alias("last"))
@@ -98,7 +103,7 @@ def flatten_header(cells: DataFrame, scan: int = SCAN_ROWS) -> DataFrame:
     """(sheet, col, name): the header rows of a column joined into one safe, unique name."""
     from tablesense.functions.naming import unique_names
 
-    header = detect_header(cells, scan)
+    header = cut_lineage(detect_header(cells, scan))
     width = cells.groupBy("sheet").agg(F.max("col").alias("width"))
     part = cells.join(header, "sheet").where(F.col("row").between(F.col("header_from"), F.col("header_to")) & ~_blank(F.col("value")))
     named = part.select("sheet", "col", "row", X.safe_name(X.strip(F.col("value"))).alias("piece")).where("piece <> ''")
