@@ -112,6 +112,7 @@ def fuzzy_matches(orphans: DataFrame, keys: DataFrame, column: str = "value") ->
 
 def recovered(orphans: DataFrame, keys: DataFrame, column: str = "value") -> DataFrame:
     """One row: distinct orphans, and how many are near matches of a real key."""
-    hits = fuzzy_matches(orphans, keys, column).select("orphan").distinct().agg(F.count(F.lit(1)).alias("recovered"))
-    total = orphans.select(column).where(F.col(column).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("orphans"))
-    return total.join(hits)
+    hits = fuzzy_matches(orphans, keys, column).select(F.col("orphan").alias("_o")).distinct()
+    every = orphans.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
+    joined = every.join(hits, F.col("value") == F.col("_o"), "left")
+    return joined.agg(F.count(F.lit(1)).alias("orphans"), F.count("_o").alias("recovered"))

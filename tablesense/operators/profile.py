@@ -120,14 +120,12 @@ def categorical_distribution(counts: DataFrame, k: int = V.TOP_VALUES) -> DataFr
 def temporal_distribution(df: DataFrame, column: str, months: int = V.MAX_MONTHS) -> DataFrame:
     """One row per month (first 24) with the column's first, last and whole days between."""
     t = F.col(f"`{column}`").cast("timestamp_ntz")
-    edges = df.agg(F.min(t).alias("first_at"), F.max(t).alias("last_at"))
+    edge = df.agg(F.date_format(F.min(t), "yyyy-MM-dd'T'HH:mm:ss").alias("first_at"), F.date_format(F.max(t), "yyyy-MM-dd'T'HH:mm:ss").alias("last_at"),
+                  F.floor(F.timestamp_diff("MICROSECOND", F.min(t), F.max(t)) / 86_400_000_000).alias("span_days")).first()
     by = df.where(t.isNotNull()).groupBy(F.date_trunc("month", t).cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    first = by.orderBy("month").limit(months)
-    span = F.floor(F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")) / 86_400_000_000)
-    return first.join(F.broadcast(edges)).select(
-        F.date_format("month", "yyyy-MM").alias("period"), "n",
-        F.date_format("first_at", "yyyy-MM-dd'T'HH:mm:ss").alias("first_at"),
-        F.date_format("last_at", "yyyy-MM-dd'T'HH:mm:ss").alias("last_at"), span.alias("span_days"))
+    return by.orderBy("month").limit(months).select(
+        F.date_format("month", "yyyy-MM").alias("period"), "n", F.lit(edge.first_at).alias("first_at"), F.lit(edge.last_at).alias("last_at"),
+        F.lit(edge.span_days).cast("bigint").alias("span_days"))
 
 
 def boolean_distribution(counts: DataFrame) -> DataFrame:

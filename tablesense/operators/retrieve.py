@@ -42,16 +42,27 @@ def columns_named_in(texts: DataFrame, keys: list[str], text: str, names: DataFr
     return runs.join(broadcast_if_small(wanted), "run").select(*keys, name).distinct()
 
 
+#: Question vectors scored per scan of the rows.
+QUERY_BATCH = 128
+
+
 def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int) -> DataFrame:
     """The ``k`` rows nearest each query vector by cosine, ties by id.
 
-    Queries are a handful of vectors and are broadcast only when their size is
-    proven small; every task keeps its best ``k`` per query before the shuffle.
+    Queries are questions, not data: they become literals, ``QUERY_BATCH`` per scan of
+    the rows, so nothing is cross-joined or shuffled before every task has kept its
+    best ``k`` per query.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q"))
-    pairs = rows.select(F.col(row_id), F.col(vector).alias("_v")).join(broadcast_if_small(q))
-    scored = pairs.select("query_id", row_id, cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).collect()
+    kind = queries.schema[query_id].dataType
+    parts = []
+    for start in range(0, len(asked), QUERY_BATCH):
+        literals = F.array(*[
+            F.struct(F.lit(r.q).cast(kind).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.v]).alias("_q")) for r in asked[start: start + QUERY_BATCH]])
+        parts.append(rows.select(F.col(row_id), F.col(vector).alias("_v"), F.inline(literals)).select(
+            "query_id", row_id, cosine(F.col("_q"), F.col("_v")).alias("similarity")))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
+    scored = reduce(DataFrame.unionAll, parts)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

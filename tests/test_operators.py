@@ -347,3 +347,13 @@ def test_top_values_prune_before_shuffle(spark, data):
 
     text = P.top_values(value_counts(load_tables(spark, data, ["part"])))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text
+
+
+def test_recovered_and_nearest(spark):
+    keys, lost = frame(spark, [("Customer#001",), ("Customer#002",)], "value string"), frame(spark, [("Custmer#001",), ("zzz",), (None,)], "value string")
+    assert tuple(fuzzy.recovered(lost, keys).first()) == (2, 1)
+    rows = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id int, v array<double>")
+    got = R.nearest(rows.where("id < 3"), rows, "id", "id", "v", 1)
+    assert sorted((r.query_id, r.id) for r in got.collect()) == [(1, 1), (2, 2)]
+    plan_text = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan_text and "Cartesian" not in plan_text
