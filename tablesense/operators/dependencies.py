@@ -33,10 +33,9 @@ def witness_counts(df: DataFrame, table: str, wanted: Mapping[str, Sequence[str]
         c = F.col(f"`{name}`")
         return F.when(c.isNotNull(), F.xxhash64(*salt, c))
 
-    hashed = df.select(
-        F.array(*[F.struct(F.lit(i).alias("det"), digest(a).alias("g1"), digest(a, F.lit(7919)).alias("g2")) for i, a in enumerate(left)]).alias("keys"),
-        *[digest(b).alias(f"b{i}") for i, b in enumerate(right)])
-    rows = hashed.select(F.inline("keys"), *[f"b{i}" for i in range(len(right))]).where("g1 IS NOT NULL")
+    keys = F.array(*[
+        F.struct(F.lit(i).alias("det"), digest(a).alias("g1"), digest(a, F.lit(7919)).alias("g2")) for i, a in enumerate(left)])
+    rows = df.select(F.inline(keys), *[digest(b).alias(f"b{i}") for i, b in enumerate(right)]).where("g1 IS NOT NULL")
     aggs = []
     for i in range(len(right)):
         aggs += [F.count(f"b{i}").alias(f"n{i}"), F.min(f"b{i}").alias(f"lo{i}"), F.max(f"b{i}").alias(f"hi{i}")]
