@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,9 +57,17 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def parallelism(spark: SparkSession) -> int:
     """So many groups at least as the session deals shuffles to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this library where it was started from a folder and not installed."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)

@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesense.llm import decontamination, line_dedup, sharding
-from tablesense.llm.common import documents
+from tablesense.llm import decontamination, line_dedup, packing, sharding, token_files
+from tablesense.llm.common import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_files(documents(spark, sf_dir), path)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -82,6 +93,8 @@ FROM doc LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
+    "op5_token_files": op5_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
