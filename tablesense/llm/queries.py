@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablesense.llm import decontamination, line_dedup, packing, sharding, token_files
+from tablesense.llm import decontamination, line_dedup, near_dedup, packing, sharding, token_files
 from tablesense.llm.common import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir)).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -93,6 +97,7 @@ FROM doc LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
     "op7_line_dedup": op7_line_dedup,
