@@ -10,9 +10,9 @@ from tablesense.llm.common import settle
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node it can reach.
 
-    Each round every node hooks to the smallest of its neighbours, the hooks are followed twice,
-    and the links are rewritten between the roots so found; a round at least halves the roots
-    of what still hangs together.  Each round is written to the shared folder.  A hub's
+    Each round every node hooks to the smallest of its neighbours, the hooks are followed to
+    their ends (by doubling), and the links are rewritten between the roots so found; a round at
+    least halves the roots of what still hangs together.  Each round is written to the shared folder.  A hub's
     links are combined before they are shuffled; its joins are plain, so AQE can split them.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
@@ -21,9 +21,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = settle(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("root")), "hooks")
-        for _ in range(2):
+        rising = True
+        while rising:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            hook = settle(hook.join(up, "root").select("node", F.col("above").alias("root")), "hooks")
+            jumped = settle(hook.join(up, "root").select("node", "root", "above"), "hooks")
+            rising = not jumped.where("root <> above").isEmpty()
+            hook = jumped.select("node", F.col("above").alias("root"))
         labels = hook if labels is None else settle(
             labels.join(hook.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
             .select("node", F.coalesce("above", "root").alias("root")), "labels")

@@ -16,8 +16,8 @@ from tablesense.llm.components import connected_components
 HASHES, ORDERS, KEY = 48, 16, 12
 #: Least common prefix of candidates, and the prefixes at which crowded regions are looked at again.
 DEPTHS = (2, 4, 8)
-#: A region of so many documents is crowded.
-CROWD = 9
+#: A region of more documents is crowded; a document then meets so many neighbours after it.
+CROWD, REACH = 32, 4
 #: Partners of a document that are compared in one block.
 BLOCK = 64
 
@@ -78,7 +78,7 @@ def _candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(keys))
     for j in range(1, CROWD):
         near = at + j < end
-        if j > 2:
+        if j > REACH:
             near &= size <= CROWD
         left.append(at[near])
         right.append(at[near] + j)
@@ -169,12 +169,17 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
 
 
 def _compare(share: int):
-    """(block, role, id, set), a block's centre first, to the links (a, b) of the centre."""
+    """(block, role, id, set), a block's centre first, to pairs (a, b, link) of the centre.
+
+    Pairs that are no link come back if they are near enough to lead to one (see ``_second_look``).
+    """
+    # 1 - similarity is a metric: two links in a row are at most twice a link's distance apart
+    near = max(0, 100 - 2 * (100 - share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, centre, own = None, None, None
         for batch in batches:
-            a, b = [], []
+            a, b, link = [], [], []
             for key, role, rep, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 found = np.frombuffer(body, words.U)
                 if role == 0:
@@ -184,10 +189,11 @@ def _compare(share: int):
                 both = np.concatenate([own, found])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * shared >= share * (len(both) - shared):
+                if 100 * shared >= near * (len(both) - shared):
                     a.append(centre)
                     b.append(rep)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    link.append(100 * shared >= share * (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
     return run
 
@@ -205,9 +211,8 @@ def _sets(size: int):
     return run
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets satisfy 100 * intersection >= share * union; ``docs`` is (id, text)."""
-    pairs = settle(pairs, "candidates")
+def compared(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
+    """The ``pairs`` (a, b) by their full sets; ``link``: 100 * intersection >= share * union.  ``docs`` is (id, text)."""
     busy = broadcast_counted(settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "centres"))
     dealt = pairs.join(busy, "a", "left").select(
         "a", "b", F.struct("a", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("m", F.lit(1)) / BLOCK).cast("long")).alias("salt")).alias("block"))
@@ -222,7 +227,36 @@ def verified_links(docs: DataFrame, pairs: DataFrame, size: int, share: int) ->
         .select("id", "shingles", F.explode("blocks").alias("at"))
         .select("at.block", "at.role", "id", "shingles")
         .repartition("block").sortWithinPartitions("block", "role"))
-    return placed.mapInArrow(_compare(share), "a long, b long")
+    return settle(placed.mapInArrow(_compare(share), "a long, b long, link boolean"), "compared")
+
+
+def _second_look(docs: DataFrame, pairs: DataFrame, found: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame:
+    """Groups joined where a document near a centre links to some other neighbour of that centre.
+
+    In a crowded region not every pair was a candidate.  If x links to y and y to c, then x is at
+    most two links' distance from c.  So for each pair (x, c) that near, compared but no link and not in
+    one group, x is compared with all documents that c links to.
+    """
+    label = groups.select(F.col("node").alias("of"), "component")
+
+    def grouped(df: DataFrame, c: str) -> DataFrame:
+        return df.join(label.select(F.col("of").alias(c), F.col("component").alias(f"{c}_group")), c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
+
+    missed = grouped(grouped(found.where("not link"), "a"), "b").where("a_group <> b_group")
+    missed = settle(missed.select("a", "b").unionByName(missed.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-misses")
+    if missed.isEmpty():
+        return groups
+    links = found.where("link").select("a", "b")
+    star = links.select(F.col("a").alias("c"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("y")))
+    more = (
+        missed.select(F.col("a").alias("x"), F.col("b").alias("c")).join(star, "c").where("x <> y")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        .join(pairs, ["a", "b"], "left_anti"))
+    fresh = compared(docs, settle(more, "candidates"), size, share).where("link")
+    joined = connected_components(grouped(grouped(fresh, "a"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
+    every = groups.unionByName(joined.select("node", F.col("node").alias("component")).join(groups.select("node"), "node", "left_anti"))
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
 
 
 def near_duplicates(
@@ -237,13 +271,15 @@ def near_duplicates(
     Equal sets are folded into one representative before anything else, so copies cost one row each.
     Representatives are sorted in ORDERS orders of their signatures; neighbours that share at least two
     hashes are candidates, all of them in a region of up to CROWD.  A crowded region is entered deeper:
-    each document meets its next two neighbours, which share the longest prefix, and the most central
+    each document meets its next REACH neighbours, which share the longest prefix, and the most central
     document of its region at each of the DEPTHS, the one whose other hashes agree with most.
     Candidates are confirmed on their full sets of 64-bit shingle hashes, recomputed from the texts.
 
+    A document near a centre that is still apart from its group then meets all that the centre links to.
+
     A pair of similarity s misses all regions with probability (1 - s^2)^ORDERS at most: 2e-6 at 0.75.
-    In crowded regions links between two documents that are both far from the centre may be
-    skipped where centre or neighbours join them; the answer is groups, not links.
+    In crowded regions links between documents that centre or neighbours join anyway are never
+    compared; the answer is groups, not links.
 
     Defined cases: null or empty texts have no shingles and are linked with nothing; a null id has a
     null component and is kept; rows with the same id and text share one answer (if an id has
@@ -253,10 +289,12 @@ def near_duplicates(
     sketch = settle(rows.mapInArrow(_sketch(size), "id long, n long, d1 long, d2 long, signature binary"), "sketches")
     reps = settle(
         sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
-    links = verified_links(rows, candidate_pairs(reps), size, share)
-    found = connected_components(links)
+    pairs = settle(candidate_pairs(reps), "candidates")
+    found = compared(rows, pairs, size, share)
+    groups = settle(connected_components(found.where("link").select("a", "b")), "groups")
+    groups = _second_look(rows, pairs, found, groups, size, share)
     classes = settle(
-        reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "classes")
     out = (
         sketch.select("id", "n", "d1", "d2")
