@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablesense.llm import decontamination, line_dedup, near_dedup, packing, sharding, token_files
+from tablesense.llm import decontamination, line_dedup, near_dedup, packing, pii, sharding, token_files
 from tablesense.llm.common import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_token_files(documents(spark, sf_dir), path)
@@ -99,6 +110,7 @@ FROM doc LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
+    "op4_personal_data": op4_personal_data,
     "op5_token_files": op5_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
