@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablesense.llm import decontamination, line_dedup, near_dedup, packing, pii, sharding, token_files
-from tablesense.llm.common import documents, shared_folder
+from tablesense.llm import decontamination, line_dedup, near_dedup, packing, pii, sharding, token_files, topk, toxicity
+from tablesense.llm.common import documents, reach_workers, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
+    return topk.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP1_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cell AS (SELECT vec_id, unnest(q) AS x, generate_subscripts(q, 1) AS d FROM v),
+best AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::BIGINT AS score
+         FROM cell a JOIN cell b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM best
+QUALIFY rank <= 20
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -21,14 +37,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    base = F.filter("spans", lambda s: s.getField("kind").isin("email", "ip", "card", "phone"))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -107,7 +127,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM doc LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select(
+        "doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_top_k": op1_top_k,
     "op2_near_dedup": op2_near_dedup,
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
@@ -115,5 +142,6 @@ QUERIES: dict[str, Query] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_decontamination": OP9_SQL}
