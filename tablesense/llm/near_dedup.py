@@ -302,3 +302,10 @@ def near_duplicates(
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                 F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, with the document of the smallest id of each group; rows repeated in full all stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = settle(found.where("not kept").select(F.col(id_col).alias("__id")).distinct(), "near-duplicates")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")

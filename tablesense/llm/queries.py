@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablesense.llm import decontamination, line_dedup, near_dedup, packing, pii, sharding, token_files, topk, toxicity
+import corpus_pipeline
+from tablesense.llm import decontamination, language, line_dedup, near_dedup, packing, pii, sharding, token_files, topk, toxicity
 from tablesense.llm.common import documents, reach_workers, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(documents(spark, sf_dir))
+    found = language.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+    return found.select("page_id", "declared", "host", "language", "posterior", "rejected")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -139,9 +146,11 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
     "op5_token_files": op5_token_files,
+    "op6_language": op6_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_decontamination": OP9_SQL}
