@@ -22,6 +22,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
+#: Marks that are one unit of the vocabulary's pattern where they stand together after a word.
+MARKS = ".,;:!?#$%&*()[]{}-_+=/~^@"
+
 
 class Encoder:
     """Ids of texts, equal to the library's ``encode(text, add_special_tokens=False)``.
@@ -38,11 +41,12 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.stems: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
         self.starts = np.zeros(self.most + 1, np.int64)
@@ -51,14 +55,24 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         quick: list[list[int]] = []
         slow: list[int] = []
-        fresh: dict[str, list[int]] = {}
+        stems, tokenize = self.stems, self.model.tokenize
         for n, piece in enumerate(pieces):
-            stem, tail = (piece[:-1], self.marks[piece[-1]]) if piece[-1] in self.marks and piece[-2:-1].isalpha() else (piece, [])
-            ids = self._letters(stem, fresh)
+            # a word of Latin-1 letters is one unit of the pattern, which its normalisers only lower-case, and the
+            # marks after it are another: the library's BPE model takes the units as they are
+            stem = piece.rstrip(MARKS)
+            ids = None
+            if stem.isalpha():
+                word = stem.lower()
+                ids = stems.get(word)
+                if ids is None and (word.isascii() or max(word) <= "\xff"):
+                    unit = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+                    ids = stems[word] = [t.id for t in tokenize(unit)]
             if ids is None:
                 slow.append(n)
                 ids = []
-            quick.append(ids + tail)
+            elif len(stem) < len(piece):
+                ids = ids + self._mark(piece[len(stem):])
+            quick.append(ids)
         if slow:
             for n, e in zip(slow, self.tokenizer.encode_batch_fast([pieces[n] for n in slow], add_special_tokens=False)):
                 quick[n] = e.ids
@@ -76,24 +90,10 @@ class Encoder:
         self.used += len(flat)
         self.known.update(zip(pieces, range(at, at + len(pieces))))
 
-    def _letters(self, word: str, fresh: dict[str, list[int]]) -> list[int] | None:
-        """Ids of a word of Latin-1 letters, straight from the library's BPE model; None for any other.
-
-        Such a word is one unit of the vocabulary's pattern, and its normalisers only lower-case it.
-        """
-        if not word.isalpha():
-            return None
-        word = key = word.lower()
-        if (ids := fresh.get(key)) is not None:
-            return ids
-        if (at := self.known.get(key)) is not None:
-            return self.flat[self.starts[at]:self.starts[at] + self.sizes[at]].tolist()
-        if not word.isascii():
-            if max(word) > "\xff":
-                return None
-            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = fresh[key] = [t.id for t in self.model.tokenize(word)]
-        return ids
+    def _mark(self, marks: str) -> list[int]:
+        if marks not in self.marks:
+            self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        return self.marks[marks]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
