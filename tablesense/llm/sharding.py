@@ -18,7 +18,7 @@ def interleave(
 
     Row r of the n rows of its stratum, in the order of ``md5(seed:id)``, gets the fractional rank
     (2r - 1) / 2n.  All rows in the order of that rank are cut into ``shards`` runs whose lengths
-    differ by one at most, so every run holds each stratum in proportion to within one row.
+    differ by one at most, so every run holds each stratum of n rows in proportion to within 1 + S n / N rows (of N rows, S strata).
 
     Returns (id_col, size, text_crc32, stratum, shard, slot): ``size`` is the UTF-8 bytes of the text and ROW_BYTES,
     ``text_crc32`` the unsigned crc32 of them, ``slot`` the gapless place in the shard from 0.

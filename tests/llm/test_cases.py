@@ -1,0 +1,326 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, operator by operator."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tablesense.llm import decontamination, language, line_dedup, near_dedup, packing, pii, sharding, token_files, tokens, topk, toxicity
+from tablesense.llm.common import broadcast_counted, shared_folder
+from tablesense.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_lines int, print string, row int"
+LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
+ROWS = [
+    (1, "Alpha beta gamma delta epsilon zeta\nshort\nshared line of text", "en", "a", 1, "p", 1),
+    (2, "SHARED line of text  \nanother thing\nshort", "en", None, 1, "p", 1),
+    (3, None, None, None, None, None, None),
+    (4, "", "en", "a", 1, "p", 1),
+    (5, "   \n\n", "de", "a", 1, "p", 1),
+    (6, LONG, "en", "b", 1, "p", 1),
+    (7, LONG, "en", "b", 1, "p", 1),
+    (7, LONG, "en", "b", 1, "p", 1),
+    (None, "shared line of text\nmail me at a.b@c.org", "en", "a", 1, "p", 1),
+    (9, "é É ñ 日本語 \U0001f600\nx", "fr-CA", "a", 1, "p", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_lines(docs, none):
+    out = line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert len(out) == len(ROWS)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped))
+    assert by[1] == [(ROWS[0][1], 3, 0)] and by[2] == [("another thing\nshort", 3, 1)]
+    assert by[3] == by[4] == [("", 1, 0)] and by[5] == [("   \n\n", 3, 0)]
+    assert by[6] == [(LONG, 1, 0)] and by[7] == [("", 1, 1)] * 2
+    assert by[None] == [("shared line of text\nmail me at a.b@c.org", 2, 0)]
+    assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "lang", "source", "print", "row", "n_lines", "n_dropped"]
+    assert line_dedup.dedup_lines(none).count() == 0
+    three = line_dedup.dedup_lines(docs.withColumn("text", F.lit("one and the same line")), min_docs=3)
+    assert {r.doc_id for r in three.where("n_dropped = 0").collect()} == {1, None}
+
+
+def test_shards(docs, none):
+    out = sharding.interleave(docs, shards=3, buckets=4).collect()
+    assert sorted(r.doc_id or 0 for r in out) == sorted(r[0] or 0 for r in ROWS)
+    by = {s: sorted(r.slot for r in out if r.shard == s) for s in range(3)}
+    assert all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(k, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for k, t, *_ in ROWS}
+    assert sharding.interleave(none).count() == 0
+
+
+def test_shards_hold_the_mixture(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    share = {r.stratum: r.n / 3000 for r in sharding.interleave(docs).groupBy("stratum").agg(F.count("*").alias("n")).collect()}
+    for r in sharding.interleave(docs).groupBy("shard", "stratum").agg(F.count("*").alias("n")).collect():
+        assert abs(r.n - 75 * share[r.stratum]) <= 1 + 8 * share[r.stratum]
+
+
+def test_written_shards(spark, docs):
+    path = shared_folder(spark, "shards")
+    sharding.write_shards(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path, shards=2)
+    back = spark.read.parquet(path)
+    assert back.count() == 8 and {r.shard for r in back.select("shard").collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("lengths", [(13, 30), (1, 5), (2, 13, 40), (12,)])
+def test_contamination_against_brute_force(spark, lengths):
+    rnd = random.Random(str(lengths))
+    words = [f"w{i}" for i in range(12)] + ["É", "é", "日本", "A1"]
+    items = [(i, " ".join(rnd.choices(words, k=n))) for i, n in enumerate(lengths * 2)] + [(90, None), (91, "..."), (None, "w1 w2")]
+    rows = [(k, " ".join(rnd.choices(words, k=rnd.randint(0, 80)) + rnd.choice(items[:2 * len(lengths)])[1].upper().split() + rnd.choices(words, k=5))) for k in range(40)]
+    rows += [(100, None), (101, ""), (102, "w1 " * 3000), (None, items[0][1]), (103, rows[0][1]), (103, rows[0][1])]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+
+    windows = {}
+    for k, t in items:
+        w = split(t)
+        if k is not None and w:
+            n = min(13, len(w))
+            for i in range(len(w) - n + 1):
+                windows.setdefault(tuple(w[i:i + n]), set()).add(str(k))
+    want = set()
+    for k, t in rows:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i:i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i:i + n])]
+        want.add((k, len(w), len(hit), tuple(sorted(found))))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_words int")
+    out = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out.collect()} == want
+
+
+def test_contamination_without_benchmark_or_documents(spark, docs, none):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.find_contamination(docs, empty).where("n_hit > 0").count() == 0
+    item = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    assert decontamination.find_contamination(none, item).count() == 0
+    kept = decontamination.drop_contaminated(docs, item)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 6, 7, 7, 9]
+
+
+def test_near_duplicates(docs, none):
+    out = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert out == sorted([
+        (1, 7, 1, True), (2, 3, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 29_996, 6, True), (7, 29_996, 6, False),
+        (7, 29_996, 6, False), (0, 4, None, True), (9, 2, 9, True)], key=str)
+    assert near_dedup.near_duplicates(none).count() == 0
+    assert sorted(r.doc_id or 0 for r in near_dedup.drop_near_duplicates(docs).collect()) == [0, 1, 2, 3, 4, 5, 6, 9]
+
+
+def test_near_copies_of_one_text(spark):
+    """A crowd larger than any region that is compared in full, of copies with one to four changed words."""
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        copy = list(base)
+        for i in rnd.sample(range(150), rnd.randint(1, 4)):
+            copy[i] = f"c{k}x{i}"
+        rows.append((k, " ".join(copy)))
+    sets = {k: {tuple(t.split()[i:i + 5]) for i in range(146)} for k, t in rows}
+    up = {k: k for k in sets}
+    for a in sets:
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = a, b
+                while up[x] != x:
+                    x = up[x]
+                while up[y] != y:
+                    y = up[y]
+                up[max(x, y)] = min(x, y)
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: root(k) for k in sets}
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(1, 60)] + [(100, 7), (200, 201), (201, 200), (300, 300), *((500, i) for i in range(501, 560))]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 1, 200: 200, 201: 200, **{i: 500 for i in range(500, 560)}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_packed_and_written(spark, docs, none):
+    out = packing.pack(docs, capacity=256).collect()
+    ids = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        ids.setdefault((r.doc_id, r.doc_tokens), 0)
+        ids[(r.doc_id, r.doc_tokens)] += r.length
+    e = tokens.Encoder(tokens.vocabulary_path()).tokenizer
+    sizes = {k: len(e.encode(t or "", add_special_tokens=False).ids) + 1 for k, t, *_ in ROWS}
+    assert ids == {(k, n): n * (2 if k == 7 else 1) for k, n in sizes.items()}
+    assert packing.pack(none).count() == 0
+    path = shared_folder(spark, "tokens")
+    token_files.write_token_files(docs, path, block_ids=1000)
+    back = token_files.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in back] == sorted((r[0] for r in ROWS), key=lambda k: (k is not None, k)) and back[0].start == 0
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(back, back[1:])) and {r.doc_id: r.n_tokens for r in back} == sizes
+    assert all(np.frombuffer(r.ids, "<u4")[:-1].tolist() == e.encode(next(t for k, t, *_ in ROWS if k == r.doc_id) or "", add_special_tokens=False).ids for r in back)
+    path = shared_folder(spark, "tokens")
+    token_files.write_token_files(none, path)
+    assert token_files.read_token_files(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], list(range(1000)), [5] * 7])
+def test_ranks_round_trip(numbers):
+    control, data = token_files.pack_ranks(np.array(numbers, np.uint32))
+    assert len(control) == -(-len(numbers) // 4)
+    assert token_files.unpack_ranks(control, data, len(numbers)).tolist() == numbers
+
+
+def test_encoder_equals_the_library():
+    odd = ["", " ", "\n\n", "a<|endoftext|>b <|startoftext|> x", "It's they'LL 've\t\x85x\xa0y ́e é ΣΑΣ İı\x1cq", "  a  b\r\nc",
+           "'s 's't 12 3٣ 日本語。ok  z", "ﬁ ﬁn 𝒳 👩‍👧 z", "ÄÖ, ªº. µm, ÿ Ÿ. straße. , . ., .a. a., a.. É́, x́.", "word!! don't!! a'' b'., c<| d|> <|endoftext|>.", "x_y a@b.c z~~ q-"]
+    encoder = tokens.Encoder(tokens.vocabulary_path(), most=40)
+    for _ in range(2):
+        ids, counts = encoder.encode(odd)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(odd, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_personal_data(docs, none):
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_personal_data(docs).collect()}
+    assert out[None] == [("email", 31, 40)] and not any(v for k, v in out.items() if k)
+    assert pii.find_personal_data(none).count() == 0
+    assert [r.text for r in pii.redact(docs).where("doc_id is null").collect()] == ["shared line of text\nmail me at <email>"]
+
+
+def test_added_spans():
+    text = "ftp://bob:pw@host.org/x, http://site.org/ IBAN: GB82 WEST 1234 5698 7654 32. GB82 account no 12-345678, tel:+1-202-555-0143"
+    spans = [(text[a:b], k) for a, b, k in pii.find_spans(text) if k in ("address", "account")]
+    assert spans == [("ftp://bob:pw@host.org", "address"), ("GB82 WEST 1234 5698 7654 32", "account"), ("12-345678", "account"), ("tel:+1-202-555-0143", "address")]
+
+
+def test_base_spans_by_chance():
+    from test_queries import BASE, base_spans
+
+    rnd = random.Random(1)
+    parts = ["4539578763621486", "1.2.3.4", "+1 (366) 555-9807", "a.b@c.d.e", "10.0.0.1.", "4539 5787 6362 1486 ", "..", "@@", "1.2.3.4.5.6.7.8", "256.1.1.1"]
+    for _ in range(8000):
+        text = "".join(rnd.choice("0123456789 .@+-()abZ%_é") if rnd.random() < 0.6 else rnd.choice(parts) for _ in range(rnd.randint(0, 30)))
+        assert [s for s in pii.find_spans(text) if s[2] in BASE] == base_spans(text), text
+
+
+def test_languages(spark, docs, none):
+    text = {"en": "the house and the garden of the king", "de": "das Haus und der Garten des Königs", "fr": "la maison et le jardin du roi"}
+    known = spark.createDataFrame([(t * 3, k) for k, t in text.items()] + [(None, "en"), ("x", None)], "text string, lang string")
+    model = language.train(known)
+    assert model.languages == sorted(text)
+    pages = spark.createDataFrame(
+        [(1, "http://a.example.de/x", f"<html lang='en'><script>var the='the the'</script><p>{text['de']}</p>", 1),
+         (2, "http://b.example.fr", "<html lang=fr-CA></html>", 1), (3, None, None, 1), (4, "nonsense", text["fr"], 1), (None, "http://a.example.de/", text["de"], 1)],
+        "page_id long, url string, html string, language int")
+    out = {r.page_id: r for r in language.identify_pages(pages, model).collect()}
+    assert out[1].language == out[None].language == "de" and out[4].language == "fr"
+    assert out[1].declared == "en" and out[1].host == "a.example.de" and not out[1].rejected
+    assert out[2].declared == "fr" and out[2].rejected and out[3].rejected
+    kept = language.drop_rejected(docs, model)
+    assert kept.columns == docs.columns and {3, 4, 5} & {r.doc_id for r in kept.collect()} == set()
+    assert language.identify_pages(pages.limit(0), model).count() == 0
+    assert language.train(none).languages == ["und"]
+
+
+def test_host_speaks_for_a_text_without_evidence(spark):
+    model = language.TextModel(["de", "fr"], np.log(np.full((2, language.CODES), 1.0 / language.CODES)))
+    known = language.TextModel(["de", "fr"], model.table.copy())
+    codes = language.trigrams(["garten"])[0]
+    known.table[0, codes] += 30
+    pages = spark.createDataFrame([(i, "http://h.example.com/", "garten") for i in range(40)] + [(99, "http://h.example.com/", "zzz")], "page_id long, url string, html string")
+    out = {r.page_id: r for r in language.identify_pages(pages, known).collect()}
+    assert out[99].language == "de" and out[99].posterior > 0.8
+
+
+def test_marginals_against_enumeration():
+    import itertools
+
+    rnd = np.random.default_rng(0)
+    scores, moves = rnd.normal(size=(3, toxicity.CHAIN)), np.array([-0.5, -1.0, 0.3, 0.8])
+    lengths = np.array([5, 1, 3])
+    got = toxicity.marginals(np.where(np.arange(toxicity.CHAIN) < lengths[:, None], scores, 0), lengths, moves)
+    for row, n in enumerate(lengths):
+        total, toxic = 0.0, np.zeros(n)
+        for labels in itertools.product([0, 1], repeat=int(n)):
+            s = sum(scores[row, i] for i in range(n) if labels[i]) + (moves[0] if labels[0] else 0)
+            s += sum({(0, 0): 0, (0, 1): moves[1], (1, 0): moves[2], (1, 1): moves[3]}[p] for p in zip(labels, labels[1:]))
+            total += np.exp(s)
+            toxic += np.exp(s) * np.array(labels)
+        assert np.allclose(got[row, :n], toxic / total) and not got[row, n:].any()
+
+
+def test_toxicity(spark, docs, none):
+    rnd = random.Random(2)
+    fine = [f"{chr(97 + i % 26)}{chr(97 + i // 3)}ord" for i in range(60)]
+    rows = [(i, " ".join(rnd.choices(fine, k=90) + (rnd.sample(["vile", "awful"], 1) if i % 2 else []) + rnd.choices(fine, k=90)), 1.0) for i in range(300)]
+    texts = spark.createDataFrame([*rows, (900, None, 1.0), (901, "", 1.0), (902, LONG, 1.0), (None, "vile", 1.0), (1, rows[1][1], 1.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (5, None), (5, 1)], "doc_id long, toxic int")
+    out = [r for r in toxicity.score_toxicity(texts, labels).collect()]
+    assert len(out) == 305
+    for r in out:
+        if r.doc_id is not None and r.doc_id < 300:
+            assert (r.score >= 0.7) == bool(r.doc_id % 2), r.doc_id
+            text = rows[r.doc_id][1]
+            assert {text[s.start:s.end] for s in r.spans} == {w for w in text.split() if w in ("vile", "awful")}
+        elif r.doc_id is not None:
+            assert r.score < 0.1 and not r.spans
+    assert toxicity.score_toxicity(none, labels).count() == 0
+    assert all(r.score < 0.5 for r in toxicity.score_toxicity(docs, labels.limit(0)).collect())
+
+
+def test_top_k(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=40)], "x") for i in range(200)]
+    rows += [(300 + i, rows[0][1], "x") for i in range(40)] + [rows[3], rows[20]]
+    odd = [(500, None, "x"), (520, [None] * 40, "x"), (540, [float("nan")] * 40, "x"), (560, [float("inf")] * 40, "x"), (None, rows[0][1], "x"), (580, [], "x"), (581, [], "x"), (600, [1e9, 2.0], "x"), (601, [1e9, 3.0], "x")]
+    got = [tuple(r) for r in topk.nearest(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rank string")).collect()]
+    found = {k: [int(np.floor(64 * x)) for x in v] for k, v, _ in rows}
+    found |= {580: [], 581: [], 600: [64 * 10**9, 128], 601: [64 * 10**9, 192]}
+    want = []
+    for q in sorted(k for k in found if k % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(found[q], v)) % (1 << 64), k) for k, v in found.items() if k != q and len(v) == len(found[q])) if q == 600 else sorted(
+            (-sum(a * b for a, b in zip(found[q], v)), k) for k, v in found.items() if k != q and len(v) == len(found[q]))
+        want += [(q, i + 1, k) for i, (_, k) in enumerate(best[:20])]
+    assert [g[:3] for g in sorted(got)] == want
+    assert topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_search_block_prunes_to_the_same_answer():
+    rnd = np.random.default_rng(7)
+    for d in (1, 7, 16, 33):
+        columns, queries = rnd.integers(-40, 40, (d, 500)), rnd.integers(-40, 40, (30, d))
+        ids = rnd.permutation(500)
+        q, c, s = topk.search_block(ids, columns, ids[:30], queries, 9)
+        scores = queries @ columns
+        for i in range(30):
+            want = sorted((-scores[i, j], ids[j]) for j in range(500) if ids[j] != ids[i])[:9]
+            assert list(zip(-s[q == i], c[q == i])) == want
+
+
+def test_broadcast_is_counted(spark):
+    assert "hint" not in broadcast_counted(spark.range(10), 5)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" in broadcast_counted(spark.range(10), 10)._jdf.queryExecution().logical().toString().lower()
