@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -101,15 +101,24 @@ def _grid(values: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndar
 def _seeds(docs: list[list[str]], toxic: np.ndarray, least: int, ratio: float) -> set[str]:
     """Words and prefixes that mark toxic documents: in ``least`` contexts or more there, hardly in others.
 
-    Contexts are pairs of neighbouring words, so copies of one document count once.
+    Contexts are the two words on either side, one context from each document, so neither copies of a document nor
+    a long document make a word count often.
     """
-    contexts: dict[str, set] = defaultdict(set)
+    often: Counter[str] = Counter()
+    for doc, bad in zip(docs, toxic):
+        if bad:
+            often.update({f for word in doc if word for f in features(word)})
+    contexts: dict[str, set] = {f: set() for f, n in often.items() if n >= least}
     clean: dict[str, int] = defaultdict(int)
     for doc, bad in zip(docs, toxic):
         if bad:
-            for before, word, after in zip(["", *doc], doc, [*doc[1:], ""]):
+            first: dict[str, tuple] = {}
+            for i, word in enumerate(doc):
                 for f in features(word) if word else ():
-                    contexts[f].add((before, after))
+                    if f in contexts and f not in first:
+                        first[f] = (*doc[max(0, i - 2):i], "", *doc[i + 1:i + 3])
+            for f, around in first.items():
+                contexts[f].add(around)
     contexts = {f: c for f, c in contexts.items() if len(c) >= least}
     for doc, bad in zip(docs, toxic):
         if not bad:
@@ -122,7 +131,9 @@ def _seeds(docs: list[list[str]], toxic: np.ndarray, least: int, ratio: float) -
 def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float = 20.0, seed: int = 5) -> Tagger:
     """Fit the chain to words labelled by ``_seeds`` in toxic documents, and the document score to the documents."""
     bad = np.array(toxic, bool)
-    docs = [[normal(p) for p in t.split()] for t in texts]
+    known: dict[str, str] = {}
+    docs = [[known[p] if p in known else known.setdefault(p, normal(p)) for p in t.split()] for t in texts]
+    known.clear()
     if not bad.any() or bad.all():
         return Tagger()
     seeds = _seeds(docs, bad, max(4, int(0.01 * bad.sum())), ratio)
@@ -158,14 +169,17 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float =
         grads[2] = moved - expected - 0.05 * moves
         for i, g in enumerate(grads):
             power[i] = power[i] + g * g
-        w = w + 0.5 * grads[0] / np.sqrt(power[0])
-        bias = float(bias + 0.5 * grads[1] / np.sqrt(power[1]))
-        moves = np.clip(moves + 0.5 * grads[2] / np.sqrt(power[2]), -8, 8)
+        w = w + grads[0] / np.sqrt(power[0])
+        bias = float(bias + grads[1] / np.sqrt(power[1]))
+        moves = np.clip(moves + grads[2] / np.sqrt(power[2]), -8, 8)
     model.bias, model.moves = bias, moves
     model.weights = {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-3}
     emission = np.array([model.emission(x) for x in vocabulary])
-    p = marginals(_grid(emission[of], first, lengths), lengths, moves)
-    most, mass = summed(p, owner, len(docs))
+    most, mass = np.zeros(len(docs)), np.zeros(len(docs))
+    for a in range(0, len(owner), 4096):
+        part = slice(a, a + 4096)
+        some = summed(marginals(_grid(emission[of], first[part], lengths[part]), lengths[part], moves), owner[part], len(docs))
+        most, mass = np.maximum(most, some[0]), mass + some[1]
     x = np.stack([np.ones(len(docs)), most, np.log1p(mass)], axis=1)
     fit = np.zeros(3)
     for _ in range(50):  # Newton steps with a weak prior
@@ -185,13 +199,13 @@ def summed(p: np.ndarray, owner: np.ndarray, n: int, floor: float = 0.2) -> tupl
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int, id_col: str, text_col: str, label_col: str,
+    docs: DataFrame, labels: DataFrame, per_class: dict[str, int], max_bytes: int, id_col: str, text_col: str, label_col: str,
 ) -> tuple[list[str], list[bool]]:
-    """At most ``per_class`` texts of each label, picked by a hash of their ids, for the driver to fit to."""
+    """At most so many texts of each label (``per_class``), picked by a hash of their ids, for the driver to fit to."""
     known = (
         labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull() & ~is_held_out(id_col))
         .groupBy(F.col(f"`{id_col}`").alias("id")).agg((F.max(F.col(f"`{label_col}`").cast("int")) > 0).alias("bad")))
-    some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in ("bad", "not bad")]
+    some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in per_class.items()]
     picked = some[0].unionByName(some[1])
     rows = (
         docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= max_bytes)
@@ -237,13 +251,14 @@ def offending(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, i
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 65_536, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_share: int = 4, max_bytes: int = 32_768, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic",
 ) -> DataFrame:
     """(id_col, score, spans) of every row: toxicity of the whole text and the offsets of its toxic runs.
 
-    The chain is fitted in the driver to at most ``per_class`` labelled rows of each label, of texts of up to
-    ``max_bytes`` (the documented bound of what the driver holds), never to held-out rows.  A word's
+    The chain is fitted in the driver to at most ``per_class`` toxic rows and ``clean_share`` times as many
+    others, of texts of up to ``max_bytes`` (the documented bound of what the driver holds), never to
+    held-out rows.  A word's
     features are the word and its prefixes; words are labelled in toxic documents where they, or
     a prefix, mark those documents in many different contexts.  Scoring reads every text whole: documents
     are cut into chains of CHAIN words, forward-backward gives each word's marginal, and the
@@ -254,7 +269,7 @@ def score_toxicity(
     both labels every score is that of a text without words; repeated rows are each scored; an empty
     table gives no rows; other columns are ignored.
     """
-    model = train(*labelled_sample(docs, labels, per_class, max_bytes, id_col, text_col, label_col))
+    model = train(*labelled_sample(docs, labels, {"bad": per_class, "not bad": clean_share * per_class}, max_bytes, id_col, text_col, label_col))
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
