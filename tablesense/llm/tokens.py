@@ -121,7 +121,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list[str], chars: int = 4_000_000):
+def slices(texts: list[str], chars: int = 1_000_000):
     """Runs of ``texts`` of about ``chars`` code points, a longer text being a run of its own: (from, to)."""
     at = size = 0
     for i, t in enumerate(texts):
