@@ -9,7 +9,7 @@ from tablesense.catalogue import query
 from tablesense.catalogue import schema as S
 from tablesense.operators import profile as P
 from tablesense.operators.column_types import column_types
-from tablesense.operators.labels import label_columns, rules
+from tablesense.operators.labels import label_columns
 from tablesense.operators.ranks import spacing
 from tablesense.operators.value_counts import column_refs, value_counts
 from tablesense.session import cut_lineage, load_tables
@@ -88,7 +88,7 @@ def categorical_distribution(spark, path):
 WITH e AS (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders)
 SELECT strftime(m, '%Y-%m') AS period, n, strftime(a, '%Y-%m-%dT%H:%M:%S') AS first_at, strftime(b, '%Y-%m-%dT%H:%M:%S') AS last_at,
        (epoch_us(b) - epoch_us(a)) // 86400000000 AS span_days
-FROM (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 24), e""")
+FROM (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1), e""")
 def temporal_distribution(spark, path):
     return P.temporal_distribution(load_tables(spark, path, ["orders"])["orders"], "o_orderdate")
 
@@ -190,7 +190,7 @@ def derived_column_types(spark, path):
 # --- labels -------------------------------------------------------------------
 def rule_rows() -> str:
     out = []
-    for rank, label, confidence, pattern, share, allowed, words in rules():
+    for rank, (label, confidence, pattern, share, allowed, words) in enumerate(V.LABEL_RULES):
         lst = lambda xs: "[" + ", ".join(S.quote(x) for x in xs) + "]::VARCHAR[]"
         out.append(f"({rank}, '{label}', {S.quote(V.LABEL_PATTERNS[pattern]) if pattern else 'NULL'}, {share}, {lst(allowed)}, {lst(words)})")
     return "(VALUES " + ",\n".join(out) + ") r(rank, label, pattern, share, allowed, words)"

@@ -161,7 +161,7 @@ def composite_keys(spark, path):
 KEY_SCORE = "CASE WHEN regexp_matches(column_name, '(^|_)(id|key|code|no|num|number|ref|sku|uuid)(_|$)') THEN 2 WHEN regexp_matches(column_name, 'id|key|code|no|num|number|ref|sku|uuid') THEN 1 ELSE 0 END"
 ROW_SETS = S.union(
     f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows"
-    for t in S.GIVEN if t != "lineitem")
+    for t in S.GIVEN)
 
 
 @query("key_discovery", f"""
@@ -172,7 +172,6 @@ SELECT d.table_name, d.duplicate_rows, k.column_name AS primary_key, CASE WHEN k
 FROM ({ROW_SETS}) d LEFT JOIN k USING (table_name)""")
 def key_discovery(spark, path):
     tables = load_tables(spark, path)
-    tables.pop("lineitem")
     return K.key_table(spark, K.discover_keys(tables)).select("table_name", "duplicate_rows", "primary_key", "source")
 
 
@@ -278,19 +277,39 @@ def fd_sql(table: str, keys: tuple[str, ...]) -> str:
         for a in cols if a not in keys for b in cols if a != b)
 
 
-FD_TABLES = {"nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
-             "orders": ("o_orderkey",), "documents": ("doc_id",), "events": ("event_id",), "lineitem": ()}
+FD_KEYS = {"nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
+           "orders": ("o_orderkey",), "documents": ("doc_id",), "events": ("event_id",), "region": ("r_regionkey",),
+           "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",)}
+FD_TABLES = {t: FD_KEYS.get(t, ()) for t in S.GIVEN}
+#: Customers with columns that depend on each other: exactly, approximately, and on a determinant with padded spellings.
+PLACES = """SELECT c_nationkey % 10 AS city, c_nationkey % 5 AS zone,
+ CASE WHEN c_custkey % 500 = 1 THEN 'odd' ELSE 'zone' || CAST(c_nationkey % 5 AS {text}) END AS zone_name,
+ CASE c_custkey % 3 WHEN 0 THEN ' n' WHEN 1 THEN 'n ' ELSE 'n' END || CAST(c_custkey % 40 AS {text}) AS spelling, c_custkey % 120 AS third,
+ 'seg' || CAST(c_custkey % 120 % 7 AS {text}) AS segment FROM {table}"""
+PLACE_COLUMNS = ("city", "zone", "zone_name", "spelling", "third", "segment")
+
+
+def places_sql() -> str:
+    return S.union(
+        f"SELECT 'places' AS table_name, '{a}' AS determinant, '{b}' AS dependent, count(*) FILTER (WHERE n > 1) AS witness_groups, "
+        f"count(*) FILTER (WHERE n > 1 AND d = 1) AS consistent_witnesses, count(*) AS total_groups, sum(n)::BIGINT AS rows_considered, "
+        f"(SELECT count(DISTINCT {a}) / count(*) FROM places) AS ratio, (SELECT least(count(DISTINCT {a}), count(DISTINCT {b})) FROM places) AS fewest "
+        f"FROM (SELECT {a}, count(*) AS n, count(DISTINCT {b}) AS d FROM places GROUP BY {a})"
+        for a in PLACE_COLUMNS for b in PLACE_COLUMNS if a != b)
 
 
 @query("dependencies", f"""
+WITH places AS ({PLACES.format(text='VARCHAR', table='customer')})
 SELECT table_name, determinant, dependent, witness_groups, consistent_witnesses, total_groups, rows_considered,
        consistent_witnesses = witness_groups AS exact
-FROM ({S.union(fd_sql(t, k) for t, k in FD_TABLES.items())})
+FROM ({places_sql()} UNION ALL {S.union(x for t, k in FD_TABLES.items() if (x := fd_sql(t, k)))})
 WHERE ratio <= 0.9 AND fewest >= 2 AND total_groups >= 2 AND witness_groups >= 2 AND rows_considered >= 12 AND consistent_witnesses / witness_groups >= 0.95""")
 def dependencies(spark, path):
     from tablesense.operators import dependencies as FD
 
-    tables = load_tables(spark, path, FD_TABLES)
+    tables = load_tables(spark, path)
+    tables["customer"].createOrReplaceTempView("ts_customer")
+    tables["places"] = spark.sql(PLACES.format(text="STRING", table="ts_customer"))
     return FD.dependencies(spark, tables, FD_TABLES).drop("score")
 
 

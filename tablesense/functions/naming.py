@@ -14,15 +14,19 @@ def _suffixed(base: Column, rank: Column) -> Column:
     )
 
 
-def unique_names(df: DataFrame, table: list[str], order: str, name: str, out: str, passes: int = 3) -> DataFrame:
+def unique_names(df: DataFrame, table: list[str], order: str, name: str, out: str) -> DataFrame:
     """Later repeats of a name get ``_2``, ``_3`` …; a suffixed name that collides is suffixed again.
 
-    Windows are as wide as one name within one table, so a table's width bounds them.
+    Passes follow until no name repeats in its table.  From the fourth on their numbers start higher each
+    time, so names cut to the longest length cannot meet for ever.  Windows are as wide as one name
+    within one table, so a table's width bounds them.
     """
-    current = df.withColumn(out, F.col(name))
-    for _ in range(passes):
+    current, done = df.withColumn(out, F.col(name)), 0
+    while done < 1 or not current.groupBy(*table, out).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
         w = Window.partitionBy(*table, out).orderBy(order)
-        current = current.withColumn("_rank", F.row_number().over(w)).withColumn(
+        number = F.row_number().over(w)
+        current = current.withColumn("_rank", F.when(number == 1, 1).otherwise(number + max(0, done - 2))).withColumn(
             out, _suffixed(F.col(out), F.col("_rank"))
         ).drop("_rank")
+        done += 1
     return current

@@ -6,13 +6,11 @@ from collections.abc import Mapping
 from datetime import date
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablesense import values as V
 from tablesense.functions import text as X
 
-SHAPE_ROWS = 20
-
 
 def register(tables: Mapping[str, DataFrame]) -> None:
     """Published tables as temporary views: the only thing a query can read."""
@@ -26,54 +24,40 @@ def bounded(df: DataFrame, cap: int = V.MAX_ROWS) -> tuple[DataFrame, DataFrame]
     return df.limit(cap), flag
 
 
-def column_kind(field: T.StructField, sample: list) -> str:
-    """numeric, date, boolean or text, from the type and up to twenty values."""
-    kind = field.dataType
-    if isinstance(kind, T.BooleanType):
-        return "boolean"
-    if isinstance(kind, T.NumericType):
-        return "numeric"
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return "date"
-    return "date" if sample and all(_dated(v) for v in sample) else "text"
+DAY = r"^\d{4}-\d{2}-\d{2}"
+MONTH = r"^\d{4}-(0[1-9]|1[0-2])$"
+#: (chart, rows, columns, date columns, numeric columns, other columns), each as (least, most); the first that fits.
+CHARTS = (
+    ("metric", (1, 1), (1, 1), (0, None), (0, None), (0, None)),
+    ("line", (0, None), (2, 2), (1, 1), (1, 1), (0, None)),
+    ("pie", (2, 3), (2, 2), (0, None), (1, 1), (1, 1)),
+    ("bar", (0, None), (2, 2), (0, None), (1, 1), (1, 1)),
+    ("multi_line", (0, None), (3, None), (1, 1), (2, None), (0, None)),
+    ("line", (0, None), (3, None), (1, 1), (1, 1), (0, None)),
+    ("table", (0, None), (0, None), (0, None), (0, None), (0, None)),
+)
 
 
-def _dated(text: object) -> bool:
-    if not isinstance(text, str):
-        return False
-    if len(text) == 7 and text[4] == "-" and text[:4].isdigit() and text[5:] in {f"{m:02d}" for m in range(1, 13)}:
-        return True
-    try:
-        date.fromisoformat(text[:10])
-    except ValueError:
-        return False
-    return len(text) >= 10 and text[4] == "-"
+def is_dated(text: Column) -> Column:
+    """Text that opens with a day of the calendar, or is a month."""
+    return (text.rlike(DAY) & F.substring(text, 1, 10).try_cast("date").isNotNull()) | text.rlike(MONTH)
 
 
 def result_shape(df: DataFrame, cap: int = V.MAX_ROWS) -> dict:
-    """The chart a result suggests: metric, line, pie, bar, multi_line or table."""
+    """The chart that the bounded answer suggests: metric, line, pie, bar, multi_line or table.
+
+    A text column is a date if every value in the answer is one.
+    """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    samples: dict[str, list] = {}
-    if strings:
-        row = df.limit(cap).agg(*[
-            F.slice(F.collect_list(F.col(f"`{c}`")), 1, SHAPE_ROWS).alias(c) for c in strings], F.count(F.lit(1)).alias("_n")).first()
-        samples, n = {c: row[c] for c in strings}, row["_n"]
-    else:
-        n = df.limit(cap).count()
-    kinds = {f.name: column_kind(f, samples.get(f.name, [])) for f in df.schema.fields}
-    of = lambda *ks: [c for c, k in kinds.items() if k in ks]
-    numeric, dated, other, width = of("numeric"), of("date"), of("text", "boolean"), len(kinds)
-    if n == 1 and width == 1:
-        chart = "metric"
-    elif width == 2 and len(dated) == 1 and len(numeric) == 1:
-        chart = "line"
-    elif width == 2 and len(numeric) == 1 and len(other) == 1:
-        chart = "pie" if 2 <= n <= 3 else "bar"
-    elif width >= 3 and len(dated) == 1 and numeric:
-        chart = "multi_line" if len(numeric) > 1 else "line"
-    else:
-        chart = "table"
-    return {"chart": chart, "kinds": kinds, "numeric": numeric, "dates": dated}
+    row = df.limit(cap).agg(F.count(F.lit(1)).alias("rows"), *[
+        F.min(F.coalesce(is_dated(F.col(f"`{c}`")), F.lit(False)).cast("int")).alias(f"s{i}") for i, c in enumerate(strings)]).first()
+    stored = {T.BooleanType: "boolean", T.DateType: "date", T.TimestampType: "date", T.TimestampNTZType: "date"}
+    kinds = {f.name: "numeric" if isinstance(f.dataType, T.NumericType) else stored.get(type(f.dataType), "text") for f in df.schema.fields}
+    kinds |= {c: "date" for i, c in enumerate(strings) if row[f"s{i}"]}
+    by = {k: [c for c, x in kinds.items() if x == k] for k in ("numeric", "date", "text", "boolean")}
+    facts = (row["rows"], len(kinds), len(by["date"]), len(by["numeric"]), len(by["text"]) + len(by["boolean"]))
+    chart = next(name for name, *spans in CHARTS if all(least <= x and (most is None or x <= most) for x, (least, most) in zip(facts, spans)))
+    return {"chart": chart, "kinds": kinds, "numeric": by["numeric"], "dates": by["date"]}
 
 
 def date_filtered(df: DataFrame, start: date | None, end: date | None, dates: list[str] | None = None) -> DataFrame:
@@ -96,7 +80,7 @@ def answer_saved(spark: SparkSession, saved: DataFrame, question: str, cap: int
     Spark analyses a statement before any job runs, so a stale one costs nothing.
     """
     same = X.normalise_question(F.col("question")) == X.normalise_question(F.lit(question))
-    for row in saved.where(same).orderBy("question").limit(V.MAX_EXAMPLES).collect():
+    for row in saved.where(same).orderBy("question", "sql").toLocalIterator():
         try:
             return bounded(spark.sql(row.sql), cap)[0]
         except PySparkException:

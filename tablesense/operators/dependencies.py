@@ -21,7 +21,8 @@ SCHEMA = (
 def witness_counts(df: DataFrame, table: str, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
     """All wanted determinant → dependent pairs of one table from one scan and one shuffle.
 
-    A row is copied once per determinant with the 64-bit digests of the dependents.
+    A row is copied once per determinant with the 64-bit digests of its own wanted dependents; the
+    determinants of a table are taken WIDE at a time, which bounds how wide a copied row gets.
     A group agrees on a dependent exactly when its smallest and largest digest are
     the same, so no distinct sets are built, every aggregate is a fixed-width number
     combined map-side, and a hot determinant value is one row per map task.
@@ -59,11 +60,11 @@ def _pairs(evidence: ColumnEvidence, table: str, keys: Sequence[str]) -> tuple[l
     rows = evidence.rows(table)
     usable = [
         r for r in evidence.refs
-        if r.table == table and not r.fractional and evidence.distinct(r) >= 2
-    ][: V.FD_MAX_COLUMNS]
+        if r.table == table and not r.fractional and evidence.distinct_raw(r) >= 2
+    ]
     left = {
-        r.column: evidence.distinct(r) for r in usable
-        if r.column not in keys and evidence.distinct(r) / rows <= V.FD_MAX_UNIQUE
+        r.column: evidence.distinct_raw(r) for r in usable
+        if r.column not in keys and evidence.distinct_raw(r) / rows <= V.FD_MAX_UNIQUE
     }
     return [r.column for r in usable], left
 
@@ -95,7 +96,7 @@ def dependencies(
             trial.append(witness_counts(sample, table, wanted))
         todo[table] = wanted
     if trial:
-        distinct = {(r.table, r.column): evidence.distinct(r) for r in evidence.refs}
+        distinct = {(r.table, r.column): evidence.distinct_raw(r) for r in evidence.refs}
         for r in reduce(DataFrame.unionAll, trial).collect():
             most = min(distinct[(r.table_name, r.determinant)], evidence.rows(r.table_name) // 2)
             if r.witness_groups - r.consistent_witnesses > (1 - threshold) * most:
@@ -148,47 +149,37 @@ def violations(df: DataFrame, determinant: str, dependent: str, values: int = 5,
     )
 
 
-def longest_chains(spark: SparkSession, edges: DataFrame, max_length: int = V.FD_MAX_COLUMNS) -> DataFrame:
-    """Longest simple path through each table's dependencies (table_name, chain).
-
-    Paths grow one edge per pass over *column names*; a table has at most 30 nodes.
-    Equivalent columns are walked once each, and a pass that adds nothing ends it.
-    """
+def longest_chains(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """Longest path through each table's dependencies (table_name, chain), over *column names* of a schema."""
     rows = edges.select("table_name", "determinant", "dependent").distinct().collect()
     out = []
     for table in sorted({r.table_name for r in rows}):
-        nxt: dict[str, list[str]] = {}
-        for r in sorted(rows, key=lambda r: (r.determinant, r.dependent)):
+        after: dict[str, set[str]] = {}
+        for r in rows:
             if r.table_name == table:
-                nxt.setdefault(r.determinant, []).append(r.dependent)
-        out.append((table, _longest_path(nxt)[:max_length]))
+                after.setdefault(r.determinant, set()).add(r.dependent)
+                after.setdefault(r.dependent, set())
+        out.append((table, longest_path(after)))
     return spark.createDataFrame(out, "table_name string, chain array<string>")
 
 
-def _longest_path(nxt: Mapping[str, Sequence[str]]) -> list[str]:
-    """Longest simple path; an upper bound on what is still reachable prunes the walk."""
-    nodes = set(nxt) | {b for bs in nxt.values() for b in bs}
-    best: list[str] = []
-
-    def reachable(node: str, seen: set[str]) -> int:
-        stack, got = [node], set()
-        while stack:
-            for b in nxt.get(stack.pop(), ()):
-                if b not in seen and b not in got:
-                    got.add(b)
-                    stack.append(b)
-        return len(got)
-
-    def walk(path: list[str]) -> None:
-        nonlocal best
-        if len(path) > len(best):
-            best = list(path)
-        if len(best) == len(nodes) or len(path) + reachable(path[-1], set(path)) <= len(best):
-            return
-        for b in nxt.get(path[-1], ()):
-            if b not in path:
-                walk([*path, b])
-
-    for start in sorted(nxt):
-        walk([start])
-    return best
+def longest_path(after: Mapping[str, set[str]]) -> list[str]:
+    """Columns that determine each other are walked one after the other; between such groups there are no
+    cycles, so the longest way on from each group is found once."""
+    reach = {a: _reached(after, a) for a in after}
+    group = {a: tuple(sorted({a} | {b for b in reach[a] if a in reach[b]})) for a in after}
+    best: dict[tuple, list[str]] = {}
+    for own in sorted(set(group.values()), key=lambda g: (len(reach[g[0]]), g)):  # what is reached comes first
+        following = [best[group[b]] for a in own for b in sorted(after[a]) if group[b] != own]
+        best[own] = [*own, *max(following, key=len, default=[])]
+    return max((best[g] for g in sorted(best)), key=len, default=[])
+
+
+def _reached(after: Mapping[str, set[str]], start: str) -> set[str]:
+    seen: set[str] = set()
+    todo = [start]
+    while todo:
+        fresh = after[todo.pop()] - seen
+        seen |= fresh
+        todo.extend(fresh)
+    return seen

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesense.session import row_counts
 
 
-def arrival(name: str) -> tuple[int, str]:
-    """``t`` came before ``t_2`` before ``t_3``."""
-    match = re.search(r"_(\d+)$", name)
-    return (int(match.group(1)) if match else 1, name)
+def arrival(name: Column) -> Column:
+    """Sorts names by when they came: ``t`` before ``t_2`` before ``t_3``."""
+    number = F.regexp_extract(name, r"_(\d+)$", 1)
+    return F.struct(F.when(number == "", 1).otherwise(number.try_cast("bigint")).alias("number"), name.alias("name"))
 
 
 def table_digest(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
@@ -32,24 +31,21 @@ def table_digest(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
 
 
 def duplicate_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(copy, original).  Only tables of equal shape are ever read in full."""
-    counts = {r.table_name: r.row_count for r in row_counts(tables).collect()}
-    shapes: dict[tuple, list[str]] = {}
-    for name, df in tables.items():
-        shapes.setdefault((tuple(df.columns), counts[name]), []).append(name)
-    twins = [n for names in shapes.values() if len(names) > 1 for n in names]
-    out = []
-    if twins:
-        digests = reduce(DataFrame.unionAll, [
-            table_digest(tables[n]).select(F.lit(n).alias("name"), "total", "total2", "mix") for n in twins]).collect()
-        mark = {r.name: (tuple(tables[r.name].columns), counts[r.name], r.total, r.total2, r.mix) for r in digests}
-        first: dict[tuple, str] = {}
-        for name in sorted(twins, key=arrival):
-            if mark[name] in first:
-                out.append((name, first[mark[name]]))
-            else:
-                first[mark[name]] = name
-    return spark.createDataFrame(out, "copy string, original string")
+    """(copy, original): tables with the digest, columns and rows of one that came earlier.
+
+    Only tables of equal shape are ever read in full.
+    """
+    shapes = row_counts(tables).join(
+        spark.createDataFrame([(n, df.columns) for n, df in tables.items()], "table_name string, columns array<string>"), "table_name")
+    twins = shapes.groupBy("row_count", "columns").agg(F.collect_list("table_name").alias("names")).where("size(names) > 1")
+    names = [n for r in twins.select("names").collect() for n in r.names]
+    if not names:
+        return spark.createDataFrame([], "copy string, original string")
+    digests = reduce(DataFrame.unionAll, [
+        table_digest(tables[n]).select(F.lit(n).alias("table_name"), "total", "total2", "mix") for n in names])
+    alike = digests.join(shapes, "table_name").groupBy("row_count", "columns", "total", "total2", "mix").agg(
+        F.min_by("table_name", arrival(F.col("table_name"))).alias("original"), F.collect_list("table_name").alias("names"))
+    return alike.select(F.explode("names").alias("copy"), "original").where("copy <> original")
 
 
 def without_copies(catalogue: DataFrame, copies: DataFrame, column: str = "table_name") -> DataFrame:

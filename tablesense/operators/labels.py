@@ -10,17 +10,6 @@ from tablesense.operators.profile import top_values
 SAMPLE = 20
 
 
-def rules() -> list[tuple[int, str, float, str | None, float, list[str], list[str]]]:
-    """(rank, label, confidence, pattern name, share, allowed types, keywords) per fixed rule."""
-    out = []
-    for rank, line in enumerate(V.LABEL_RULES.strip().splitlines()):
-        label, confidence, pattern, share, kinds, words = (x.strip() for x in line.split("|"))
-        allowed = list(V.NUMERIC_COLUMN_TYPES) if kinds == "numeric" else [] if kinds == "-" else kinds.split(",")
-        out.append((rank, label, float(confidence), None if pattern == "-" else pattern, 0.0 if share == "-" else float(share),
-                    allowed, [] if words == "-" else words.split()))
-    return out
-
-
 def pattern_shares(counts: DataFrame) -> DataFrame:
     """Share of a column's 20 most frequent values that fit each value pattern."""
     sample = top_values(counts, SAMPLE)
@@ -38,7 +27,7 @@ def label_columns(types: DataFrame, counts: DataFrame) -> DataFrame:
     table = F.array(*[
         F.struct(F.lit(label).alias("label"), F.lit(min(0.99, c + 0.03) if p and words else c).alias("score"), F.lit(p).cast("string").alias("pattern"),
                  F.lit(share).alias("share"), lits(allowed).alias("allowed"), lits(words).alias("words"))
-        for _, label, c, p, share, allowed, words in rules()])
+        for label, c, p, share, allowed, words in V.LABEL_RULES])
 
     def fits(rule: Column) -> Column:
         named = F.exists(rule["words"], lambda w: F.when(F.contains(w, F.lit("_")), F.contains(F.col("_name"), w)).otherwise(F.array_contains(F.col("_tokens"), w)))

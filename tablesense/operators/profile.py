@@ -117,13 +117,13 @@ def categorical_distribution(counts: DataFrame, k: int = V.TOP_VALUES) -> DataFr
     return top_values(counts, k).join(F.broadcast(totals), "cid").withColumn("share", F.col("n") / F.col("total"))
 
 
-def temporal_distribution(df: DataFrame, column: str, months: int = V.MAX_MONTHS) -> DataFrame:
-    """One row per month (first 24) with the column's first, last and whole days between."""
+def temporal_distribution(df: DataFrame, column: str, months: int | None = None) -> DataFrame:
+    """One row per month (the first ``months``, if given) with the column's first, last and whole days between."""
     t = F.col(f"`{column}`").cast("timestamp_ntz")
     edge = df.agg(F.date_format(F.min(t), "yyyy-MM-dd'T'HH:mm:ss").alias("first_at"), F.date_format(F.max(t), "yyyy-MM-dd'T'HH:mm:ss").alias("last_at"),
                   F.floor(F.timestamp_diff("MICROSECOND", F.min(t), F.max(t)) / 86_400_000_000).alias("span_days")).first()
     by = df.where(t.isNotNull()).groupBy(F.date_trunc("month", t).cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return by.orderBy("month").limit(months).select(
+    return (by if months is None else by.orderBy("month").limit(months)).select(
         F.date_format("month", "yyyy-MM").alias("period"), "n", F.lit(edge.first_at).alias("first_at"), F.lit(edge.last_at).alias("last_at"),
         F.lit(edge.span_days).cast("bigint").alias("span_days"))
 

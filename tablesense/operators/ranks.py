@@ -29,8 +29,17 @@ def select_ranks(
     """
     spark = long.sparkSession
     bounds = {g: (lo, hi) for g, (_, lo, hi) in (bounds or group_bounds(long)).items()}
-    open_ = {(g, k): (bounds[g][0], bounds[g][1], k) for g, k in targets if g in bounds}
     found: dict[tuple[str, int], float] = {}
+    below = _finite_bounds(long, bounds)
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
+    for g, k in targets:
+        first, inside = below.get(g, (0, math.inf))
+        if g not in bounds:
+            continue
+        if first <= k < first + inside:
+            open_[(g, k)] = (*bounds[g], k - first)
+        else:
+            found[(g, k)] = -math.inf if k < first else math.inf
     while open_:
         for key, (lo, hi, _) in list(open_.items()):
             if lo == hi:
@@ -43,7 +52,9 @@ def select_ranks(
             [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)],
             "span int, group_id string, lo double, hi double",
         )
-        share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        span = F.col("hi") - F.col("lo")  # beyond the range of a double, halves are compared
+        share = F.when(span < math.inf, (F.col("x") - F.col("lo")) / span).otherwise(
+            (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
         bins = (
             long.join(F.broadcast(frame), "group_id")
             .where(F.col("x").between(F.col("lo"), F.col("hi")))
@@ -64,6 +75,20 @@ def select_ranks(
     return found
 
 
+def _finite_bounds(long: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, tuple[int, int]]:
+    """Of groups that hold an infinity: (values at minus infinity, finite values); ``bounds`` become the finite ones."""
+    wide = [g for g, pair in bounds.items() if any(map(math.isinf, pair))]
+    if not wide:
+        return {}
+    finite = F.when(F.abs("x") < math.inf, F.col("x"))
+    rows = long.where(F.col("group_id").isin(wide)).groupBy("group_id").agg(
+        F.count_if(F.col("x") == -math.inf).alias("below"), F.count(finite).alias("inside"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()
+    for r in rows:
+        if r.inside:
+            bounds[r.group_id] = (r.lo, r.hi)
+    return {r.group_id: (r.below, r.inside) for r in rows}
+
+
 def exact_medians(long: DataFrame, bounds: Mapping[str, tuple[int, float, float]] | None = None) -> dict[str, float]:
     """Exact median per group of ``long`` (group_id, x)."""
     bounds = bounds or group_bounds(long)

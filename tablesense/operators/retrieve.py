@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -53,12 +54,13 @@ def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vec
     the rows, so nothing is cross-joined or shuffled before every task has kept its
     best ``k`` per query.
     """
-    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).collect()
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).toLocalIterator()
     kind = queries.schema[query_id].dataType
-    parts = []
-    for start in range(0, len(asked), QUERY_BATCH):
+    none = rows.limit(0).select(F.lit(None).cast(kind).alias("query_id"), F.col(row_id), F.lit(None).cast("double").alias("similarity"))
+    parts = [none]
+    while some := list(islice(asked, QUERY_BATCH)):
         literals = F.array(*[
-            F.struct(F.lit(r.q).cast(kind).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.v]).alias("_q")) for r in asked[start: start + QUERY_BATCH]])
+            F.struct(F.lit(r.q).cast(kind).alias("query_id"), F.array(*[F.lit(float(x)) for x in r.v]).alias("_q")) for r in some])
         parts.append(rows.select(F.col(row_id), F.col(vector).alias("_v"), F.inline(literals)).select(
             "query_id", row_id, cosine(F.col("_q"), F.col("_v")).alias("similarity")))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)

@@ -12,7 +12,7 @@ rows is one row per map task before anything is shuffled:
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -211,25 +211,59 @@ class ColumnEvidence:
     refs: list[ColumnRef]
     #: cid -> (rows of its table, non-blank rows)
     filled: dict[int, tuple[int, int]]
-    #: (cid, cid) -> distinct values the two columns share
+    #: (cid, cid) -> distinct values the two columns share, text without blanks at its ends
     shared: dict[tuple[int, int], int]
+    #: cid -> distinct values as they stand, for columns whose text has blanks at its ends
+    padded: dict[int, int] = field(default_factory=dict)
 
     def rows(self, table: str) -> int:
         return next((self.filled[r.cid][0] for r in self.refs if r.table == table), 0)
 
     def distinct(self, ref: ColumnRef) -> int:
+        """Distinct values as references compare them."""
         return self.shared.get((ref.cid, ref.cid), 0)
 
+    def distinct_raw(self, ref: ColumnRef) -> int:
+        """Distinct values as they stand, as keys and dependencies group them."""
+        return self.padded.get(ref.cid, self.distinct(ref))
+
 
 def gather_evidence(tables: Mapping[str, DataFrame]) -> ColumnEvidence:
     """Two jobs for a whole dataset: filled cells, and shared distinct values.
 
-    Fractional columns can be neither keys nor references, so their values are
+    A third counts distinct values as they stand, of those text columns only where some value has
+    blanks at its ends (the first job tells).  Fractional columns can be neither keys nor references, so their values are
     not shuffled at all.
     """
     refs = column_refs(tables)
     whole = [r for r in refs if not r.fractional]
     pairs = overlaps(tables, whole).collect() if whole else []
+    text = [r for r in whole if r.family == "text"]
+    wide = padded_columns(tables, text) if text else set()
     return ColumnEvidence(
-        refs, non_null_counts(tables, refs), {(r.left_cid, r.right_cid): r.matched for r in pairs}
+        refs, non_null_counts(tables, refs), {(r.left_cid, r.right_cid): r.matched for r in pairs},
+        raw_distinct(tables, [r for r in text if r.cid in wide]),
     )
+
+
+def padded_columns(tables: Mapping[str, DataFrame], refs: list[ColumnRef]) -> set[int]:
+    """Text columns with a value that begins or ends with a blank: one narrow aggregate per table."""
+    parts = []
+    for name, df in tables.items():
+        mine = [r for r in refs if r.table == name]
+        if mine:
+            text = [cell_text(F.col(f"`{r.column}`"), r.data_type) for r in mine]
+            flags = df.agg(*[F.max((F.octet_length(F.btrim(t)) < F.octet_length(t)).cast("int")).alias(f"c{r.cid}") for r, t in zip(mine, text)])
+            parts.append(flags.select(F.inline(F.array(*[F.struct(F.lit(r.cid).alias("cid"), F.col(f"c{r.cid}").alias("padded")) for r in mine]))))
+    return {r.cid for r in reduce(DataFrame.unionAll, parts).where("padded = 1").collect()}
+
+
+def raw_distinct(tables: Mapping[str, DataFrame], refs: list[ColumnRef]) -> dict[int, int]:
+    """cid -> distinct values as they stand."""
+    parts = [
+        long_cells(df, mine).select("cid", equality_key(F.col("value")).alias("value"))
+        for name, df in tables.items() if (mine := [r for r in refs if r.table == name])]
+    if not parts:
+        return {}
+    counted = reduce(DataFrame.unionAll, parts).distinct().groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    return {r.cid: r.n for r in counted.collect()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
 
@@ -12,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 #: A side is broadcast only when Spark's own size estimate of it is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+#: Spark's default size of a file split.
+SPLIT_BYTES = 128 * 1024 * 1024
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -36,6 +38,7 @@ def build_session(app: str = "tablesense", cpus: int | None = None) -> SparkSess
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -62,23 +65,32 @@ def drop_binary(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the cluster's shared folder, so a lost executor costs no recompute.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder is chosen here only
-    where none is configured, as in local tests.
+    ``spark.checkpoint.dir`` is read from the session; ``shared_root`` says what holds without it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tablesense-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate data: ``spark.checkpoint.dir``, else the warehouse folder.
+
+    On a cluster, executors do not see each other's local folders: there, a warehouse folder that is
+    local is refused and ``spark.checkpoint.dir`` must be set.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or warehouse.startswith("/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors can reach: under the cluster's shared one when set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """The name of a fresh folder that all executors can reach."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def as_catalogue(df: DataFrame) -> DataFrame:
@@ -107,14 +119,15 @@ def spread(df: DataFrame, floor_bytes: int = 1 << 20) -> DataFrame:
     """Split an input that arrives in fewer partitions than there are cores.
 
     A table stored as one unsplittable piece would run all per-cell work in one
-    task.  Inputs that already have a partition per core, as any large table
-    does, are returned untouched.
+    task.  Files and split size tell from the plan alone how many partitions a scan gets; inputs that
+    already have a partition per core, as any large table does, are returned untouched.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) < floor_bytes:
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, estimated_bytes(df)
+    if size < floor_bytes:
         return df
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if parts * 2 <= cores else df
+    parts = max(len(df.inputFiles()), size // SPLIT_BYTES)
+    return df.repartition(cores) if 0 < parts * 2 <= cores else df
 
 
 def metadata_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

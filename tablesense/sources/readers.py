@@ -25,10 +25,14 @@ def safe_columns(spark: SparkSession, names: Sequence[str]) -> list[str]:
     return out
 
 
-def load_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Every cell as text, no type guessing, header names made safe and unique."""
+def load_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Every cell as text, no type guessing, header names made safe and unique.
+
+    A quoted cell may hold line ends.  Large files without such cells can be split among tasks with
+    ``multi_line=False``.
+    """
     raw = (
-        spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", False)
+        spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("multiLine", multi_line)
         .option("escape", '"').csv(path)
     )
     return raw.toDF(*safe_columns(spark, raw.columns))
@@ -111,9 +115,9 @@ def load_records(lines: DataFrame, schema: str, column: str = "value", position:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(position, value): text lines in file order, ordered by file then offset within it."""
-    df = spark.read.text(path).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    return df.select(F.struct("_file", "_at").alias("position"), "value")
+    """(position, value): text lines in file order, ordered by file, split of the file and place in the split."""
+    return spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")).alias("position"), "value")
 
 
 def preview(df: DataFrame, rows: int = 25) -> DataFrame:

@@ -13,9 +13,10 @@ from tablesense.operators import (
     profile as P, publish as PB, retrieve as R, sample as SM, settle, steps as ST, table_profile as TP, triage,
 )
 from tablesense.operators.column_types import column_types
-from tablesense.operators.ranks import exact_medians, number_rows, spacing
+from tablesense.operators.ranks import exact_medians, number_rows, select_ranks, spacing
 from tablesense.operators.value_counts import column_refs, gather_evidence, value_counts
 from tablesense.session import row_counts
+from tablesense.sources import readers
 
 
 def frame(spark, rows, schema):
@@ -159,7 +160,7 @@ def test_dependencies(spark):
     assert ("region", "city") not in found
     once = frame(spark, [(i, "a" if i % 2 else "b") for i in range(30)], "a int, b string")
     assert FD.dependencies(spark, {"t": once}).count() == 0
-    assert FD._longest_path({"a": ["b"], "b": ["c", "a"], "x": ["c"]}) == ["a", "b", "c"]
+    assert FD.longest_path({"a": {"b"}, "b": {"c", "a"}, "x": {"c"}, "c": set()}) == ["a", "b", "c"]
 
 
 def test_sampling_never_changes_dependencies(spark):
@@ -357,3 +358,70 @@ def test_recovered_and_nearest(spark):
     assert sorted((r.query_id, r.id) for r in got.collect()) == [(1, 1), (2, 2)]
     plan_text = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan_text and "Cartesian" not in plan_text
+
+
+# --- no caps, no switches -----------------------------------------------------
+def test_padded_text_is_counted_as_it_stands(spark):
+    df = frame(spark, [("a", 1), ("a ", 2), ("b", 2), (" b", 1), ("c", 1)], "k string, n int")
+    found = K.discover_keys({"t": df})["t"]
+    assert found.primary_key == ["k"] and K.is_key(df, ["k"])
+
+
+def test_padded_determinants_on_both_sides_of_the_sample(spark):
+    rows = [("v" + " " * (i % 10) + str(i % 100) + " " * (i // 100 % 10), "x" if i < 6 else str(i % 100 % 7)) for i in range(6000)]
+    df = {"t": frame(spark, rows, "a string, b string")}
+    full = {tuple(r) for r in FD.dependencies(spark, df, sample_rows=10**9).collect()}
+    assert any(r[1:3] == ("a", "b") for r in full)
+    assert {tuple(r) for r in FD.dependencies(spark, df, sample_rows=500).collect()} == full
+
+
+def test_composite_key_in_a_wide_table(spark):
+    rows = [(*[(i * (j + 3)) % 29 for j in range(12)], i // 5, i % 5) for i in range(100)]
+    columns = [*[f"n{j}" for j in range(12)], "order_no", "line_no"]
+    df = frame(spark, rows, ", ".join(f"{c} int" for c in columns))
+    assert ["order_no", "line_no"] in [sorted(c, key=columns.index) for c in K.discover_keys({"t": df})["t"].candidates]
+
+
+def test_ranks_with_infinities_end(spark):
+    inf = float("inf")
+    long = frame(spark, [("a", x) for x in (-inf, 1.0, 2.0, inf, inf)] + [("b", -1e308), ("b", 0.0), ("b", 1e308), ("c", inf)], "group_id string, x double")
+    asked = [("a", k) for k in range(5)] + [("b", k) for k in range(3)] + [("c", 0)]
+    got = select_ranks(long, asked)
+    assert [got[q] for q in asked] == [-inf, 1.0, 2.0, inf, inf, -1e308, 0.0, 1e308, inf]
+
+
+def test_names_are_unique_however_they_collide(spark):
+    from tablesense.functions.naming import unique_names
+
+    names = ["a", "a", "a_2", "a_2", "a_2_2", "a_2_2", "a_2_2_2", "a_2_2_2", "a_2_2_2_2", *["z" * 63] * 4, "z" * 61 + "_2"]
+    got = [r.name for r in unique_names(frame(spark, [(1, i, n) for i, n in enumerate(names)], "t int, i int, n string"), ["t"], "i", "n", "name").collect()]
+    assert len(set(got)) == len(names) and max(map(len, got)) <= 63
+
+
+def test_columns_reproduce_or_stay_undecided(spark):
+    gold = frame(spark, [(i, i % 3, i % 3 + 10) for i in range(9)], "g0 int, g1 int, g2 int")
+    pred = gold.select(F.col("g2").alias("p0"), F.col("g1").alias("p1"), F.col("g0").alias("p2"))
+    assert CMP.columns_reproduce(pred, gold) is True
+    swapped = frame(spark, [(i, (i + 1) % 3, i % 3 + 10) for i in range(9)], "p0 int, p1 int, p2 int")
+    assert CMP.columns_reproduce(swapped, gold) is False
+    assert CMP.columns_reproduce(pred, gold, most=1) is None
+
+
+def test_nearest_without_questions(spark):
+    rows = frame(spark, [(1, [1.0, 0.0])], "id int, v array<double>")
+    assert R.nearest(rows.limit(0).withColumnRenamed("id", "q"), rows, "q", "id", "v", 3).count() == 0
+
+
+def test_quoted_line_ends_stay_in_their_cell(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert sorted(tuple(r) for r in readers.load_delimited(spark, str(tmp_path / "t.csv")).collect()) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_lines_come_in_file_order(spark, tmp_path):
+    (tmp_path / "r.txt").write_text("".join(f"line {i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        got = [r.value for r in readers.read_lines(spark, str(tmp_path / "r.txt")).orderBy("position").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"line {i}" for i in range(500)]
