@@ -218,7 +218,7 @@ def test_added_spans():
 
 
 def test_base_spans_by_chance():
-    from test_queries import BASE, base_spans
+    from test_llm_queries import BASE, base_spans
 
     rnd = random.Random(1)
     parts = ["4539578763621486", "1.2.3.4", "+1 (366) 555-9807", "a.b@c.d.e", "10.0.0.1.", "4539 5787 6362 1486 ", "..", "@@", "1.2.3.4.5.6.7.8", "256.1.1.1"]
