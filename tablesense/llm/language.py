@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesense.llm import tokens
 from tablesense.llm.common import broadcast_counted, settle
@@ -57,20 +57,27 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", language_col: str = "lang", per_language: int = 500, most: int = 200, max_bytes: int = 65_536,
+    docs: DataFrame, text_col: str = "text", language_col: str = "lang", per_language: int = 500, most: int = 50, max_bytes: int = 16_384,
 ) -> TextModel:
     """A text model from at most ``per_language`` texts (of at most ``max_bytes``) of each of the ``most`` commonest declared languages.
 
-    The texts are picked by a hash of themselves; these three bounds are what the driver holds.  The
-    languages' own frequencies are left to the priors, which read all rows.
+    The texts are picked by a hash of themselves, copies counting once; these three bounds are what the driver
+    holds, and only hashes are sorted to pick.  The languages' own frequencies are left to the priors, which
+    read all rows.
     """
-    known = docs.select(primary(F.col(f"`{language_col}`")).alias("language"), F.col(f"`{text_col}`").alias("text"), F.octet_length(F.col(f"`{text_col}`")).alias("n"))
+    known = docs.select(
+        primary(F.col(f"`{language_col}`")).alias("language"), F.col(f"`{text_col}`").alias("text"),
+        F.octet_length(F.col(f"`{text_col}`")).alias("n"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
     known = known.where("language <> '' and n > 0")
     languages = sorted(r.language for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most).collect())
+    first = F.row_number().over(Window.partitionBy("language").orderBy("h"))
+    some = known.where(F.col("language").isin(languages) & (F.col("n") <= max_bytes))
+    picked = some.select("language", "h").distinct().withColumn("r", first).where(F.col("r") <= per_language).select("language", "h")
+    texts = some.join(F.broadcast(picked), ["language", "h"]).groupBy("language", "h").agg(F.min("text").alias("text")).collect()
     table = np.full((max(1, len(languages)), CODES), 0.5)
     for i, language in enumerate(languages):
-        texts = [r.text for r in known.where((F.col("language") == language) & (F.col("n") <= max_bytes)).orderBy(F.xxhash64("text"), "text").limit(per_language).select("text").collect()]
-        table[i] += np.bincount(trigrams(texts)[0], minlength=CODES) if texts else 0
+        own = [r.text for r in texts if r.language == language]
+        table[i] += np.bincount(trigrams(own)[0], minlength=CODES) if own else 0
     return TextModel(languages or ["und"], np.log(table / table.sum(axis=1, keepdims=True)))
 
 
