@@ -192,17 +192,19 @@ def rule_rows() -> str:
     out = []
     for rank, (label, confidence, pattern, share, allowed, words) in enumerate(V.LABEL_RULES):
         lst = lambda xs: "[" + ", ".join(S.quote(x) for x in xs) + "]::VARCHAR[]"
-        out.append(f"({rank}, '{label}', {S.quote(V.LABEL_PATTERNS[pattern]) if pattern else 'NULL'}, {share}, {lst(allowed)}, {lst(words)})")
+        out.append(f"({rank}, '{label}', {S.quote(pattern) if pattern else 'NULL'}, {share}, {lst(allowed)}, {lst(words)})")
     return "(VALUES " + ",\n".join(out) + ") r(rank, label, pattern, share, allowed, words)"
 
 
 LABELS = f"""
 WITH types AS ({TYPES}),
 samples AS ({S.union(f"SELECT * FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t} GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 20)" for t, c, k in ALL)}),
-hits AS (SELECT t.table_name, t.column_name, r.rank, r.label FROM types t, {rule_rows()}
+shares AS (SELECT table_name, column_name, {", ".join(f"avg(CASE WHEN regexp_matches(value, {S.quote(p)}) THEN 1.0 ELSE 0 END) AS s_{k}" for k, p in V.LABEL_PATTERNS.items())}
+  FROM samples GROUP BY ALL),
+hits AS (SELECT t.table_name, t.column_name, r.rank, r.label FROM types t LEFT JOIN shares s USING (table_name, column_name), {rule_rows()}
   WHERE (len(allowed) = 0 OR list_contains(allowed, t.column_type))
   AND (len(words) = 0 OR len(list_filter(words, lambda w: CASE WHEN contains(w, '_') THEN contains(t.column_name, w) ELSE list_contains(string_split(t.column_name, '_'), w) END)) > 0)
-  AND (pattern IS NULL OR (SELECT avg(CASE WHEN regexp_matches(s.value, pattern) THEN 1.0 ELSE 0 END) FROM samples s WHERE s.table_name = t.table_name AND s.column_name = t.column_name) >= share))
+  AND (pattern IS NULL OR CASE pattern {" ".join(f"WHEN {S.quote(k)} THEN s_{k}" for k in V.LABEL_PATTERNS)} END >= share))
 SELECT t.table_name, t.column_name, coalesce(h.label, 'unknown') AS taxonomy_label FROM types t
 LEFT JOIN (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY rank) = 1) h USING (table_name, column_name)"""
 
