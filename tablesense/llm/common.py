@@ -66,8 +66,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows and bytes that go to a Python worker at once: whole texts, so few rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this library where it was started from a folder and not installed."""
+    """Let Python workers import this library where it was started from a folder and not installed.
+
+    Batches of texts sent to them are kept small, which bounds a worker's memory where texts are long.
+    """
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
