@@ -243,6 +243,25 @@ def triage_status(spark, path):
     return triage.statuses(counts, found).select("table_name", "status")
 
 
+def status_facts(table: str) -> str:
+    """One row of SQL: rows, distinct rows, most distinct values of a filled column that may be a key, largest share of blanks."""
+    best = ", ".join(f"CASE WHEN count({c}) = count(*) AND count(DISTINCT {c}) >= 2 THEN count(DISTINCT {c}) ELSE 0 END" for c, k in S.GIVEN[table] if k not in ("float", "array"))
+    gap = ", ".join(f"1 - count({c}) / count(*)" for c, _ in S.GIVEN[table])
+    return f"SELECT '{table}' AS table_name, count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM {table})) AS u, greatest({best}) AS best, greatest({gap}) AS gap FROM {table}"
+
+
+@query("triage_status_all", f"""
+SELECT table_name, CASE WHEN n < 3 THEN 'structural_issues' WHEN gap > 0.5 OR best < u THEN 'needs_attention'
+  WHEN gap > 0.2 OR n > u THEN 'fixable' ELSE 'clean' END AS status
+FROM ({S.union(status_facts(t) for t in S.GIVEN)})""")
+def triage_status_all(spark, path):
+    """All given tables, with repeated rows and missing keys; ``triage_status`` covers twelve of them."""
+    tables = load_tables(spark, path, list(S.GIVEN))
+    keys = K.key_table(spark, K.discover_keys(tables))
+    counts = row_counts(tables).join(F.broadcast(keys.select("table_name", "duplicate_rows")), "table_name")
+    return triage.statuses(counts, triage.issues(counts, null_ratios(tables), keys)).select("table_name", "status")
+
+
 @query("analysable_tables", f"SELECT * FROM ({S.union(f'SELECT {S.quote(t)} AS table_name, count(*) AS row_count FROM {t}' for t in S.GIVEN)}) WHERE row_count >= 3")
 def analysable_tables(spark, path):
     return triage.analysable(row_counts(load_tables(spark, path)))
