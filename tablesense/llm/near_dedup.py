@@ -20,6 +20,8 @@ DEPTHS = (2, 4, 8)
 CROWD, REACH = 32, 4
 #: Partners of a document that are compared in one block.
 BLOCK = 64
+#: Shingles are ordered by how many of them fall into one of so many buckets of hashes (a power of two).
+BUCKETS = 1 << 18
 
 
 #: An odd factor for each hash of the signature.
@@ -280,6 +282,105 @@ def _second_look(docs: DataFrame, pairs: DataFrame, found: DataFrame, groups: Da
     return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
 
 
+def crowded(reps: DataFrame) -> DataFrame:
+    """(rep) of the sets that stand in a region of more than CROWD in at least one order."""
+    step, depth = HASHES // ORDERS, DEPTHS[0]
+    twice = F.concat("signature", "signature")
+    places = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.struct(
+        t.alias("tree"), F.substring(twice, t * (4 * step) + 1, F.lit(4 * depth)).alias("key")))).alias("region"))
+    full = settle(places.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("region"), "regions")
+    return settle(places.join(broadcast_counted(full), "region").select("rep").distinct(), "crowded")
+
+
+def _bucket_counts(size: int):
+    """(id, text) to (bucket, n): how many shingles of the batch fall into each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in tokens.slices(texts):
+                held += np.bincount(_bucket(shingles(texts[a:b], size)[0]), minlength=BUCKETS)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _bucket(found: np.ndarray) -> np.ndarray:
+    return (found & words.U(BUCKETS - 1)).astype(np.int64)
+
+
+def _prefixes(size: int, share: int, often):
+    """(id, text) to (rep, n, at, h): the shingles of each set that a link's first common shingle can be, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            for a, b in tokens.slices(texts):
+                sets, counts = shingles(texts[a:b], size)
+                owner = np.repeat(np.arange(b - a), counts)
+                order = np.lexsort((sets, often.value[_bucket(sets)], owner))
+                n = counts[owner]
+                at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                kept = 100 * (n - at) >= share * n
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[a:b][owner[kept]], pa.int64()), pa.array(n[kept], pa.int64()), pa.array(at[kept], pa.int64()),
+                    pa.array(sets[order][kept].view(np.int64))], names=["rep", "n", "at", "h"])
+
+    return run
+
+
+def _groups_joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) with the groups, or nodes without one, at both ends of each link (a, b) made one."""
+    for c in "ab":
+        links = links.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")), c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
+    joined = connected_components(links.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
+    every = groups.unionByName(joined.select("node", F.col("node").alias("component")).join(groups.select("node"), "node", "left_anti"))
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+
+
+def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame:
+    """Groups joined by all links between documents of crowded regions, where not every pair was a candidate.
+
+    An exact join on prefixes.  With the shingles of every set in one common order, the first one that a link's
+    documents share stands so early in both that what follows can still be enough: with n shingles, it has at
+    most (1 - share) n before it, and in the smaller set at most (1 - 2 share / (1 + share)) n.  Documents
+    of different groups that share such a shingle are compared, where their places and sizes allow a link.
+    Any order is exact; rare shingles come first, so that what a crowd has in common is seldom in a prefix.
+    For each shingle, the members of the group that has it most often are never paired with each other.
+    """
+    some = crowded(reps)
+    if some.isEmpty():
+        return groups
+    texts = docs.join(broadcast_counted(some), F.col("id") == F.col("rep")).select("id", "text")
+    counts = texts.mapInArrow(_bucket_counts(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    label = groups.select(F.col("node").alias("rep"), "component")
+    found = settle(
+        texts.mapInArrow(_prefixes(size, share, docs.sparkSession.sparkContext.broadcast(often)), "rep long, n long, at long, h long"), "prefixes")
+    found = found.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    most = (
+        found.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("h").agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1"))
+    found = settle(found.join(most.select("h", "most"), "h"), "shared-prefixes")
+    n, at = F.col("n"), F.col("at")
+    small = found.where((100 + share) * (n - at) >= 2 * share * n).select(
+        "h", "most", F.col("rep").alias("x"), n.alias("n_x"), at.alias("at_x"), F.col("component").alias("x_group"))
+    large = found.select("h", F.col("rep").alias("y"), n.alias("n_y"), at.alias("at_y"), F.col("component").alias("y_group"), (F.col("component") == F.col("most")).alias("y_most"))
+    met = [
+        left.join(right, (left.h == right.h) & (F.col("x_group") != F.col("y_group")) & (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= share * F.col("n_y"))
+                  & ((100 + share) * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= share * (F.col("n_x") + F.col("n_y"))))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        for left, right in ((small.where("x_group <> most"), large), (small.where("x_group = most"), large.where("not y_most")))]
+    more = settle(met[0].unionByName(met[1]).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
+    if more.isEmpty():
+        return groups
+    return _groups_joined(groups, compared(docs, more, size, share).where("link").select("a", "b"))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, share: int = 75, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -297,11 +398,12 @@ def near_duplicates(
     Candidates are confirmed on their full sets of 64-bit shingle hashes, recomputed from the texts.
 
     A document near a centre that is still apart from its group then meets those of the centre's links that
-    it can itself link to.
+    it can itself link to.  Last, an exact join finds all links between documents of crowded regions that are
+    still in different groups (see ``_finish``).
 
     A pair of similarity s misses all regions with probability (1 - s^2)^ORDERS at most: 2e-6 at 0.75.
-    In crowded regions links between documents that centre or neighbours join anyway are never
-    compared; the answer is groups, not links.
+    In crowded regions links between documents that are in one group anyway are never compared; the
+    answer is groups, not links.
 
     Defined cases: null or empty texts have no shingles and are linked with nothing; a null id has a
     null component and is kept; rows with the same id and text share one answer (if an id has
@@ -314,7 +416,8 @@ def near_duplicates(
     pairs = settle(candidate_pairs(reps), "candidates")
     found = compared(rows, pairs, size, share)
     groups = settle(connected_components(found.where("link").select("a", "b")), "groups")
-    groups = _second_look(rows, pairs, found, groups, size, share)
+    groups = settle(_second_look(rows, pairs, found, groups, size, share), "groups")
+    groups = _finish(rows, reps, pairs, groups, size, share)
     classes = settle(
         reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "classes")
