@@ -170,19 +170,11 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     return found.where("a is not null").select("a", "b").unionByName(across.where("a is not null").select("a", "b")).distinct()
 
 
-PAIR = "a long, b long, link boolean, shared long, n_a long, n_b long, only_a array<long>, only_b array<long>"
+PAIR = "a long, b long, link boolean"
 
 
 def _compare(share: int):
-    """(block, role, id, set), a block's centre first, to pairs (a, b, link, ...) of the centre.
-
-    Pairs that are no link come back if they are near enough to lead to one (see ``_second_look``), with the
-    sizes of both sets and of what they share, and with the shingles that only one of them has.
-    """
-    # 1 - similarity is a metric: two links in a row are at most twice a link's distance apart
-    near = max(0, 100 - 2 * (100 - share))
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = [x.split()[0] for x in PAIR.split(", ")]
+    """(block, role, id, set), a block's centre first, to pairs (a, b, link) of the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, centre, own = None, None, None
@@ -197,11 +189,9 @@ def _compare(share: int):
                 both = np.concatenate([own, found])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * shared >= near * (len(both) - shared):
-                    only = (np.setdiff1d(x, y, True).view(np.int64) for x, y in ((own, found), (found, own)))
-                    out.append((centre, rep, 100 * shared >= share * (len(both) - shared), shared, len(own), len(found), *only))
-            cols = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                out.append((min(centre, rep), max(centre, rep), 100 * shared >= share * (len(both) - shared)))
+            a, b, link = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
     return run
 
@@ -238,50 +228,6 @@ def compared(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFr
     return settle(placed.mapInArrow(_compare(share), PAIR), "compared")
 
 
-def _second_look(docs: DataFrame, pairs: DataFrame, found: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame:
-    """Groups joined where a document near a centre links to some other neighbour of that centre.
-
-    In a crowded region not every pair was a candidate.  If x links to y and y to c, then x is at most two
-    links' distance from c, and was compared with it.  For each x near a group that is not its own, c is the
-    one with the most links of the group's members that x was compared with, and the neighbours y of c that x
-    can link to are sought.  x shares less with c than a link asks for; so it must
-    share with y a shingle that c lacks, or y must be so small that what x shares with c is enough.
-    Both are exact conditions, the first an equality join of shingles, the second a bound on sizes.
-    """
-    label = groups.select(F.col("node").alias("of"), "component")
-
-    def grouped(df: DataFrame, c: str) -> DataFrame:
-        return df.join(label.select(F.col("of").alias(c), F.col("component").alias(f"{c}_group")), c, "left").withColumn(f"{c}_group", F.coalesce(f"{c}_group", c))
-
-    def around(df: DataFrame, name: str) -> DataFrame:
-        """Each pair from both sides: (c, name, its size, what it shares with c, its shingles that c lacks)."""
-        return df.select("a", F.col("b").alias(name), F.col("n_b").alias("n"), "shared", F.col("only_b").alias("own")).withColumnRenamed("a", "c").unionByName(
-            df.select(F.col("b").alias("c"), F.col("a").alias(name), F.col("n_a").alias("n"), "shared", F.col("only_a").alias("own")))
-
-    apart = grouped(grouped(found.where("not link").select("a", "b"), "a"), "b").where("a_group <> b_group").select("a", "b")
-    links = around(found.where("link"), "y")
-    reach = links.groupBy("c").agg(F.count(F.lit(1)).alias("reach"))
-    missed = settle(
-        grouped(around(found.where("not link").join(apart, ["a", "b"]), "x").join(reach, "c"), "c")
-        .groupBy("x", "c_group").agg(F.max_by(F.struct("c", "n", "shared", "own"), F.struct("reach", -F.col("c"))).alias("at"))
-        .select("x", "at.*"), "near-misses")
-    if missed.isEmpty():
-        return groups
-    star = settle(links.join(missed.select("c").distinct(), "c"), "centres")
-    by_shingle = missed.select("c", "x", F.explode("own").alias("h")).join(star.select("c", "y", F.explode("own").alias("h")), ["c", "h"])
-    most = F.col("shared") * (100 + share) / share - F.col("m")  # of y's size, for x of size m
-    by_size = missed.select("c", "x", F.col("n").alias("m"), "shared").join(star.select("c", "y", "n"), "c").where(F.col("n") <= most)
-    more = (
-        by_shingle.select("x", "y").distinct().unionByName(by_size.select("x", "y")).where("x <> y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti"))
-    fresh = compared(docs, settle(more, "candidates"), size, share).where("link")
-    joined = connected_components(grouped(grouped(fresh.select("a", "b"), "a"), "b").select(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
-    every = groups.unionByName(joined.select("node", F.col("node").alias("component")).join(groups.select("node"), "node", "left_anti"))
-    above = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
-    return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-
-
 def crowded(reps: DataFrame) -> DataFrame:
     """(rep) of the sets that stand in a region of more than CROWD in at least one order."""
     step, depth = HASHES // ORDERS, DEPTHS[0]
@@ -397,9 +343,8 @@ def near_duplicates(
     document of its region at each of the DEPTHS, the one whose other hashes agree with most.
     Candidates are confirmed on their full sets of 64-bit shingle hashes, recomputed from the texts.
 
-    A document near a centre that is still apart from its group then meets those of the centre's links that
-    it can itself link to.  Last, an exact join finds all links between documents of crowded regions that are
-    still in different groups (see ``_finish``).
+    Last, an exact join finds all links between documents of crowded regions that are still in different
+    groups (see ``_finish``).
 
     A pair of similarity s misses all regions with probability (1 - s^2)^ORDERS at most: 2e-6 at 0.75.
     In crowded regions links between documents that are in one group anyway are never compared; the
@@ -416,7 +361,6 @@ def near_duplicates(
     pairs = settle(candidate_pairs(reps), "candidates")
     found = compared(rows, pairs, size, share)
     groups = settle(connected_components(found.where("link").select("a", "b")), "groups")
-    groups = settle(_second_look(rows, pairs, found, groups, size, share), "groups")
     groups = _finish(rows, reps, pairs, groups, size, share)
     classes = settle(
         reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")

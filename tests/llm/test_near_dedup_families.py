@@ -33,3 +33,14 @@ def test_pairs_in_a_family_without_links_to_a_centre(spark):
     assert all(100 * (n := len(sets[a] & sets[b])) < 75 * (len(sets[a]) + len(sets[b]) - n) for a in alone for b in alone if a < b)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == want
+
+
+def test_a_group_of_several_centres(spark):
+    """A chain of links 1 - 2 - 3 - 4, all compared but 3 with 4: 4 is near both 1 and 2, but only 3 leads it to them."""
+    texts = {k: " ".join(f"w{i}" for i in range(12 * k, 12 * k + 100)) for k in range(1, 5)} | {k: f"alone{k} text{k}" for k in range(10, 50)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    reps = spark.createDataFrame([(k, len(t.split()), bytes(4 * near_dedup.HASHES)) for k, t in texts.items()], "rep long, n long, signature binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)], "a long, b long")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
+    got = near_dedup._finish(docs, reps, pairs, groups, 1, 75)
+    assert {r.node: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
