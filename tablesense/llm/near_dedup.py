@@ -204,26 +204,32 @@ def _sets(size: int):
                 sets, counts = shingles(texts[a:b], size)
                 ends = np.cumsum(counts).tolist()
                 body = [sets[e - n:e].tobytes() for e, n in zip(ends, counts.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(body, pa.binary()), batch.column(2).slice(a, b - a)], names=["id", "shingles", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(body, pa.binary())], names=["id", "shingles"])
 
     return run
 
 
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(rep, block, role): each pair in a block of the busier of its two documents (role 0), about BLOCK partners in one."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    busy = broadcast_counted(settle(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "centres"))
+    for c in "ab":
+        pairs = pairs.join(busy.select(F.col("rep").alias(c), F.col("m").alias(f"m_{c}")), c, "left").withColumn(f"m_{c}", F.coalesce(f"m_{c}", F.lit(1)))
+    turned = F.col("m_b") > F.col("m_a")
+    dealt = pairs.select(
+        F.when(turned, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other"), F.greatest("m_a", "m_b").alias("m"))
+    dealt = dealt.select("centre", "other", F.struct("centre", F.pmod(F.xxhash64("other"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("salt")).alias("block"))
+    return dealt.select(F.col("centre").alias("rep"), "block", F.lit(0).alias("role")).distinct().unionByName(
+        dealt.select(F.col("other").alias("rep"), "block", F.lit(1).alias("role")))
+
+
 def compared(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
     """The ``pairs`` (a, b) by their full sets; ``link``: 100 * intersection >= share * union.  ``docs`` is (id, text)."""
-    busy = broadcast_counted(settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "centres"))
-    dealt = pairs.join(busy, "a", "left").select(
-        "a", "b", F.struct("a", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("m", F.lit(1)) / BLOCK).cast("long")).alias("salt")).alias("block"))
-    members = dealt.select(F.col("a").alias("rep"), "block", F.lit(0).alias("role")).distinct().unionByName(
-        dealt.select(F.col("b").alias("rep"), "block", F.lit(1).alias("role")))
-    needed = broadcast_counted(settle(
-        members.groupBy("rep").agg(F.collect_list(F.struct("block", "role")).alias("blocks")), "members"))
-    texts = docs.join(needed, F.col("id") == F.col("rep")).select("id", "text", "blocks")
-    kind = texts.schema["blocks"].dataType.simpleString()
+    members = settle(_blocks(pairs), "members")
+    needed = broadcast_counted(settle(members.select("rep").distinct(), "needed"))
+    sets = docs.join(needed, F.col("id") == F.col("rep")).select("id", "text").mapInArrow(_sets(size), "id long, shingles binary")
     placed = (
-        texts.mapInArrow(_sets(size), f"id long, shingles binary, blocks {kind}")
-        .select("id", "shingles", F.explode("blocks").alias("at"))
-        .select("at.block", "at.role", "id", "shingles")
+        sets.join(broadcast_counted(members), F.col("id") == F.col("rep")).select("block", "role", "id", "shingles")
         .repartition("block").sortWithinPartitions("block", "role"))
     return settle(placed.mapInArrow(_compare(share), PAIR), "compared")
 

@@ -44,3 +44,16 @@ def test_a_group_of_several_centres(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
     got = near_dedup._finish(docs, reps, pairs, groups, 1, 75)
     assert {r.node: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_the_busier_document_is_the_centre(spark):
+    """A document of the largest id, paired with all others, is the centre of blocks of a bounded size."""
+    n = 2000
+    pairs = spark.createDataFrame([(i, n) for i in range(n)] + [(0, 1)], "a long, b long")
+    rows = near_dedup._blocks(pairs).collect()
+    centres = [r for r in rows if r.role == 0]
+    assert sorted({r.rep for r in centres}) == [0, n] and len(centres) <= 1 + n // near_dedup.BLOCK + 1
+    sizes = {}
+    for r in rows:
+        sizes[r.block] = sizes.get(r.block, 0) + r.role
+    assert sum(sizes.values()) == n + 1 and max(sizes.values()) <= 2 * near_dedup.BLOCK
