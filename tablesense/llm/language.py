@@ -57,27 +57,27 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    docs: DataFrame, text_col: str = "text", language_col: str = "lang", per_language: int = 500, most: int = 50, max_bytes: int = 16_384,
+    docs: DataFrame, text_col: str = "text", language_col: str = "lang", per_language: int = 500, max_bytes: int = 16_384,
 ) -> TextModel:
-    """A text model from at most ``per_language`` texts (of at most ``max_bytes``) of each of the ``most`` commonest declared languages.
+    """A text model from at most ``per_language`` texts (of at most ``max_bytes``) of each declared language.
 
-    The texts are picked by a hash of themselves, copies counting once; these three bounds are what the driver
-    holds, and only hashes are sorted to pick.  The languages' own frequencies are left to the priors, which
+    The texts are picked by a hash of themselves, copies counting once, and only hashes are sorted to pick.  The
+    driver holds a row of CODES numbers for each language, and one part of the texts at a time.  The languages' own frequencies are left to the priors, which
     read all rows.
     """
     known = docs.select(
         primary(F.col(f"`{language_col}`")).alias("language"), F.col(f"`{text_col}`").alias("text"),
         F.octet_length(F.col(f"`{text_col}`")).alias("n"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
     known = known.where("language <> '' and n > 0")
-    languages = sorted(r.language for r in known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most).collect())
+    languages = sorted(r.language for r in known.select("language").distinct().collect())
     first = F.row_number().over(Window.partitionBy("language").orderBy("h"))
-    some = known.where(F.col("language").isin(languages) & (F.col("n") <= max_bytes))
-    picked = some.select("language", "h").distinct().withColumn("r", first).where(F.col("r") <= per_language).select("language", "h")
-    texts = some.join(F.broadcast(picked), ["language", "h"]).groupBy("language", "h").agg(F.min("text").alias("text")).collect()
+    some = known.where(F.col("n") <= max_bytes)
+    picked = settle(some.select("language", "h").distinct().withColumn("r", first).where(F.col("r") <= per_language).select("language", "h"), "training-texts")
+    texts = some.join(broadcast_counted(picked), ["language", "h"]).groupBy("language", "h").agg(F.min("text").alias("text"))
     table = np.full((max(1, len(languages)), CODES), 0.5)
-    for i, language in enumerate(languages):
-        own = [r.text for r in texts if r.language == language]
-        table[i] += np.bincount(trigrams(own)[0], minlength=CODES) if own else 0
+    place = {language: i for i, language in enumerate(languages)}
+    for r in texts.toLocalIterator():
+        table[place[r.language]] += np.bincount(trigrams([r.text])[0], minlength=CODES)
     return TextModel(languages or ["und"], np.log(table / table.sum(axis=1, keepdims=True)))
 
 
