@@ -57,8 +57,11 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(toxic) of every word, by forward-backward; ``scores`` is (chains, CHAIN), the rest after ``lengths`` is padding."""
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic) of every word, by forward-backward; ``scores`` is (chains, CHAIN), the rest after ``lengths`` is padding.
+
+    To ``used``, if given, the expected numbers of the four ``moves`` over all chains are added.
+    """
     start, enter, leave, stay = np.exp(np.clip(moves, -30, 30))
     emit = np.exp(np.clip(scores, -30, 30))
     n, width = scores.shape
@@ -77,9 +80,15 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
         both = ahead[t, :, 0] * other, ahead[t, :, 1] * toxic
         out[:, t] = np.where(inside, both[1] / (both[0] + both[1]), 0)
         after = emit[:, t] * toxic
+        if used is not None and t:
+            # neighbours' joint probabilities: what leads to the one, the move, and what follows the other
+            joint = np.stack([ahead[t - 1, :, 0] * other, ahead[t - 1, :, 0] * enter * after, ahead[t - 1, :, 1] * leave * other, ahead[t - 1, :, 1] * stay * after])
+            used[1:] += np.where(inside, joint[1:] / joint.sum(axis=0), 0).sum(axis=1)
         other, toxic = other + enter * after, leave * other + stay * after
         total = other + toxic
         other, toxic = np.where(inside, other / total, 1.0), np.where(inside, toxic / total, 1.0)
+    if used is not None:
+        used[0] += out[:, 0].sum()
     return out
 
 
@@ -128,7 +137,7 @@ def _seeds(docs: list[list[str]], toxic: np.ndarray, least: int, ratio: float) -
     return {f for f, c in contexts.items() if len(c) / share[0] >= ratio * (clean[f] + 0.05) / share[1] and clean[f] <= 0.002 * share[1]}
 
 
-def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float = 20.0, seed: int = 5) -> Tagger:
+def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float = 20.0) -> Tagger:
     """Fit the chain to words labelled by ``_seeds`` in toxic documents, and the document score to the documents."""
     bad = np.array(toxic, bool)
     known: dict[str, str] = {}
@@ -147,25 +156,23 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float =
     names = {f: i for i, f in enumerate(sorted(seen))}
     pairs = np.array([(i, names[f]) for i, w in enumerate(vocabulary) if w for f in features(w) if f in names], np.int64).reshape(-1, 2)
     owner, first, lengths = _chains(counts)
-    grid = _grid(of, first, lengths)
+    grid = _grid(of, first, lengths).astype(np.int32)
     gold = _grid(labels, first, lengths).astype(bool)
     inside = np.arange(CHAIN) < lengths[:, None]
-    keep = gold.any(axis=1) | (np.random.default_rng(seed).random(len(owner)) < min(1, 20_000 / max(1, len(owner))))
-    grid, gold, inside, some = grid[keep], gold[keep], inside[keep], lengths[keep]
     model = Tagger()
     w, bias, moves = np.zeros(len(names)), -4.0, np.array([-1.0, -1.0, 0.0, 0.0])
     power = [np.full(len(names), 1e-6), 1e-6, np.full(4, 1e-6)]
-    truth = gold.sum()
     moved = np.array([gold[:, 0].sum(), (gold[:, 1:] & ~gold[:, :-1] & inside[:, 1:]).sum(), (~gold[:, 1:] & gold[:, :-1] & inside[:, 1:]).sum(), (gold[:, 1:] & gold[:, :-1]).sum()])
     for _ in range(rounds):
         emission = bias + np.bincount(pairs[:, 0], w[pairs[:, 1]], len(vocabulary)) if len(pairs) else np.full(len(vocabulary), bias)
-        p = marginals(np.where(inside, emission[grid], 0), some, moves)
-        rest = np.where(inside, gold - p, 0)
-        by_word = np.bincount(grid.ravel(), rest.ravel(), len(vocabulary))
-        grads = [np.bincount(pairs[:, 1], by_word[pairs[:, 0]], len(names)) - 0.05 * w, rest.sum(), None]
-        # neighbours are nearly independent given the words: products of marginals stand for pair marginals
-        q = p[:, 1:] * inside[:, 1:], p[:, :-1] * inside[:, 1:]
-        expected = np.array([p[:, 0].sum(), (q[0] * (1 - q[1])).sum(), ((1 - q[0]) * q[1] * inside[:, 1:]).sum(), (q[0] * q[1]).sum()])
+        expected, by_word, missing = np.zeros(4), np.zeros(len(vocabulary)), 0.0
+        for a in range(0, len(owner), 4096):
+            part = slice(a, a + 4096)
+            p = marginals(np.where(inside[part], emission[grid[part]], 0), lengths[part], moves, expected)
+            rest = np.where(inside[part], gold[part] - p, 0)
+            by_word += np.bincount(grid[part].ravel(), rest.ravel(), len(vocabulary))
+            missing += rest.sum()
+        grads = [np.bincount(pairs[:, 1], by_word[pairs[:, 0]], len(names)) - 0.05 * w, missing, None]
         grads[2] = moved - expected - 0.05 * moves
         for i, g in enumerate(grads):
             power[i] = power[i] + g * g
