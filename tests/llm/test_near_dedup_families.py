@@ -6,7 +6,7 @@ from tablesense.llm import near_dedup
 
 
 def test_pairs_in_a_family_without_links_to_a_centre(spark):
-    """Members are 0.61 to 0.64 alike, two of a pair 0.77 to 0.79: no centre and few neighbours lead from one to the other."""
+    """Members are 0.66 alike (156 of 236), two of a pair 0.81 (175 of 217): no centre and few neighbours lead from one to the other."""
     rnd = random.Random(11)
     shared = [f"b{i}" for i in range(160)]
     texts = []
