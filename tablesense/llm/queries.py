@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tablesense.llm import decontamination, language, line_dedup, near_dedup, packing, pii, sharding, token_files, topk, toxicity
+from tablesense.llm import decontamination, language, line_dedup, near_dedup, packing, periodic, pii, sharding, simhash, spelling, token_files, topk, toxicity
 from tablesense.llm.common import documents, reach_workers, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +140,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = periodic.find_runs(docs.withColumn("text", periodic.with_planted_repeats(F.col("text"), F.col("doc_id"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.word_runs(documents(spark, sf_dir))
+    words = runs.select(spelling.with_letters_lost(F.col("word"), F.col("key")).alias("word"))
+    return spelling.spelling_variants(spelling.vocabulary(words))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_MACRO},
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+        FROM documents),
+many AS (SELECT doc_id, run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS seed FROM run WHERE length(run) >= 5 GROUP BY ALL),
+mixed AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(strlen(seed)), lambda i: ('0x' || hex(encode(seed))[2*i+1:2*i+2])::INT::BIGINT),
+                        lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM many, steps),
+vocab AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+                 sum(n)::BIGINT AS n FROM mixed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+pair AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT cut.word, vocab.word FROM cut JOIN vocab ON rest = vocab.word
+         UNION SELECT vocab.word, cut.word FROM cut JOIN vocab ON rest = vocab.word),
+best AS (SELECT pair.word, count(*) AS n_near, max(v.n) AS top, min(struct_pack(less := -v.n, near := near)).near AS near
+         FROM pair JOIN vocab v ON near = v.word GROUP BY pair.word),
+own AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN near END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+        FROM vocab LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root, form AS next FROM own
+        UNION ALL SELECT way.word, own.word, own.form FROM way JOIN own ON way.next = own.word)
+SELECT own.*, root FROM own JOIN way ON own.word = way.word AND way.next IS NULL
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_top_k": op1_top_k,
     "op2_near_dedup": op2_near_dedup,
@@ -151,6 +194,9 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_simhash": op13_simhash,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_sharding": OP8_SQL, "op9_decontamination": OP9_SQL, "op12_spelling_variants": OP12_SQL}
