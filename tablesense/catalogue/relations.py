@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from tablesense import values as V
@@ -175,13 +177,32 @@ def key_discovery(spark, path):
     return K.key_table(spark, K.discover_keys(tables)).select("table_name", "duplicate_rows", "primary_key", "source")
 
 
-@query("lineitem_key_discovery")
+LINE_COLUMNS = [c for t, c, k in WHOLE if t == "lineitem"]
+LINE_SETS = {n: list(itertools.combinations(LINE_COLUMNS, n)) for n in (1, 2, 3)}
+LINE_COUNTS = S.union(
+    f"SELECT {n} AS size, [{', '.join(map(S.quote, cols))}] AS cols, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(cols)} FROM lineitem)) = (SELECT n FROM whole) AS holds"
+    for n, sets in LINE_SETS.items() for cols in sets)
+LINE_SCORE = "list_sum(list_transform(cols, lambda column_name: " + KEY_SCORE + "))"
+
+
+@query("lineitem_key_discovery", f"""
+WITH whole AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM lineitem)),
+few AS (SELECT column_name AS c FROM ({COLUMN_COUNTS}) WHERE table_name = 'lineitem' AND distinct_values >= 2),
+sets AS (SELECT * FROM ({LINE_COUNTS}) WHERE holds AND list_has_all((SELECT list(c) FROM few), cols)),
+first AS (SELECT * FROM sets WHERE size = (SELECT min(size) FROM sets)
+          ORDER BY {LINE_SCORE} DESC, list_sum(list_transform(cols, lambda c: list_position([{', '.join(S.quote(c) for c, _ in S.GIVEN['lineitem'])}], c))) LIMIT {V.MAX_CANDIDATES})
+SELECT 'lineitem' AS table_name, (SELECT count(*) FROM lineitem) AS row_count, (SELECT count(*) FROM lineitem) - (SELECT n FROM whole) AS duplicate_rows,
+       CASE WHEN (SELECT min(size) FROM sets) = 1 THEN 'detected' ELSE 'none' END AS source,
+       coalesce((SELECT min(size) FROM sets) > 1, false) AS needs_confirmation, (SELECT count(*) FROM sets) = 0 AS needs_synthetic_key,
+       coalesce((SELECT string_agg(array_to_string(list_sort(cols), ' + '), '; ' ORDER BY array_to_string(list_sort(cols), ' + ')) FROM first), '') AS candidates""")
 def lineitem_key_discovery(spark, path):
     """No single column identifies a line: pairs, then triples, then a counter is asked for."""
     df = star(spark, path)["lineitem"]
     return K.key_table(spark, K.discover_keys({"lineitem": df})).select(
         "table_name", "row_count", "duplicate_rows", "source", "needs_confirmation", "needs_synthetic_key",
-        F.array_join("candidates", "; ").alias("candidates"))
+        # a set's order is that of its selectivity, which ties leave open: names are listed in their own order
+        F.array_join(F.array_sort(F.transform("candidates", lambda c: F.array_join(F.array_sort(F.split(c, " \\+ ")), " + "))), "; ").alias("candidates"))
 
 
 @query("duplicate_rows", """

@@ -1,6 +1,7 @@
 """Operators on small literal frames; expected values worked out from the rules."""
 
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -154,6 +155,38 @@ def test_foreign_keys(spark):
     assert [(r.origin, r.score) for r in merged] == [("declared", 1.0)]
 
 
+def unique_sets(rows, columns, depth):
+    """Column sets of one depth without a repeat, by counting."""
+    return {c for c in itertools.combinations(columns, depth) if len({tuple(r[k] for k in c) for r in rows}) == len(rows)}
+
+
+@pytest.mark.parametrize("shares", [50, 400, 20_000])
+def test_composite_keys_of_wide_tables(spark, shares):
+    rng = random.Random(shares)
+    columns = [f"c{i}" for i in range(14)] + ["order_id", "line_no"]
+    rows = [{**{f"c{i}": rng.randrange((3, 40, 300)[i % 3]) for i in range(14)}, "order_id": n // 40, "line_no": n % 40} for n in range(1200)]
+    for r in rows[:400]:
+        r["c2"] = 7  # one value on a third of the rows
+    df = frame(spark, [tuple(r.values()) for r in rows], ", ".join(f"{c} int" for c in columns))
+    distinct = {c: len({r[c] for r in rows}) for c in columns}
+    pairs, triples = (K.composite_keys(df, distinct, len(rows), n, sample_rows=shares) for n in (2, 3))
+    assert {tuple(sorted(c, key=columns.index)) for c in pairs} == unique_sets(rows, columns, 2) == {("order_id", "line_no")}
+    held = unique_sets(rows, columns, 3)
+    assert len(triples) == min(V.MAX_CANDIDATES, len(held)) and {tuple(sorted(c, key=columns.index)) for c in triples} <= held
+    assert all({"order_id", "line_no"} <= set(c) for c in triples)
+
+
+def test_forty_columns_without_a_pair(spark):
+    wide = spark.range(30_000).select(
+        *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit((7, 50, 300)[k % 3])).alias(f"c{k}") for k in range(37)],
+        (F.col("id") % 30).alias("order_id"), (F.floor(F.col("id") / 30) % 50).alias("line_no"), F.floor(F.col("id") / 1500).alias("batch_no"))
+    found = K.discover_keys({"t": wide})["t"]
+    rows = [r.asDict() for r in wide.collect()]
+    assert not unique_sets(rows, wide.columns, 2)
+    assert sorted(found.candidates[0]) == ["batch_no", "line_no", "order_id"]
+    assert all(len({tuple(r[c] for c in cols) for r in rows}) == len(rows) for cols in found.candidates)
+
+
 def test_dependencies(spark):
     found = {(r.determinant, r.dependent): r for r in FD.dependencies(spark, shop(spark), {"customers": ["customer_id"]}).collect()}
     assert found[("city", "region")].exact
