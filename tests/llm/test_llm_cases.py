@@ -204,6 +204,28 @@ def test_encoder_equals_the_library():
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_encoder_equals_the_library_on_random_texts(seed):
+    rng = random.Random(seed)
+    units = ["a", "É", "é", "ß", "µ", "×", "ÿ", "Ÿ", "İ", "\u0301", "'s", "'", ",", ".", "..", "—", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "7", "٣", "K",
+             " ", " ", "\n", "\t", "\xa0", "\x85", "Ab", "don't", "naïve", "日", "\U0001f600", "ﬁ", "Σ", "x-", "@", "(", ")", "e\u0301", "Word"]
+    texts = ["".join(rng.choices(units, k=rng.choice([0, 1, 2, 5, 40, 300]))) for _ in range(300)]
+    encoder = tokens.Encoder(tokens.vocabulary_path(), most=rng.choice([1, 50, 10_000]))
+    assert encoder.by_pieces
+    for part in (texts[:150], [], texts[150:], texts[:20]):
+        ids, counts = encoder.encode(part)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_vocabulary_with_other_rules(spark):
+    texts = ["Hello  there,\n world's end", "", "  A b\t", "日本 <|endoftext|> x"]
+    encoder = tokens.Encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    ids, counts = encoder.encode(texts)
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not encoder.by_pieces and counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_personal_data(docs, none):
     out = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_personal_data(docs).collect()}
     assert out[None] == [("email", 31, 40)] and not any(v for k, v in out.items() if k)
