@@ -62,7 +62,7 @@ def find_contamination(
 ) -> DataFrame:
     """Which words of ``docs`` lie in windows of ``window`` consecutive words of a benchmark item.
 
-    An item of fewer words, but not none, is one window.  Returns one row per distinct (id, text):
+    An item of fewer words, but not none, is one window.  Returns one row for each row of ``docs``:
     id_col, ``print`` (xxhash64 of the text, to join on), ``n_words``, ``n_hit`` (words inside any
     occurrence of a window) and ``items`` (sorted ids, as strings, of the items whose windows occur).
 
@@ -74,7 +74,7 @@ def find_contamination(
     a passage that many documents share gives a row per document and window.
 
     Defined cases: null or empty texts have no words and hit nothing; null ids are kept as one
-    id; repeated rows give one result row; items without words or with a null id match nothing;
+    id; repeated rows are worked on once and come back as often as they came; items without words or with a null id match nothing;
     an empty benchmark matches nothing; other columns are ignored.
     """
     items = settle(
@@ -95,9 +95,10 @@ def find_contamination(
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(body).alias("print"), body.alias("body"))
     found = settle(
         fingerprints(rows.select("id", "print", words_of(F.col("body")).alias("words")), spans)
-        .select("id", "print", F.size("words").cast("long").alias("n_words"), F.explode_outer("prints").alias("fp"))
+        .select("id", "print", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("prints").alias("at", "fp"))
         .join(wanted.select(F.col("fp").alias("wanted")), F.col("fp") == F.col("wanted"), "left")
-        .groupBy("id", "print", "n_words").agg(F.collect_set("wanted").alias("matched")), "document-prints",
+        .groupBy("id", "print", "n_words")
+        .agg(F.collect_set("wanted").alias("matched"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("copies")), "document-prints",
     )
     near = settle(found.where("size(matched) > 0").select(F.col("id").alias("near_id"), F.col("print").alias("near_print"), "matched"), "matched-documents")
     again = (
@@ -116,7 +117,8 @@ def find_contamination(
             F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["start"], a["start"] + a["span"] - 1))))).cast("long").alias("n_hit"),
             F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
     )
-    return found.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("print") == F.col("hit_print")), "left").select(
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("print") == F.col("hit_print")), "left").select(
         F.col("id").alias(id_col), "print", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -127,7 +129,11 @@ def is_contaminated(share: int = 20) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, without the contaminated documents."""
+    """``docs``, all columns, without the contaminated documents.
+
+    Defined cases: null or empty texts stay; null ids are judged by their own texts; rows repeated in full all stay or
+    all go; an empty table or benchmark drops nothing.
+    """
     gone = settle(
         find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(is_contaminated())
         .select(F.col(id_col).alias("__id"), F.col("print").alias("__print")), "contaminated")

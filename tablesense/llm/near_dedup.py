@@ -42,7 +42,7 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(size: int):
-    """(id, text) to (id, n, d1, d2, signature): set size, 128-bit digest of the set, signature."""
+    """(id, text, print) to (id, print, n, d1, d2, signature): set size, 128-bit digest of the set, signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,8 +59,8 @@ def _sketch(size: int):
                     for at, sign in zip(np.flatnonzero(some), signatures(sets, counts)):
                         body[at] = sign.tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), *(pa.array(d.view(np.int64)) for d in digests),
-                    pa.array(body, pa.binary())], names=["id", "n", "d1", "d2", "signature"])
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(counts, pa.int64()),
+                    *(pa.array(d.view(np.int64)) for d in digests), pa.array(body, pa.binary())], names=["id", "print", "n", "d1", "d2", "signature"])
 
     return run
 
@@ -336,7 +336,9 @@ def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFram
 def near_duplicates(
     docs: DataFrame, size: int = 5, share: int = 75, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) of every row: groups of documents linked by similar shingle sets.
+    """(id_col, print, n_shingles, component_id, kept) of every row: groups of documents linked by similar shingle sets.
+
+    ``print`` is the xxhash64 of the text, which tells the texts of a repeated id apart.
 
     Words are runs without blanks, A-Z lower-cased; a document's set is its distinct ``size``-word shingles
     (all its words, if fewer).  Documents are linked if 100 * intersection >= ``share`` * union;
@@ -361,7 +363,8 @@ def near_duplicates(
     several texts, a link of any of them joins that id); an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    sketch = settle(rows.mapInArrow(_sketch(size), "id long, n long, d1 long, d2 long, signature binary"), "sketches")
+    sketch = settle(
+        rows.withColumn("print", F.xxhash64("text")).mapInArrow(_sketch(size), "id long, print long, n long, d1 long, d2 long, signature binary"), "sketches")
     reps = settle(
         sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
     pairs = settle(candidate_pairs(reps), "candidates")
@@ -372,15 +375,20 @@ def near_duplicates(
         reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "classes")
     out = (
-        sketch.select("id", "n", "d1", "d2")
+        sketch.select("id", "print", "n", "d1", "d2")
         .join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") > 0), "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        .select(F.col("id").alias(id_col), "print", F.col("n").alias("n_shingles"),
                 F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, with the document of the smallest id of each group; rows repeated in full all stay."""
+    """``docs``, all columns, with the document of the smallest id of each group.
+
+    Defined cases: rows repeated in full all stay or all go; of the texts of one id only those go that are copies of
+    a smaller id's; null ids, null, empty and blank texts stay; an empty table gives no rows.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = settle(found.where("not kept").select(F.col(id_col).alias("__id")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    gone = settle(found.where("not kept").select(F.col(id_col).alias("__id"), F.col("print").alias("__print")).distinct(), "near-duplicates")
+    same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__print")
+    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__id")) & same, "left_anti")

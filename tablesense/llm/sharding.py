@@ -75,12 +75,28 @@ def interleave(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", **options) -> None:
-    """Write ``docs`` to ``path``/shard=N, rows of a shard in slot order within each file.
+def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
+    """Write ``docs``, all columns, to ``path``/shard=N, rows of a shard in slot order within each file.
 
     A shard may be written by several tasks, as AQE or the range partitioning decide; files of a
-    shard then hold consecutive slots.
+    shard then hold consecutive slots.  A row finds its place by id, size and crc32 of its text and, where rows agree
+    in these, by their order, so every row is written once.
+
+    Defined cases: null ids and texts and repeated rows are written as they are; columns of ``docs`` named shard or
+    slot come back as ``own_shard`` and ``own_slot``; an empty table writes no rows.
     """
-    at = interleave(docs, shards, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.col("shard"), F.col("slot"))
-    rows = docs.drop("shard", "slot").join(at, F.col(f"`{id_col}`") == F.col("__id")).drop("__id")
-    (rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
+    whole = docs
+    for name in ("shard", "slot"):
+        whole = whole.withColumnRenamed(name, f"own_{name}")
+    same = ["__id", "__size", "__crc"]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("__order"))
+    rows = whole.select(
+        "*", F.col(f"`{id_col}`").alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(F.encode(text, "UTF-8")).alias("__crc"),
+        F.xxhash64(F.to_json(F.struct("*"))).alias("__order")).withColumn("__nth", nth).drop("__order")
+    at = interleave(docs, shards, id_col=id_col, text_col=text_col, **options).select(
+        F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot",
+        F.struct("shard", "slot").alias("__order")).withColumn("__nth", nth).drop("__order")
+    on = [rows[c].eqNullSafe(at[c]) for c in (*same, "__nth")]
+    placed = rows.join(at, on).select(*[rows[c] for c in whole.columns], at["shard"], at["slot"])
+    (placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))

@@ -73,9 +73,29 @@ def test_shards_hold_the_mixture(spark):
 
 def test_written_shards(spark, docs):
     path = shared_folder(spark, "shards")
-    sharding.write_shards(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path, shards=2)
+    mixed = docs.withColumn("shard", F.lit("mine")).withColumn("slot", F.col("row") + 1)
+    sharding.write_shards(mixed, path, shards=2)
     back = spark.read.parquet(path)
-    assert back.count() == 8 and {r.shard for r in back.select("shard").collect()} == {0, 1}
+    kept = ["doc_id", "text", "lang", "source", "n_lines", "print", "row"]
+    assert sorted(map(repr, back.select(*kept).collect())) == sorted(map(repr, docs.select(*kept).collect()))
+    assert {r.shard for r in back.select("shard").collect()} == {0, 1} and {r.own_shard for r in back.select("own_shard").collect()} == {"mine"}
+
+
+def test_a_unique_text_of_a_repeated_id_stays(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b"))
+    rows = [(1, text), (2, text), (2, other), (2, other), (None, text), (3, None), (4, " ")]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, text), (2, other), (2, other), (None, text), (3, None), (4, " ")]))
+
+
+def test_repeated_rows_are_all_judged(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, item), (1, item), (1, "clean words"), (2, None), (2, None), (None, item), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    out = decontamination.find_contamination(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.n_hit) for r in out) == [(0, 20), (0, 20), (1, 0), (1, 20), (1, 20), (2, 0), (2, 0)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()) == [1, 2, 2]
 
 
 @pytest.mark.parametrize("lengths", [(13, 30), (1, 5), (2, 13, 40), (12,)])
