@@ -100,7 +100,7 @@ def table_sentences(spark, path):
     joined = profiles.join(confirmed, "table_name", "left").join(names, "table_name", "left").select(
         "table_name", "table_type", "row_count", "column_count", "primary_key", F.coalesce("references", empty).alias("references"),
         F.coalesce("_by", empty).alias("referenced_by"), "additive", F.array_except(F.array_except("rest", "primary_key"), "outgoing").alias("others"))
-    return PB.describe_tables(joined)
+    return PB.table_sentences(joined)
 
 
 def fit_sql(t: str, c: str, k: str) -> str:
@@ -287,7 +287,7 @@ def quality_scores(spark, path):
     return PB.quality(stats).select("table_name", "completeness", "uniqueness")
 
 
-WRITTEN = ("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN source || ' in table documents (unknown, text) — data table' ELSE 'the source called ' || source END")
+WRITTEN = ("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'No description yet: documents.' || source ELSE 'the source called ' || source END")
 
 
 @query("written_share", f"""

@@ -258,15 +258,23 @@ def orphan_samples(spark, path):
     return FK.orphan_samples(tables, [("orders", "o_custkey", "customer", "c_custkey")])
 
 
-@query("references_settled", SCORED + """,
+#: What a link is called in the list of those in place, from either side.
+LINK, BACK = "concat_ws('|', from_table, from_column, to_table, to_column)", "concat_ws('|', to_table, to_column, from_table, from_column)"
+VERDICT = f"""CASE WHEN own <> 'confirmed' THEN own WHEN list_contains(links, {BACK}) THEN 'rejected'
+  WHEN name_similarity < {V.SECOND_LINK_NAME} AND list_contains(pairs, from_table || '|' || to_table) THEN 'rejected' ELSE 'confirmed' END"""
+
+
+@query("references_settled", SCORED.replace("WITH", "WITH RECURSIVE", 1) + f""",
 v AS (SELECT *, CASE WHEN name_similarity < 0.45 THEN 'rejected' WHEN overlap >= 0.98 THEN 'confirmed'
    WHEN overlap >= 0.90 AND name_similarity >= 0.85 THEN 'confirmed' WHEN overlap >= 0.90 THEN 'proposed' ELSE 'rejected' END AS own,
    row_number() OVER (ORDER BY score DESC, from_table, from_column, to_table, to_column) AS place FROM best),
-w AS (SELECT v.*, CASE WHEN own = 'confirmed' AND name_similarity < 0.70 AND row_number() OVER (PARTITION BY from_table, to_table, own ORDER BY place) > 1
-   THEN 'rejected' ELSE own END AS slot FROM v)
-SELECT from_table, from_column, to_table, to_column, CASE WHEN slot = 'confirmed' AND EXISTS (SELECT 1 FROM w r WHERE r.slot = 'confirmed'
-   AND r.from_table = w.to_table AND r.from_column = w.to_column AND r.to_table = w.from_table AND r.to_column = w.from_column AND r.place < w.place)
-   THEN 'rejected' ELSE slot END AS status FROM w""")
+walk AS (
+  SELECT 0::BIGINT AS place, []::VARCHAR[] AS links, []::VARCHAR[] AS pairs, NULL::VARCHAR AS status
+  UNION ALL
+  SELECT v.place, CASE WHEN {VERDICT} = 'confirmed' THEN list_append(links, {LINK}) ELSE links END,
+    CASE WHEN {VERDICT} = 'confirmed' THEN list_append(pairs, from_table || '|' || to_table) ELSE pairs END, {VERDICT}
+  FROM walk JOIN v ON v.place = walk.place + 1)
+SELECT from_table, from_column, to_table, to_column, walk.status FROM walk JOIN v USING (place)""")
 def references_settled(spark, path):
     from tablesense.operators.settle import settle_foreign_keys
 

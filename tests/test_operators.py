@@ -458,3 +458,59 @@ def test_lines_come_in_file_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [f"line {i}" for i in range(500)]
+
+
+def test_dependencies_carry_only_what_is_alive(spark):
+    wide = spark.range(4000).select(
+        (F.col("id") % 40).alias("city"), (F.col("id") % 40 % 8).alias("zone"), (F.col("id") % 40 % 8 % 2).alias("half"),
+        *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(30)).alias(f"noise{k}") for k in range(12)])
+    found = {(r.determinant, r.dependent) for r in FD.dependencies(spark, {"t": wide}, sample_rows=300).collect()}
+    assert found == {("city", "zone"), ("city", "half"), ("zone", "half")}
+    counted = FD.witness_counts(wide, "t", {"city": ["zone", "half"], "noise1": ["noise2"]})
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "noise3" not in plan and "b1#" in plan and "b2#" not in plan
+    assert {(r.determinant, r.dependent, r.witness_groups, r.consistent_witnesses) for r in counted.collect()} >= {("city", "zone", 40, 40), ("city", "half", 40, 40)}
+    part = {(r.determinant, r.dependent): r.total_groups for r in FD.witness_counts(wide, "t", {"city": ["zone", "half"]}, 4).collect()}
+    assert 0 < part[("city", "zone")] < 40
+
+
+# --- settling, chains, sentences ------------------------------------------------
+def test_a_mirrored_link_takes_no_place(spark):
+    schema = "from_table string, from_column string, to_table string, to_column string, score double, name_similarity double, ratio_overlap double, target_distinct long, origin string"
+    rows = [("A", "x", "B", "y", 0.9, 0.9, 1.0, 50, "detected"), ("B", "y", "A", "x", 0.8, 0.9, 1.0, 50, "detected"),
+            ("B", "z", "A", "w", 0.7, 0.5, 1.0, 50, "detected"), ("B", "q", "A", "w", 0.6, 0.5, 1.0, 50, "detected"),
+            ("A", "k", "B", "y", 0.5, 0.5, 1.0, 50, "declared"), ("C", "a", "D", "b", 0.4, 0.9, 1.0, 50, "detected")]
+    found = {(r.from_column, r.to_column): (r.status, r.reason) for r in settle.settle_foreign_keys(
+        spark, frame(spark, rows, schema), taken=[("D", "b", "C", "a")]).collect()}
+    assert found[("x", "y")][0] == "confirmed" and found[("y", "x")] == ("rejected", "already linked from the other side")
+    assert found[("z", "w")][0] == "confirmed" and found[("q", "w")] == ("rejected", "a stronger link joins these tables")
+    assert found[("k", "y")][0] == "confirmed" and found[("a", "b")][0] == "rejected"
+
+
+def test_chains_follow_edges_only():
+    assert FD.longest_path({"a": {"b", "c"}, "b": {"a"}, "c": set()}) == ["b", "a", "c"]
+    assert FD.longest_path({"a": {"c"}, "c": {"b"}, "b": {"a"}}) == ["a", "c", "b"]
+    rng = random.Random(4)
+    for _ in range(60):
+        names = "abcdefg"[:rng.randint(1, 7)]
+        after = {a: {b for b in names if b != a and rng.random() < rng.choice([0.2, 0.5, 1.0])} for a in names}
+        paths = [p for n in range(1, len(names) + 1) for p in itertools.permutations(names, n) if all(b in after[a] for a, b in zip(p, p[1:]))]
+        got = FD.longest_path(after)
+        assert tuple(got) in paths and len(got) == max(map(len, paths))
+
+
+def test_sentences(spark):
+    schema = ("table_name string, column_name string, table_type string, taxonomy_label string, sql_type string, description string, is_primary_key boolean, "
+              "is_foreign_key boolean, references_table string, references_column string, null_ratio double, row_count long, sample_values array<string>")
+    rows = [("orders", "cust_id", "transaction", "identifier", "TEXT", "who bought. ", False, True, "customers", "id", 0.25, 9, ["7", "8"]),
+            ("orders", "id", "unknown", "unknown", "TEXT", PB.UNWRITTEN + "x", True, False, None, None, 0.0, 9, [])]
+    first, second = (r.semantic_description for r in PB.metadata_rows(frame(spark, rows, schema), embed=False).orderBy("column_name").collect())
+    assert first == ("Column: cust id. Meaning: who bought. Role: points to id of customers. Values: 7 | 8. Empty cells: 25.0 of 100. "
+                     "Kind: identifier. Stored as: TEXT. Table: orders, transaction")
+    assert second == "Column: id. Role: key of its table. Stored as: TEXT. Table: orders"
+    made = frame(spark, [("a", "t", ["1"])], "n string, t string, s array<string>").select(PB.unwritten_description(F.col("n"), F.col("t"), F.col("s")).alias("x"))
+    assert made.select("x", PB.is_unwritten(F.col("x")).alias("y")).first() == (PB.UNWRITTEN + "t.a holds 1", True)
+    told = PB.table_sentences(frame(spark, [("t", "unknown", 1200, 3, ["id"], [], ["u"], ["net_total"], [f"c{i}" for i in range(9)])],
+        "table_name string, table_type string, row_count long, column_count int, primary_key array<string>, references array<string>, "
+        "referenced_by array<string>, additive array<string>, others array<string>")).first().description
+    assert told == ("Table: t. Amounts: net total. Other columns: c0, c1, c2, c3, c4, c5, c6, c7 and 1 others. Key: id. Pointed to by: u. Size: 1,200 rows by 3")
