@@ -284,15 +284,24 @@ def references_settled(spark, path):
     return settle_foreign_keys(spark, found).select(*FK.PAIR, "status")
 
 
-@query("fuzzy_recovered")
+LOST = "substr(c_name, 1, 5) || substr(c_name, 7)"
+
+
+@query("fuzzy_recovered", f"""
+WITH k AS (SELECT DISTINCT c_name AS key FROM customer), o AS (SELECT DISTINCT {LOST} AS orphan FROM customer),
+cut AS (SELECT key, substr(key, 1, i - 1) || substr(key, i + 1) AS rest FROM (SELECT key, unnest(range(1, length(key) + 1)) AS i FROM k)),
+less AS (SELECT orphan, substr(orphan, 1, i - 1) || substr(orphan, i + 1) AS rest FROM (SELECT orphan, unnest(range(1, length(orphan) + 1)) AS i FROM o)),
+near AS (SELECT orphan, orphan AS key, 0 AS distance FROM o WHERE orphan IN (SELECT key FROM k)
+         UNION SELECT orphan, key, 1 FROM o JOIN cut ON rest = orphan UNION SELECT orphan, key, 1 FROM less JOIN k ON rest = key)
+SELECT orphan, key, 100 * (1 - distance / (length(orphan) + length(key))) AS ratio FROM near
+WHERE 100 * distance <= {100 - V.FUZZY_RATIO} * (length(orphan) + length(key))
+QUALIFY row_number() OVER (PARTITION BY orphan ORDER BY distance, length(key) DESC, key) = 1""")
 def fuzzy_recovered(spark, path):
-    """Customer names with one character lost, matched back to the real names."""
-    from tablesense.operators.fuzzy import fuzzy_matches
+    """Customer names with one character lost, each matched back to the nearest real name."""
+    from tablesense.operators.fuzzy import best_matches
 
     customers = star(spark, path)["customer"]
-    keys = customers.select(F.col("c_name").alias("value"))
-    orphans = customers.select(F.concat(F.substring("c_name", 1, 5), F.expr("substring(c_name, 7)")).alias("value"))
-    return fuzzy_matches(orphans, keys)
+    return best_matches(customers.select(F.expr(LOST).alias("value")), customers.select(F.col("c_name").alias("value")))
 
 
 # --- dependencies -------------------------------------------------------------

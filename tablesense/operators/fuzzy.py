@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesense import values as V
 from tablesense.functions.ratios import indel_similarity
+from tablesense.session import cut_lineage
 
 #: Longer values are blocked by intact chunks, shorter ones by deletion variants.
 SHORT = 24
@@ -110,9 +114,95 @@ def fuzzy_matches(orphans: DataFrame, keys: DataFrame, column: str = "value") ->
     )
 
 
+def _deleted(df: DataFrame, count: int) -> DataFrame:
+    """(value, rest): every text left when exactly ``count`` characters of a value are taken out."""
+    rests = F.array("value")
+    for _ in range(count):
+        rests = _delete_one(rests)
+    return df.where(F.length("value") >= count).select("value", F.explode(rests).alias("rest"))
+
+
+def _short_best(orphans: DataFrame, keys: DataFrame) -> DataFrame:
+    """(orphan, distance, key): the best key of each short value, distance by distance.
+
+    What is left of a pair when a characters of one and b of the other are taken out is the same text for a + b =
+    their insertion/deletion distance and for no smaller sum, so the sum at which two values first meet is their
+    distance.  Up to SHORT characters a smaller distance always means a higher ratio, so values that found a
+    key look no further: a round joins only those still alone, and keeps one key of each by an aggregate that is
+    combined before the shuffle (the longest, whose ratio is higher, then the first by its text).
+    """
+    none = orphans.select(F.col("value").alias("orphan"), F.lit(0).alias("distance"), F.col("value").alias("key")).limit(0)
+    found, left = [], orphans
+    longest = orphans.agg(F.max(F.length("value"))).first()[0]
+    if longest is None:
+        return none
+    most = next(d for d in range(longest, -1, -1) if 100 * d <= (100 - V.FUZZY_RATIO) * (2 * longest + d))
+    for distance in range(most + 1):
+        met = []
+        for a in range(distance + 1):
+            b = distance - a
+            # a key is as long as a value still alone, less what that one loses, plus what the key does
+            lengths = left.select((F.length("value") - a + b).alias("n")).distinct()  # at most SHORT rows
+            fitting = keys.join(F.broadcast(lengths), F.length("value") == F.col("n"), "left_semi")
+            o, k = _deleted(left, a).withColumnRenamed("value", "orphan"), _deleted(fitting, b).withColumnRenamed("value", "key")
+            met.append(o.join(k, "rest").select("orphan", "key"))
+        total = F.length("orphan") + F.length("key")
+        near = reduce(DataFrame.unionAll, met).where(100 * distance <= (100 - V.FUZZY_RATIO) * total)
+        best = cut_lineage(
+            near.groupBy("orphan").agg(F.min(F.struct((-F.length("key")).alias("shorter"), "key")).alias("best"))
+            .select("orphan", F.lit(distance).alias("distance"), "best.key"))
+        found.append(best)
+        left = cut_lineage(left.join(best.select(F.col("orphan").alias("value")), "value", "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, found, none)
+
+
+def best_matches(orphans: DataFrame, keys: DataFrame, column: str = "value") -> DataFrame:
+    """(orphan, key, ratio): for every distinct orphan with a key of ratio >= 90, the best one (ties: the first by its text).
+
+    The output is one row per orphan, however many keys are alike.  Values of up to SHORT characters get their
+    distance from the join itself; longer ones are met by an intact chunk and compared.  Nulls are no values.
+    """
+    o, k = (d.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct() for d in (orphans, keys))
+    total = F.length("orphan") + F.length("key")
+    short = _short_best(cut_lineage(o.where(F.length("value") <= SHORT)), k).select(
+        "orphan", "key", F.when(total == 0, 100.0).otherwise(100 * (1 - F.col("distance") / total)).alias("ratio"))
+    long = o.where(F.length("value") > SHORT)
+    if long.isEmpty():
+        return short
+    pairs = _long_pairs(long, k.where(F.length("value") > SHORT * 9 // 11)).withColumn("ratio", indel_similarity(F.col("orphan"), F.col("key")))
+    best = F.min(F.struct((-F.col("ratio")).alias("less"), "key")).alias("best")
+    return short.unionAll(
+        pairs.where(F.col("ratio") >= V.FUZZY_RATIO).groupBy("orphan").agg(best).select("orphan", "best.key", (-F.col("best.less")).alias("ratio")))
+
+
 def recovered(orphans: DataFrame, keys: DataFrame, column: str = "value") -> DataFrame:
     """One row: distinct orphans, and how many are near matches of a real key."""
-    hits = fuzzy_matches(orphans, keys, column).select(F.col("orphan").alias("_o")).distinct()
+    hits = best_matches(orphans, keys, column).select(F.col("orphan").alias("_o"))
     every = orphans.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
     joined = every.join(hits, F.col("value") == F.col("_o"), "left")
     return joined.agg(F.count(F.lit(1)).alias("orphans"), F.count("_o").alias("recovered"))
+
+
+def recovered_references(spark: SparkSession, tables: Mapping[str, DataFrame], candidates: DataFrame) -> DataFrame:
+    """(from, to, orphans, recovered, example) of the candidates found in the fuzzy band: how many of the values that match
+    nothing are near matches of a real key.  Evidence for a reader: no candidate's score or status changes.
+    """
+    from tablesense.operators.foreign_keys import PAIR
+    from tablesense.operators.value_counts import cell_text
+
+    parts = []
+    for r in candidates.where("origin = 'fuzzy'").select(*PAIR).collect():  # a catalogue
+        child, parent = (
+            tables[t].select(cell_text(F.col(f"`{c}`"), tables[t].schema[c].dataType).alias("value")).where("value IS NOT NULL").distinct()
+            for t, c in ((r.from_table, r.from_column), (r.to_table, r.to_column)))
+        orphans = cut_lineage(child.join(parent, "value", "left_anti"))
+        hits = best_matches(orphans, parent)
+        parts.append(
+            orphans.join(hits.select(F.col("orphan").alias("value"), "key"), "value", "left")
+            .agg(F.count(F.lit(1)).alias("orphans"), F.count("key").alias("recovered"),
+                 F.min(F.when(F.col("key").isNotNull(), F.concat_ws(" ~ ", "value", "key"))).alias("example"))
+            .select(*[F.lit(r[c]).alias(c) for c in PAIR], "orphans", "recovered", "example"))
+    empty = ", ".join(f"{c} string" for c in PAIR) + ", orphans bigint, recovered bigint, example string"
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], empty)

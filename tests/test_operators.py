@@ -474,6 +474,43 @@ def test_dependencies_carry_only_what_is_alive(spark):
     assert 0 < part[("city", "zone")] < 40
 
 
+def test_best_match_by_all_pairs(spark):
+    rng = random.Random(12)
+    keys = ["".join(rng.choices("ab01", k=rng.choice([1, 5, 9, 12, 20, 24, 26, 40]))) for _ in range(60)] + ["customer#0001", "customer#0002", "", None]
+    orphans = [None, "", "customer#001", "customer#0003", "zzzz"]
+    for key in keys[:60]:
+        text = list(key)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(text) + 1)
+            text[at:at + rng.randint(0, 1)] = rng.choices("ab01", k=rng.randint(0, 1))
+        orphans.append("".join(text))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for x in a:
+            before, row[0] = row[:], row[0] + 1
+            for j, y in enumerate(b, 1):
+                row[j] = before[j - 1] if x == y else 1 + min(before[j], row[j - 1])
+        return row[-1]
+
+    want = {}
+    for o in {o for o in orphans if o is not None}:
+        near = [(distance(o, k) / max(1, len(o) + len(k)), k) for k in keys if k is not None]
+        if min(near)[0] <= 0.1 + 1e-12:
+            want[o] = (min(near)[1], 100 - 100 * min(near)[0])
+    got = fuzzy.best_matches(frame(spark, [(o,) for o in orphans], "value string"), frame(spark, [(k,) for k in keys], "value string")).collect()
+    assert {r.orphan: r.key for r in got} == {o: k for o, (k, _) in want.items()} and len(got) == len(want)
+    assert all(abs(r.ratio - want[r.orphan][1]) < 1e-9 for r in got)
+
+
+def test_typos_on_weak_references(spark):
+    tables = {"orders": frame(spark, [("cust-00001",), ("cust-00002",), ("cust-0000x3",), ("nothing alike",), (None,)], "cust string"),
+              "customers": frame(spark, [(f"cust-0000{i}",) for i in range(1, 9)], "id string")}
+    found = frame(spark, [("orders", "cust", "customers", "id", "fuzzy"), ("orders", "cust", "customers", "id", "detected")],
+                  "from_table string, from_column string, to_table string, to_column string, origin string")
+    assert [tuple(r)[4:] for r in fuzzy.recovered_references(spark, tables, found).collect()] == [(2, 1, "cust-0000x3 ~ cust-00003")]
+
+
 # --- settling, chains, sentences ------------------------------------------------
 def test_a_mirrored_link_takes_no_place(spark):
     schema = "from_table string, from_column string, to_table string, to_column string, score double, name_similarity double, ratio_overlap double, target_distinct long, origin string"
