@@ -166,6 +166,60 @@ def plan_applied(spark, path):
     return tables["part"].drop("p_name").dropDuplicates()
 
 
+def reviewed_steps():
+    """A plan over parts with sizes as text, and events: one step names a column that is not there, one is forbidden."""
+    return [
+        ST.Step("deduplicate", "events", {"subset": ["user_id", "event_type"]}), ST.Step("type_cast", "part", {"column": "p_size", "to": "numeric"}),
+        ST.Step("standardize_casing", "part", {"column": "brand", "casing": "lower"}), ST.Step("rename_column", "part", {"column": "p_brand", "new_name": "brand"}),
+        ST.Step("strip_whitespace", "part", {"column": "p_name"}), ST.Step("drop_column", "part", {"column": "p_missing"}),
+        ST.Step("impute", "part", {"column": "p_size"})]
+
+
+SIZES = "CASE WHEN p_partkey % 7 = 0 THEN 'big' WHEN p_partkey % 2 = 0 THEN ' ' || CAST(p_size AS {}) ELSE CAST(p_size AS {}) END"
+
+
+def step_tables(spark, path):
+    t = load_tables(spark, path, ["part", "events"])
+    part = t["part"].withColumn("p_size", F.expr(SIZES.format("STRING", "STRING"))).withColumn(
+        "p_name", F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' ELSE p_name END"))
+    return {"part": part, "events": t["events"].select("event_id", "user_id", "event_type")}
+
+
+def ran(place, step, table, column, note, before="n", after="n", changed="0", blanked="0", source="part"):
+    """One row of what a step did, from a count over its table."""
+    texts = ", ".join(f"{'NULL::VARCHAR' if x is None else S.quote(x)} AS {c}" for c, x in (("step", step), ("table_name", table), ("column_name", column), ("note", note)))
+    return (f"SELECT {place} AS place, {texts}, {before} AS rows_before, {after} AS rows_after, {changed} AS cells_changed, {blanked} AS cells_blanked, "
+            f"greatest({before} - {after}, 0) AS rows_removed FROM (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS padded, "
+            f"count(*) FILTER (WHERE lower(p_brand) <> p_brand) AS cased, count(*) FILTER (WHERE p_partkey % 7 = 0) AS words FROM part) p, "
+            f"(SELECT count(*) AS e, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)) AS kept FROM events) e")
+
+
+@query("step_outcomes", S.union([
+    ran(0, "drop_column", "part", "p_missing", "not applied: StepError", "NULL::BIGINT", "NULL::BIGINT", "NULL::BIGINT", "NULL::BIGINT"),
+    ran(1, "rename_column", "part", "p_brand", "now brand"), ran(2, "type_cast", "part", "p_size", None, changed="n", blanked="words"),
+    ran(3, "strip_whitespace", "part", "p_name", None, changed="padded"), ran(4, "standardize_casing", "part", "brand", None, changed="cased"),
+    ran(5, "deduplicate", "events", None, None, "e", "kept"),
+    ran(6, "impute", "part", "p_size", "not applied: StepError", "NULL::BIGINT", "NULL::BIGINT", "NULL::BIGINT", "NULL::BIGINT")]))
+def step_outcomes(spark, path):
+    """What each step of a reviewed plan did: rows, cells changed, cells blanked, and why two were not applied."""
+    return ST.step_outcomes(spark, step_tables(spark, path), reviewed_steps(), {"events": ["event_id"]})
+
+
+@query("step_preview", f"""
+WITH p AS (SELECT p_partkey, {SIZES.format('VARCHAR', 'VARCHAR')} AS s FROM part),
+e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events)
+SELECT 'trimmed' AS preview, * FROM (SELECT row_number() OVER (ORDER BY p_partkey)::INT AS position, p_partkey::VARCHAR AS row_key, 'p_size' AS column_name, s AS before, trim(s) AS after
+  FROM p WHERE trim(s) <> s ORDER BY p_partkey LIMIT 10)
+UNION ALL SELECT 'repeated', * FROM (SELECT row_number() OVER (ORDER BY event_id)::INT, event_id::VARCHAR, NULL, user_id || '|' || event_type, NULL
+  FROM e WHERE r > 1 ORDER BY event_id LIMIT 10)""")
+def step_preview(spark, path):
+    """The first ten cells that trimming changes, and the first ten rows that a de-duplication removes."""
+    t = step_tables(spark, path)
+    parts = {"trimmed": ST.step_preview(t["part"], ST.Step("strip_whitespace", "part", {"column": "p_size"}), ["p_partkey"]),
+             "repeated": ST.step_preview(t["events"], ST.Step("deduplicate", "events", {"subset": ["user_id", "event_type"]}), ["event_id"])}
+    return parts["trimmed"].select(F.lit("trimmed").alias("preview"), "*").unionAll(parts["repeated"].select(F.lit("repeated").alias("preview"), "*"))
+
+
 SPELT = "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN upper(source) WHEN doc_id % 6 = 1 THEN source || ' ' ELSE source END AS source, lang, CAST(NULL AS {}) AS empty FROM {}"
 
 

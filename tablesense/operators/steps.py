@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablesense import values as V
 from tablesense.functions import dates, text as X
 from tablesense.operators.clean import rank_date_formats, text_refs
 from tablesense.operators.ranks import number_rows
 from tablesense.operators.value_counts import value_counts
+from tablesense.session import cut_lineage
 
 
 class StepError(ValueError):
@@ -249,3 +251,85 @@ def run_plan(tables: Mapping[str, DataFrame], steps: Sequence[Step], orders: Map
         except (StepError, AnalysisException, KeyError) as exc:
             failed.append((step, str(exc)))
     return current, failed
+
+
+VALUE_STEPS = ("standardize_format", "standardize_casing", "strip_whitespace", "type_cast")
+OUTCOME = "place int, step string, table_name string, column_name string, note string"
+
+
+def _differs(before: Column, after: Column) -> Column:
+    return ~before.cast("string").eqNullSafe(after.cast("string"))
+
+
+def step_outcomes(
+    spark: SparkSession, tables: Mapping[str, DataFrame], steps: Sequence[Step], orders: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """What each step of a plan does to the table it gets, in the order in which they run.
+
+    (place, step, table_name, column_name, rows_before, rows_after, rows_removed, cells_changed, cells_blanked, note): a cell has
+    changed if its value differs as text (two blanks are equal) and is blanked if a value became a blank.  A step
+    that cannot run has a note and no counts, and its table goes on as it was.  Cells are compared inside their row, so a
+    value step takes one scan and no shuffle; all steps are counted by one query.
+    """
+    from pyspark.errors import AnalysisException
+
+    current, notes, counts = dict(tables), [], []
+    zero = F.lit(0).cast("bigint")
+    for place, step in enumerate(sort_plan(steps)):
+        p, note = dict(step.params), None
+        try:
+            after = apply_step(current, step, orders)
+        except (StepError, AnalysisException, KeyError) as exc:
+            notes.append((place, step.type, step.table, p.get("column"), f"not applied: {type(exc).__name__}"))
+            continue
+        if step.type in VALUE_STEPS:
+            old, new = F.col(f"`{p['column']}`"), changed_value(current[step.table], step)
+            both = current[step.table].select(old.alias("b"), new.alias("a"))
+            counts.append(both.agg(
+                F.count(F.lit(1)).alias("rows_before"), F.count(F.lit(1)).alias("rows_after"), F.count_if(_differs(F.col("b"), F.col("a"))).alias("cells_changed"),
+                F.count_if(F.col("b").isNotNull() & F.col("a").isNull()).alias("cells_blanked")).select(F.lit(place).alias("place"), "*"))
+        else:
+            left = p.get("left_table", step.table)
+            result = p.get("result_table", f"{left}_{p.get('right_table')}") if step.type == "merge_sheets" else step.table
+            note = {"rename_column": f"now {p.get('new_name')}", "merge_sheets": f"joined into {result}"}.get(step.type)
+            for df, sides in ((current[left], (F.count(F.lit(1)), zero)), (after[result], (zero, F.count(F.lit(1))))):
+                counts.append(df.agg(*[(x if x is not zero else F.max(zero)).alias(c) for x, c in zip(sides, ("rows_before", "rows_after"))]).select(
+                    F.lit(place).alias("place"), F.coalesce("rows_before", zero).alias("rows_before"), F.coalesce("rows_after", zero).alias("rows_after"),
+                    zero.alias("cells_changed"), zero.alias("cells_blanked")))
+        notes.append((place, step.type, step.table, p.get("column"), note))
+        current = after
+    ran = spark.createDataFrame(notes, OUTCOME)
+    numbers = ["rows_before", "rows_after", "cells_changed", "cells_blanked"]
+    if not counts:
+        return ran.select("*", *[F.lit(None).cast("bigint").alias(c) for c in (*numbers, "rows_removed")])
+    summed = reduce(DataFrame.unionAll, counts).groupBy("place").agg(*[F.sum(c).alias(c) for c in numbers])
+    return ran.join(F.broadcast(summed), "place", "left").withColumn("rows_removed", F.greatest(F.col("rows_before") - F.col("rows_after"), zero))
+
+
+def step_preview(df: DataFrame, step: Step, order: Sequence[str], limit: int = 10) -> DataFrame:
+    """(position, row_key, column_name, before, after): the first rows, by ``order``, that a step would change.
+
+    For a value step the changed column's text before and after; for a de-duplication the rows that go, ``before``
+    being the columns that were compared and ``after`` null.  Every task keeps ``limit`` rows before
+    anything is shuffled, and the rows that stay are found by the same grouped minimum that removes the others.
+    """
+    p = dict(step.params)
+    key = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in order])
+    at = [F.col(f"`{c}`") for c in order]
+    if step.type in VALUE_STEPS:
+        old, new = F.col(f"`{p['column']}`"), changed_value(df, step)
+        rows = df.select(F.struct(*at).alias("at"), key.alias("row_key"), F.lit(p["column"]).alias("column_name"),
+                         old.cast("string").alias("before"), new.cast("string").alias("after")).where(_differs(F.col("before"), F.col("after")))
+    elif step.type == "deduplicate":
+        subset = list(p.get("subset") or df.columns)
+        # a row's identity is written down once, so that it is the same on both sides and after a lost executor
+        marked = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+        kept = deduplicate(marked, subset, p.get("keep", "first"), [*order, "__row"]).select("__row")
+        compared = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in subset])
+        rows = marked.join(kept, "__row", "left_anti").select(
+            F.struct(*at, F.col("__row")).alias("at"), key.alias("row_key"), F.lit(None).cast("string").alias("column_name"),
+            compared.alias("before"), F.lit(None).cast("string").alias("after"))
+    else:
+        raise StepError(f"{step.type} changes no rows: nothing to preview")
+    first = rows.orderBy("at").limit(limit)
+    return first.select(F.row_number().over(Window.orderBy("at")).alias("position"), "row_key", "column_name", "before", "after")
