@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tablesense.session import scratch_folder
+
 #: The code points stripped at line ends and splitting words: space and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,10 +20,10 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors reach: below ``spark.checkpoint.dir``.
 
-    Where that setting is absent, as in local tests, the session's warehouse folder is used.
+    Where that setting is absent, as in local tests, the session's warehouse folder is used; on a cluster
+    a warehouse folder that is local is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -137,4 +137,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     gone = settle(
         find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where(is_contaminated())
         .select(F.col(id_col).alias("__id"), F.col("print").alias("__print")), "contaminated")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__print")), "left_anti")
+    same = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit(""))) == gone["__print"]
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["__id"]) & same, "left_anti")

@@ -17,6 +17,9 @@ CODES, TEMPER = 1 << 15, 0.2
 #: Pseudo-counts that draw a host to its suffix, a suffix to the corpus, a declaration to no information.
 HOST, SUFFIX, DECLARED = 5.0, 50.0, 1.0
 
+#: Parts in which a language's texts are picked.
+PARTS = 64
+
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -64,15 +67,22 @@ def train(
     The texts are picked by a hash of themselves, copies counting once, and only hashes are sorted to pick.  The
     driver holds a row of CODES numbers for each language, and one part of the texts at a time.  The languages' own frequencies are left to the priors, which
     read all rows.
+
+    Defined cases: rows without text or without a declared language teach nothing; equal texts of one language count
+    once; texts over ``max_bytes`` are not picked, and a language that has no others keeps a flat row; without
+    any language the only one is ``und``; an empty table gives that model; other columns are ignored.
     """
     known = docs.select(
         primary(F.col(f"`{language_col}`")).alias("language"), F.col(f"`{text_col}`").alias("text"),
         F.octet_length(F.col(f"`{text_col}`")).alias("n"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
     known = known.where("language <> '' and n > 0")
     languages = sorted(r.language for r in known.select("language").distinct().collect())
-    first = F.row_number().over(Window.partitionBy("language").orderBy("h"))
     some = known.where(F.col("n") <= max_bytes)
-    picked = settle(some.select("language", "h").distinct().withColumn("r", first).where(F.col("r") <= per_language).select("language", "h"), "training-texts")
+    # a language may hold a third of all rows: its first hashes are found part by part, then among the parts' first
+    part = F.pmod("h", F.lit(PARTS))
+    among, first = (F.row_number().over(Window.partitionBy("language", *by).orderBy("h")) for by in ([part], []))
+    firsts = some.select("language", "h").distinct().withColumn("r", among).where(F.col("r") <= per_language)
+    picked = settle(firsts.withColumn("r", first).where(F.col("r") <= per_language).select("language", "h"), "training-texts")
     texts = some.join(broadcast_counted(picked), ["language", "h"]).groupBy("language", "h").agg(F.min("text").alias("text"))
     table = np.full((max(1, len(languages)), CODES), 0.5)
     place = {language: i for i, language in enumerate(languages)}
@@ -190,8 +200,12 @@ def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id",
 
 
 def drop_rejected(docs: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """``docs``, all columns, without the documents that ``identify`` rejects."""
+    """``docs``, all columns, without the documents that ``identify`` rejects.
+
+    Defined cases: null, empty and blank texts have no letters and are rejected; null ids are judged by their own
+    texts; rows repeated in full all stay or all go; a text of any length is read whole; an empty table gives no rows.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = identify(docs, model, id_col, text, primary(F.col(f"`{declared_col}`")), F.col(f"`{host_col}`"), F.lit(""))
     gone = settle(found.where("rejected").select(F.col(id_col).alias("__id"), F.col("print").alias("__print")), "rejected")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print")), "left_anti")
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["__id"]) & (F.xxhash64(text) == gone["__print"]), "left_anti")

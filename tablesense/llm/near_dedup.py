@@ -390,5 +390,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = settle(found.where("not kept").select(F.col(id_col).alias("__id"), F.col("print").alias("__print")).distinct(), "near-duplicates")
-    same = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__print")
-    return docs.join(gone, (F.col(f"`{id_col}`") == F.col("__id")) & same, "left_anti")
+    same = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit(""))) == gone["__print"]
+    return docs.join(gone, (docs[f"`{id_col}`"] == gone["__id"]) & same, "left_anti")

@@ -85,18 +85,15 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, id_col: str = "do
     Defined cases: null ids and texts and repeated rows are written as they are; columns of ``docs`` named shard or
     slot come back as ``own_shard`` and ``own_slot``; an empty table writes no rows.
     """
-    whole = docs
-    for name in ("shard", "slot"):
-        whole = whole.withColumnRenamed(name, f"own_{name}")
-    same = ["__id", "__size", "__crc"]
+    names = {c: f"own_{c}" if c in ("shard", "slot") else c for c in docs.columns}
+    same = ["id", "size", "crc"]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("__order"))
-    rows = whole.select(
-        "*", F.col(f"`{id_col}`").alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(F.encode(text, "UTF-8")).alias("__crc"),
-        F.xxhash64(F.to_json(F.struct("*"))).alias("__order")).withColumn("__nth", nth).drop("__order")
-    at = interleave(docs, shards, id_col=id_col, text_col=text_col, **options).select(
-        F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot",
-        F.struct("shard", "slot").alias("__order")).withColumn("__nth", nth).drop("__order")
-    on = [rows[c].eqNullSafe(at[c]) for c in (*same, "__nth")]
-    placed = rows.join(at, on).select(*[rows[c] for c in whole.columns], at["shard"], at["slot"])
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("at"))
+    row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    rows = docs.select(
+        row.alias("row"), F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
+        F.xxhash64(F.to_json(row)).alias("at")).withColumn("nth", nth)
+    places = interleave(docs, shards, id_col=id_col, text_col=text_col, **options).select(
+        F.col(id_col).alias("id"), "size", F.col("text_crc32").alias("crc"), "shard", "slot", F.struct("shard", "slot").alias("at")).withColumn("nth", nth)
+    placed = rows.join(places, [rows[c].eqNullSafe(places[c]) for c in (*same, "nth")]).select("row.*", "shard", "slot")
     (placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesense.llm import tokens
+from tablesense.llm.common import settle
 
 #: A chain is a run of so many words of a document; the next run is the next chain.
 CHAIN = 64
@@ -208,16 +209,20 @@ def summed(p: np.ndarray, owner: np.ndarray, n: int, floor: float = 0.2) -> tupl
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, per_class: dict[str, int], max_bytes: int, id_col: str, text_col: str, label_col: str,
 ) -> tuple[list[str], list[bool]]:
-    """At most so many texts of each label (``per_class``), picked by a hash of their ids, for the driver to fit to."""
+    """At most so many texts of each label (``per_class``), picked by a hash of their ids, for the driver to fit to.
+
+    Only ids that have a text of at most ``max_bytes`` are picked from, so the sample is as large as those allow;
+    an id with several such texts brings the first of them.
+    """
     known = (
         labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull() & ~is_held_out(id_col))
         .groupBy(F.col(f"`{id_col}`").alias("id")).agg((F.max(F.col(f"`{label_col}`").cast("int")) > 0).alias("bad")))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= max_bytes)
+    known = settle(known.join(texts.select("id"), "id", "left_semi"), "labelled")
     some = [known.where(c).orderBy(F.xxhash64("id"), "id").limit(n) for c, n in per_class.items()]
     picked = some[0].unionByName(some[1])
-    rows = (
-        docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= max_bytes)
-        .join(F.broadcast(picked), "id").select("id", "text", "bad").collect())
-    rows.sort(key=lambda r: (r.id, r.text))
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("bad").alias("bad")).collect()
+    rows.sort(key=lambda r: r.id)
     return [r.text for r in rows], [r.bad for r in rows]
 
 

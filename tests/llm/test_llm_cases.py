@@ -366,3 +366,34 @@ def test_search_block_prunes_to_the_same_answer():
 def test_broadcast_is_counted(spark):
     assert "hint" not in broadcast_counted(spark.range(10), 5)._jdf.queryExecution().logical().toString().lower()
     assert "hint" in broadcast_counted(spark.range(10), 10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_pipeline_stages_in_defined_cases(spark, data):
+    import corpus_pipeline as pipeline
+
+    schema = spark.read.parquet(f"{data}/documents.parquet").schema
+    english = "the children of the village were walking to the school when the rain began to fall on the fields "
+    bench = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    rows = [(1, english * 3, "en", "a", 1), (2, english * 3, "en", None, 1), (2, english * 3, "en", None, 1), (None, english + "alone", "en", "a", 1), (3, None, "en", "a", 1),
+            (4, "", None, "a", 1), (5, bench, "en", "a", 1), (6, english + LONG, "en", "b", 1)]
+    docs, empty = (spark.createDataFrame(r, schema).withColumn("print", F.lit("mine")).withColumn("__id", F.lit(7)) for r in (rows, []))
+    names = [n for n, _ in pipeline.STAGES]
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, data)
+        kept[name] = sorted(out.select("doc_id").collect(), key=repr)
+        assert name == "packing" or out.columns == docs.columns
+        assert stage(spark, empty, data).count() == 0
+    ids = {n: sorted((r.doc_id for r in kept[n]), key=lambda k: (k is None, k)) for n in names}
+    assert ids["line_dedup"] == [1, 2, 2, 3, 4, 5, 6, None]
+    assert ids["near_dedup"] == [1, 3, 4, 5, 6, None]
+    assert ids["decontamination"] == [1, 2, 2, 3, 4, 6, None]
+    assert set(ids["packing"]) == {1, 2, 3, 4, 5, 6, None}
+    assert set(ids["language"]) >= {1, 2, None} and not {3, 4} & set(ids["language"])
+
+
+def test_labelled_sample_fills_up(spark):
+    docs = spark.createDataFrame([(i, ("x" * 50_000 if i % 2 else f"text {i}")) for i in range(60)] + [(2, "a second text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(60)], "doc_id long, toxic int")
+    texts, bad = toxicity.labelled_sample(docs, labels, {"bad": 3, "not bad": 4}, 1000, "doc_id", "text", "toxic")
+    assert bad.count(True) == 3 and bad.count(False) == 4 and all(len(t) <= 1000 for t in texts)
