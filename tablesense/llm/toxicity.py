@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablesense.llm import tokens
 from tablesense.llm.common import settle
 
-#: A chain is a run of so many words of a document; the next run is the next chain.
-CHAIN = 64
+#: Words of a chain that are worked through at a time; a document is one chain whatever its length.
+BLOCK = 64
 #: Prefix lengths that are features of a word beside the word itself.
 PREFIXES = (3, 4, 5, 6)
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -58,16 +58,95 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
-    """P(toxic) of every word, by forward-backward; ``scores`` is (chains, CHAIN), the rest after ``lengths`` is padding.
+@dataclass
+class Blocks:
+    """Chains of ``counts`` words each, cut into blocks of BLOCK words that stay linked.
+
+    ``owner``: the chain of every block; ``first``: its first word (over all chains); ``lengths``: its words;
+    ``place``: its place in its chain.
+    """
+
+    owner: np.ndarray
+    first: np.ndarray
+    lengths: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Blocks:
+        n = -(-counts // BLOCK)
+        owner = np.repeat(np.arange(len(counts)), n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        first = (np.cumsum(counts) - counts)[owner] + place * BLOCK
+        return cls(owner, first, np.minimum(counts[owner] - place * BLOCK, BLOCK), place)
+
+    def runs(self, least: int) -> Iterator[Blocks]:
+        """The blocks in runs of whole chains, ``least`` blocks or more each, but for the last."""
+        starts = np.append(np.flatnonzero(self.place == 0), len(self.place))
+        a = 0
+        for b in starts[1:].tolist():
+            if b - a >= least or b == starts[-1]:
+                yield Blocks(self.owner[a:b], self.first[a:b], self.lengths[a:b], self.place[a:b])
+                a = b
+
+    def grid(self, values: np.ndarray) -> np.ndarray:
+        """One row of BLOCK values for each block."""
+        places = self.first[:, None] + np.arange(BLOCK)
+        return np.where(self.inside, np.append(values, 0)[np.minimum(places, len(values))], 0)
+
+    @property
+    def inside(self) -> np.ndarray:
+        return np.arange(BLOCK) < self.lengths[:, None]
+
+
+def _boundaries(emit: np.ndarray, blocks: Blocks, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages at the blocks' edges, (2, blocks) each: what comes before a block's first word, and what follows its last.
+
+    A block is a product of 2 x 2 matrices; those of all blocks are multiplied out together, then passed along
+    each chain, block by block, for all chains at a time.
+    """
+    start, enter, leave, stay = moves
+    n = len(blocks.place)
+    ahead, behind = np.empty((2, n)), np.ones((2, n))
+    heads = np.flatnonzero(blocks.place == 0)
+    ahead[:, heads] = np.array([[1.0], [start]])
+    size = np.diff(np.append(heads, n))
+    if not n or size.max() == 1:
+        return ahead, behind
+    last = np.zeros(n, bool)
+    last[heads + size - 1] = True
+    # columns: the images of "other" and "toxic"; the last block of a chain ends without a move
+    image = np.zeros((2, 2, n))
+    image[0, 0] = image[1, 1] = 1
+    for t in range(BLOCK):
+        toxic = emit[:, t] * image[1]
+        moved = ~last if t + 1 == BLOCK else ~last | (t + 1 < blocks.lengths)
+        image = np.where(moved, np.stack([image[0] + leave * toxic, enter * image[0] + stay * toxic]), np.stack([image[0], toxic]))
+        image /= image.sum(axis=(0, 1))
+    order = np.argsort(-size, kind="stable")
+    heads, size = heads[order], size[order]
+    longer = [int(np.searchsorted(-size, -k, side="left")) for k in range(int(size[0]))]  # chains of more than k blocks
+    for k in range(1, int(size[0])):
+        at = heads[:longer[k]] + k
+        to = np.einsum("ijn,jn->in", image[:, :, at - 1], ahead[:, at - 1])
+        ahead[:, at] = to / to.sum(axis=0)
+    for k in range(int(size[0]) - 1, 0, -1):
+        at = heads[:longer[k]] + k
+        to = np.einsum("ijn,in->jn", image[:, :, at], np.where(last[at], 1.0, behind[:, at]))
+        behind[:, at - 1] = to / to.sum(axis=0)
+    return ahead, behind
+
+
+def marginals(scores: np.ndarray, blocks: Blocks, moves: np.ndarray, used: np.ndarray | None = None) -> np.ndarray:
+    """P(toxic) of every word, by forward-backward over whole chains; ``scores`` is (blocks, BLOCK), padded after their lengths.
 
     To ``used``, if given, the expected numbers of the four ``moves`` over all chains are added.
     """
-    start, enter, leave, stay = np.exp(np.clip(moves, -30, 30))
+    steps = start, enter, leave, stay = np.exp(np.clip(moves, -30, 30))
     emit = np.exp(np.clip(scores, -30, 30))
     n, width = scores.shape
+    before, behind = _boundaries(emit, blocks, steps)
     ahead = np.empty((width, n, 2))
-    other, toxic = np.ones(n), start * emit[:, 0]
+    other, toxic = before[0], before[1] * emit[:, 0]
     for t in range(width):
         if t:
             other, toxic = other + toxic * leave, (other * enter + toxic * stay) * emit[:, t]
@@ -75,9 +154,15 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, used:
         other, toxic = other / total, toxic / total
         ahead[t, :, 0], ahead[t, :, 1] = other, toxic
     out = np.zeros((n, width))
-    other, toxic = np.ones(n), np.ones(n)
+    linked = np.append(blocks.place[1:] > 0, False)  # blocks that another one of their chain follows
+    other = np.where(linked, behind[0] + enter * behind[1], 1.0)
+    toxic = np.where(linked, leave * behind[0] + stay * behind[1], 1.0)
+    if used is not None:
+        ends = ahead[-1, :, 0], ahead[-1, :, 1]
+        joint = np.stack([ends[0] * behind[0], ends[0] * enter * behind[1], ends[1] * leave * behind[0], ends[1] * stay * behind[1]])
+        used[1:] += np.where(linked, joint[1:] / joint.sum(axis=0), 0).sum(axis=1)
     for t in range(width - 1, -1, -1):
-        inside = t < lengths
+        inside = t < blocks.lengths
         both = ahead[t, :, 0] * other, ahead[t, :, 1] * toxic
         out[:, t] = np.where(inside, both[1] / (both[0] + both[1]), 0)
         after = emit[:, t] * toxic
@@ -89,25 +174,10 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, used:
         total = other + toxic
         other, toxic = np.where(inside, other / total, 1.0), np.where(inside, toxic / total, 1.0)
     if used is not None:
-        used[0] += out[:, 0].sum()
+        used[0] += out[blocks.place == 0, 0].sum()
     return out
 
 
-def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts of so many words each: every chain's text, first word (over all texts) and length."""
-    n = -(-counts // CHAIN)
-    owner = np.repeat(np.arange(len(counts)), n)
-    part = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    first = (np.cumsum(counts) - counts)[owner] + part * CHAIN
-    return owner, first, np.minimum(counts[owner] - part * CHAIN, CHAIN)
-
-
-def _grid(values: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """One row of CHAIN values for each chain."""
-    places = first[:, None] + np.arange(CHAIN)
-    return np.where(np.arange(CHAIN) < lengths[:, None], np.append(values, 0)[np.minimum(places, len(values))], 0)
-
-
 def _seeds(docs: list[list[str]], toxic: np.ndarray, least: int, ratio: float) -> set[str]:
     """Words and prefixes that mark toxic documents: in ``least`` contexts or more there, hardly in others.
 
@@ -156,22 +226,23 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float =
     seen = {f for w, m in zip(vocabulary, marked) if m for f in features(w)}
     names = {f: i for i, f in enumerate(sorted(seen))}
     pairs = np.array([(i, names[f]) for i, w in enumerate(vocabulary) if w for f in features(w) if f in names], np.int64).reshape(-1, 2)
-    owner, first, lengths = _chains(counts)
-    grid = _grid(of, first, lengths).astype(np.int32)
-    gold = _grid(labels, first, lengths).astype(bool)
-    inside = np.arange(CHAIN) < lengths[:, None]
+    runs = list(Blocks.of(counts).runs(4096))
+    grids = [(run.grid(of).astype(np.int32), run.grid(labels).astype(bool), run.inside) for run in runs]
     model = Tagger()
     w, bias, moves = np.zeros(len(names)), -4.0, np.array([-1.0, -1.0, 0.0, 0.0])
     power = [np.full(len(names), 1e-6), 1e-6, np.full(4, 1e-6)]
-    moved = np.array([gold[:, 0].sum(), (gold[:, 1:] & ~gold[:, :-1] & inside[:, 1:]).sum(), (~gold[:, 1:] & gold[:, :-1] & inside[:, 1:]).sum(), (gold[:, 1:] & gold[:, :-1]).sum()])
+    heads = (np.cumsum(counts) - counts)[counts > 0]
+    joined = np.ones(len(labels), bool)
+    joined[heads] = False
+    was, now = labels[:-1][joined[1:]], labels[1:][joined[1:]]
+    moved = np.array([labels[heads].sum(), (now & ~was).sum(), (was & ~now).sum(), (was & now).sum()])
     for _ in range(rounds):
         emission = bias + np.bincount(pairs[:, 0], w[pairs[:, 1]], len(vocabulary)) if len(pairs) else np.full(len(vocabulary), bias)
         expected, by_word, missing = np.zeros(4), np.zeros(len(vocabulary)), 0.0
-        for a in range(0, len(owner), 4096):
-            part = slice(a, a + 4096)
-            p = marginals(np.where(inside[part], emission[grid[part]], 0), lengths[part], moves, expected)
-            rest = np.where(inside[part], gold[part] - p, 0)
-            by_word += np.bincount(grid[part].ravel(), rest.ravel(), len(vocabulary))
+        for run, (grid, gold, inside) in zip(runs, grids):
+            p = marginals(np.where(inside, emission[grid], 0), run, moves, expected)
+            rest = np.where(inside, gold - p, 0)
+            by_word += np.bincount(grid.ravel(), rest.ravel(), len(vocabulary))
             missing += rest.sum()
         grads = [np.bincount(pairs[:, 1], by_word[pairs[:, 0]], len(names)) - 0.05 * w, missing, None]
         grads[2] = moved - expected - 0.05 * moves
@@ -184,9 +255,8 @@ def train(texts: list[str], toxic: list[bool], rounds: int = 60, ratio: float =
     model.weights = {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 1e-3}
     emission = np.array([model.emission(x) for x in vocabulary])
     most, mass = np.zeros(len(docs)), np.zeros(len(docs))
-    for a in range(0, len(owner), 4096):
-        part = slice(a, a + 4096)
-        some = summed(marginals(_grid(emission[of], first[part], lengths[part]), lengths[part], moves), owner[part], len(docs))
+    for run in runs:
+        some = summed(marginals(run.grid(emission[of]), run, moves), run.owner, len(docs))
         most, mass = np.maximum(most, some[0]), mass + some[1]
     x = np.stack([np.ones(len(docs)), most, np.log1p(mass)], axis=1)
     fit = np.zeros(3)
@@ -243,11 +313,11 @@ class Scorer:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.known.__getitem__
         scores = np.fromiter((get(p) for one in split for p in one), float, int(counts.sum()))
-        owner, first, lengths = _chains(counts)
-        if not len(owner):
+        blocks = Blocks.of(counts)
+        if not len(blocks.owner):
             return np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(0)
-        p = marginals(_grid(scores, first, lengths), lengths, self.model.moves)
-        return *summed(p, owner, len(texts)), p[np.arange(CHAIN) < lengths[:, None]]
+        p = marginals(blocks.grid(scores), blocks, self.model.moves)
+        return *summed(p, blocks.owner, len(texts)), p[blocks.inside]
 
 
 def offending(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -272,8 +342,8 @@ def score_toxicity(
     others, of texts of up to ``max_bytes`` (the documented bound of what the driver holds), never to
     held-out rows.  A word's
     features are the word and its prefixes; words are labelled in toxic documents where they, or
-    a prefix, mark those documents in many different contexts.  Scoring reads every text whole: documents
-    are cut into chains of CHAIN words, forward-backward gives each word's marginal, and the
+    a prefix, mark those documents in many different contexts.  Scoring reads every text whole: a document
+    is one chain, forward-backward gives each word's marginal, and the
     largest marginal and their mass give the score.  ``spans`` are (start, end, score), code points.
 
     Defined cases: null and empty texts have no words and the score of that; rows without labels are

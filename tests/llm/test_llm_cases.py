@@ -302,9 +302,9 @@ def test_marginals_against_enumeration():
     import itertools
 
     rnd = np.random.default_rng(0)
-    scores, moves = rnd.normal(size=(3, toxicity.CHAIN)), np.array([-0.5, -1.0, 0.3, 0.8])
+    scores, moves = rnd.normal(size=(3, toxicity.BLOCK)), np.array([-0.5, -1.0, 0.3, 0.8])
     lengths = np.array([5, 1, 3])
-    got = toxicity.marginals(np.where(np.arange(toxicity.CHAIN) < lengths[:, None], scores, 0), lengths, moves)
+    got = toxicity.marginals(np.where(np.arange(toxicity.BLOCK) < lengths[:, None], scores, 0), toxicity.Blocks.of(lengths), moves)
     for row, n in enumerate(lengths):
         total, toxic = 0.0, np.zeros(n)
         for labels in itertools.product([0, 1], repeat=int(n)):
