@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablesense import values as V
 from tablesense.functions import text as X
-from tablesense.operators.ranks import exact_medians
+from tablesense.operators.ranks import exact_medians, summary
 from tablesense.operators.value_counts import ColumnRef, column_catalogue, column_refs, value_counts
 from tablesense.session import as_catalogue, cut_lineage, row_counts, spread
 
@@ -62,10 +62,11 @@ def numeric_distribution(spark: SparkSession, tables: Mapping[str, DataFrame], r
     refs = refs or numeric_refs(tables)
     long = numeric_long(tables, refs)
     x = F.col("x")
-    stats = as_catalogue(long.groupBy("group_id").agg(
+    rows = as_catalogue(long.groupBy("group_id").agg(
         F.count(x).alias("filled"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.sum(x).alias("sum"), F.count_if(x == 0).alias("zero_count"), F.count_if(x < 0).alias("negative_count")))
-    bounds = {r.group_id: (r.filled, r.min, r.max) for r in stats.collect()}
+        F.sum(x).alias("sum"), F.count_if(x == 0).alias("zero_count"), F.count_if(x < 0).alias("negative_count"), summary("x").alias("points")))
+    bounds = {r.group_id: (r.filled, r.min, r.max, r.points) for r in rows.collect()}
+    stats = rows.drop("points")
     middle = spark.createDataFrame([(int(g), m) for g, m in exact_medians(long, bounds).items()], "cid int, median double")
     return (
         stats.withColumn("cid", F.col("group_id").cast("int")).drop("group_id").join(F.broadcast(middle), "cid", "left")

@@ -5,96 +5,146 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesense.session import cut_lineage
 
 BINS = 2048
+#: A summary has this many steps; its points' ranks are wrong by no more than a share 1 / ACCURACY of the rows.
+STEPS, ACCURACY = 500, 1_000
+#: Up to so many distinct values inside all brackets are finished in the driver.
+FEW = 200_000
 
+#: filled, min, max and the points of ``summary`` of a group
+Bounds = tuple[int, float, float, list[float]]
 
-def group_bounds(long: DataFrame) -> dict[str, tuple[int, float, float]]:
-    """group -> (filled, min, max) of ``long`` (group_id, x): one row per group."""
-    rows = long.groupBy("group_id").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    return {r.group_id: (r.n, r.lo, r.hi) for r in rows if r.n}
 
+def summary(x: str = "x") -> Column:
+    """Approximate values at STEPS + 1 even shares of a group: a sketch that tasks build and merge."""
+    return F.percentile_approx(x, [i / STEPS for i in range(STEPS + 1)], ACCURACY)
 
-def select_ranks(
-    long: DataFrame, targets: list[tuple[str, int]], bounds: Mapping[str, tuple[int, float, float]] | None = None
-) -> dict[tuple[str, int], float]:
+
+def group_bounds(long: DataFrame) -> dict[str, Bounds]:
+    """group -> (filled, min, max, summary) of ``long`` (group_id, x): one row per group, one scan."""
+    rows = long.groupBy("group_id").agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), summary().alias("points")).collect()
+    return {r.group_id: (r.n, r.lo, r.hi, r.points) for r in rows if r.n}
+
+
+def _bracket(k: int, n: int, lo: float, hi: float, points: list[float]) -> tuple[float, float]:
+    """Values between which the 0-based rank ``k`` of ``n`` lies."""
+    slack = n / ACCURACY + 1
+    i, j = math.floor((k + 1 - slack) / n * STEPS), math.ceil((k + 1 + slack) / n * STEPS)
+    return points[i] if i > 0 else lo, points[j] if j < STEPS else hi
+
+
+def select_ranks(long: DataFrame, targets: list[tuple[str, int]], bounds: Mapping[str, Bounds] | None = None) -> dict[tuple[str, int], float]:
     """Exact value at each 0-based rank of each group of ``long`` (group_id, x).
 
-    Every pass counts 2 048 equal-width bins between known bounds and keeps, per
-    target, the one bin that holds its rank.  A bin with one distinct value ends
-    the search.  What reaches the driver is bins per target, whatever the rows.
+    Two scans, whatever the values: ``group_bounds`` (which a caller may have made along with other aggregates)
+    brackets every rank by two points of a sketch, less than a hundredth of the rows apart; the second scan counts
+    the rows below each bracket and the values inside it.  Those counts are checkpointed, and the ranks
+    are found among them: in the driver where they are at most FEW, else by ``_ranks_by_bins``.
     """
-    spark = long.sparkSession
-    bounds = {g: (lo, hi) for g, (_, lo, hi) in (bounds or group_bounds(long)).items()}
-    found: dict[tuple[str, int], float] = {}
-    below = _finite_bounds(long, bounds)
-    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for g, k in targets:
-        first, inside = below.get(g, (0, math.inf))
-        if g not in bounds:
-            continue
-        if first <= k < first + inside:
-            open_[(g, k)] = (*bounds[g], k - first)
+    bounds = bounds or group_bounds(long)
+    wanted = {(g, k): _bracket(k, *bounds[g]) for g, k in targets if g in bounds}
+    found = _within(long, wanted)
+    # a rank outside its bracket would break the sketch's promise: looked for in the whole group all the same
+    missed = {(g, k): bounds[g][1:3] for g, k in wanted.keys() - found.keys()}
+    return {**found, **_within(long, missed)} if missed else found
+
+
+def _within(long: DataFrame, wanted: Mapping[tuple[str, int], tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The ranks that lie between their two values."""
+    if not wanted:
+        return {}
+    spans = sorted({(g, *pair) for (g, _), pair in wanted.items()})
+    place = {span: i for i, span in enumerate(spans)}
+    frame = long.sparkSession.createDataFrame([(i, *span) for i, span in enumerate(spans)], "span int, group_id string, lo double, hi double")
+    # what is below a bracket is one row of it, without a value
+    counted = cut_lineage(
+        long.join(F.broadcast(frame), "group_id").where(F.col("x") <= F.col("hi"))
+        .groupBy("span", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    totals = {r.span: (r.below, r.inside) for r in counted.groupBy("span").agg(
+        F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("inside")).collect()}
+    ranks = {}
+    for (g, k), pair in wanted.items():
+        span = place[(g, *pair)]
+        below, inside = totals.get(span, (0, 0))
+        if below <= k < below + inside:
+            ranks[(g, k)] = (span, k - below)
+    values = counted.where(F.col("x").isNotNull())
+    some = values.limit(FEW + 1).collect()
+    at = _ranks_by_bins(values, set(ranks.values())) if len(some) > FEW else _ranks_of_rows(some, set(ranks.values()))
+    return {key: at[rank] for key, rank in ranks.items()}
+
+
+def _ranks_of_rows(rows: list, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """(span, rank) -> value, of rows (span, x, n) that are all here."""
+    ordered = sorted(rows, key=lambda r: (r.span, r.x))
+    found, todo, span, upto = {}, sorted(wanted, reverse=True), None, 0
+    for r in ordered:
+        upto = r.n if r.span != span else upto + r.n
+        span = r.span
+        while todo and todo[-1][0] == span and todo[-1][1] < upto:
+            found[todo.pop()] = r.x
+    return found
+
+
+def _ranks_by_bins(values: DataFrame, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """(span, rank) -> value, of ``values`` (span, x, n).
+
+    Every pass counts 2 048 equal-width bins between known bounds and keeps, per rank, the one bin that holds
+    it.  A bin with one distinct value ends the search.  What reaches the driver is bins per rank, whatever the rows.
+    """
+    finite = F.when(F.abs("x") < math.inf, F.col("x"))
+    edges = {r.span: r for r in values.groupBy("span").agg(
+        F.sum(F.when(F.col("x") == -math.inf, F.col("n")).otherwise(0)).alias("first"), F.sum(F.when(F.abs("x") < math.inf, F.col("n")).otherwise(0)).alias("inside"),
+        F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
+    found: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], tuple[int, float, float, int]] = {}
+    for span, k in wanted:
+        e = edges[span]
+        if e.first <= k < e.first + e.inside:
+            open_[(span, k)] = (span, e.lo, e.hi, k - e.first)
         else:
-            found[(g, k)] = -math.inf if k < first else math.inf
-    while open_:
-        for key, (lo, hi, _) in list(open_.items()):
+            found[(span, k)] = -math.inf if k < e.first else math.inf
+    while True:
+        for key, (_, lo, hi, _) in list(open_.items()):
             if lo == hi:
                 found[key] = lo
                 del open_[key]
         if not open_:
-            break
-        spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _) in open_.items()})
-        frame = spark.createDataFrame(
-            [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)],
-            "span int, group_id string, lo double, hi double",
-        )
-        span = F.col("hi") - F.col("lo")  # beyond the range of a double, halves are compared
-        share = F.when(span < math.inf, (F.col("x") - F.col("lo")) / span).otherwise(
+            return found
+        parts = sorted({part[:3] for part in open_.values()})
+        frame = values.sparkSession.createDataFrame([(i, *part) for i, part in enumerate(parts)], "part int, span int, lo double, hi double")
+        width = F.col("hi") - F.col("lo")  # beyond the range of a double, halves are compared
+        share = F.when(width < math.inf, (F.col("x") - F.col("lo")) / width).otherwise(
             (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
         bins = (
-            long.join(F.broadcast(frame), "group_id")
+            values.join(F.broadcast(frame), "span")
             .where(F.col("x").between(F.col("lo"), F.col("hi")))
-            .groupBy("span", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .groupBy("part", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
+            .agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
             .collect()
         )
-        by_span: dict[int, list] = {}
-        for row in sorted(bins, key=lambda r: (r.span, r.bin)):
-            by_span.setdefault(row.span, []).append(row)
-        position = {s: i for i, s in enumerate(spans)}
-        for key, (lo, hi, rank) in list(open_.items()):
-            for row in by_span[position[(key[0], lo, hi)]]:
+        by_part: dict[int, list] = {}
+        for row in sorted(bins, key=lambda r: (r.part, r.bin)):
+            by_part.setdefault(row.part, []).append(row)
+        position = {part: i for i, part in enumerate(parts)}
+        for key, (span, lo, hi, rank) in list(open_.items()):
+            for row in by_part[position[(span, lo, hi)]]:
                 if rank < row.n:
-                    open_[key] = (row.lo, row.hi, rank)
+                    open_[key] = (span, row.lo, row.hi, rank)
                     break
                 rank -= row.n
-    return found
-
-
-def _finite_bounds(long: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, tuple[int, int]]:
-    """Of groups that hold an infinity: (values at minus infinity, finite values); ``bounds`` become the finite ones."""
-    wide = [g for g, pair in bounds.items() if any(map(math.isinf, pair))]
-    if not wide:
-        return {}
-    finite = F.when(F.abs("x") < math.inf, F.col("x"))
-    rows = long.where(F.col("group_id").isin(wide)).groupBy("group_id").agg(
-        F.count_if(F.col("x") == -math.inf).alias("below"), F.count(finite).alias("inside"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()
-    for r in rows:
-        if r.inside:
-            bounds[r.group_id] = (r.lo, r.hi)
-    return {r.group_id: (r.below, r.inside) for r in rows}
 
 
-def exact_medians(long: DataFrame, bounds: Mapping[str, tuple[int, float, float]] | None = None) -> dict[str, float]:
+def exact_medians(long: DataFrame, bounds: Mapping[str, Bounds] | None = None) -> dict[str, float]:
     """Exact median per group of ``long`` (group_id, x)."""
     bounds = bounds or group_bounds(long)
-    targets = [(g, k) for g, (n, _, _) in bounds.items() for k in {(n - 1) // 2, n // 2}]
+    targets = [(g, k) for g, (n, *_) in bounds.items() for k in {(n - 1) // 2, n // 2}]
     at = select_ranks(long, targets, bounds)
-    return {g: (at[(g, (n - 1) // 2)] + at[(g, n // 2)]) / 2 for g, (n, _, _) in bounds.items()}
+    return {g: (at[(g, (n - 1) // 2)] + at[(g, n // 2)]) / 2 for g, (n, *_) in bounds.items()}
 
 
 def nearest_rank(n: int, q: float) -> int:

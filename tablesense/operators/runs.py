@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesense import values as V
 from tablesense.functions.stats import mcnemar_p, wilson
-from tablesense.operators.ranks import exact_medians, group_bounds, nearest_rank, select_ranks
+from tablesense.operators.ranks import group_bounds, nearest_rank, select_ranks
 
 METRICS = ("strict", "normalised", "relaxed")
 
@@ -46,11 +46,11 @@ def latency(spark: SparkSession, records: DataFrame, q: float = 0.9) -> DataFram
     """Exact median and nearest-rank percentile of seconds per arm, without sorting an arm."""
     long = records.where(F.col("elapsed_seconds").isNotNull()).select(F.col("arm").alias("group_id"), F.col("elapsed_seconds").cast("double").alias("x"))
     bounds = group_bounds(long)
-    counts = {g: n for g, (n, _, _) in bounds.items()}
-    medians = exact_medians(long, bounds)
-    at = select_ranks(long, [(g, nearest_rank(n, q)) for g, n in counts.items()], bounds)
+    counts = {g: n for g, (n, *_) in bounds.items()}
+    ranks = {g: ((n - 1) // 2, n // 2, nearest_rank(n, q)) for g, n in counts.items()}
+    at = select_ranks(long, [(g, k) for g, three in ranks.items() for k in set(three)], bounds)
     return spark.createDataFrame(
-        [(g, n, medians[g], at[(g, nearest_rank(n, q))]) for g, n in counts.items()], "arm string, n bigint, median_seconds double, p90_seconds double")
+        [(g, counts[g], (at[(g, a)] + at[(g, b)]) / 2, at[(g, c)]) for g, (a, b, c) in ranks.items()], "arm string, n bigint, median_seconds double, p90_seconds double")
 
 
 def paired(raw: DataFrame, semantic: DataFrame, metric: str = "relaxed", by: list[str] = (), key: tuple[str, ...] = ("db_id", "question_id")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -11,7 +12,7 @@ from tablesense import values as V
 from tablesense.functions import dates, ratios, text as X
 from tablesense.operators import (
     clean, compare as CMP, dependencies as FD, duplicates, equivalence, foreign_keys as FK, fuzzy, keys as K, labels, plan,
-    profile as P, publish as PB, retrieve as R, sample as SM, settle, steps as ST, table_profile as TP, triage,
+    profile as P, publish as PB, ranks, retrieve as R, sample as SM, settle, steps as ST, table_profile as TP, triage,
 )
 from tablesense.operators.column_types import column_types
 from tablesense.operators.ranks import exact_medians, number_rows, select_ranks, spacing
@@ -576,3 +577,25 @@ def test_sentences(spark):
         "table_name string, table_type string, row_count long, column_count int, primary_key array<string>, references array<string>, "
         "referenced_by array<string>, additive array<string>, others array<string>")).first().description
     assert told == ("Table: t. Amounts: net total. Other columns: c0, c1, c2, c3, c4, c5, c6, c7 and 1 others. Key: id. Pointed to by: u. Size: 1,200 rows by 3")
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_every_rank_from_a_sketch_and_one_count(spark, monkeypatch, few):
+    """Ranks of groups of all sizes, with ties, skew and infinities, finished in the driver or by bins."""
+    monkeypatch.setattr(ranks, "FEW", few)
+    rnd = random.Random(7)
+    groups = {str(n): [rnd.choice([rnd.gauss(0, 1e6), 5.0, float(rnd.randrange(4))]) for _ in range(n)] for n in (1, 2, 3, 7, 12, 40)}
+    groups["many"] = [rnd.lognormvariate(0, 6) for _ in range(6000)] + [1.0] * 3000
+    groups["ends"] = [-math.inf] * 300 + [rnd.random() for _ in range(500)] + [math.inf] * 300
+    long = spark.createDataFrame([(g, x) for g, values in groups.items() for x in values], "group_id string, x double").repartition(6)
+    asked = [(g, k) for g, values in groups.items() for k in (range(len(values)) if len(values) <= 40 else {0, 299, 300, 550, 799, 800, len(values) // 2, len(values) - 1})]
+    calls, plain = [], ranks._within
+    monkeypatch.setattr(ranks, "_within", lambda *a: calls.append(1) or plain(*a))
+    got = select_ranks(long, [*asked, ("none", 0)])
+    assert got == {(g, k): sorted(groups[g])[k] for g, k in asked}
+    assert len(calls) == 1  # no rank was outside its bracket
+
+
+def test_a_rank_outside_its_bracket_is_found(spark):
+    long = spark.createDataFrame([("a", float(i)) for i in range(100)], "group_id string, x double")
+    assert select_ranks(long, [("a", 50)], {"a": (100, 0.0, 99.0, [0.0] * (ranks.STEPS + 1))}) == {("a", 50): 50.0}
