@@ -152,6 +152,29 @@ def questions_on_changed_columns(spark, path):
     return R.touches_drift(gold, t["part"].where("p_size = 7").select(F.col("p_partkey").alias("name")), ["question"], "name")
 
 
+def metric_slices_sql() -> str:
+    sums = """count(*) AS n, count(*) FILTER (WHERE strict) AS strict, count(*) FILTER (WHERE normalised) AS normalised,
+ count(*) FILTER (WHERE relaxed OR normalised) AS relaxed, count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE relaxed OR normalised) / count(*) AS accuracy"""
+    cut = "m JOIN (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) c(cut) ON recall >= cut"
+    return f"""
+WITH r AS ({RECORDS_SQL}), g AS (SELECT DISTINCT l_orderkey AS question, l_suppkey % 20 AS name FROM lineitem),
+s AS (SELECT DISTINCT l_orderkey AS question, l_suppkey % 20 AS name FROM lineitem WHERE l_linenumber <= 4),
+q AS (SELECT g.question, count(s.name) / count(*) AS recall FROM g LEFT JOIN s ON g.question = s.question AND g.name = s.name GROUP BY g.question),
+d AS (SELECT DISTINCT l_orderkey AS question FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)),
+m AS (SELECT r.*, q.recall, d.question IS NOT NULL AS changed FROM r LEFT JOIN q ON r.question_id = q.question LEFT JOIN d ON r.question_id = d.question)
+SELECT 'all' AS slice, arm, NULL::BOOLEAN AS changed, NULL::DOUBLE AS min_recall, {sums} FROM m GROUP BY arm
+UNION ALL SELECT 'changed', arm, changed, NULL, {sums} FROM m GROUP BY arm, changed
+UNION ALL SELECT 'recall', arm, NULL, cut, {sums} FROM {cut} GROUP BY arm, cut
+UNION ALL SELECT 'changed, recall', arm, changed, cut, {sums} FROM {cut} GROUP BY arm, changed, cut"""
+
+
+@query("metric_slices", metric_slices_sql())
+def metric_slices(spark, path):
+    named = [F.col("question").alias("question_id")]
+    recalls = retrieval_recall(spark, path).select(*named, "recall")
+    return R.metric_slices(records(spark, path), recalls, questions_on_changed_columns(spark, path).select(*named), ["question_id"])
+
+
 # --- samples ------------------------------------------------------------------
 QUOTAS = """WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT sum(n)::BIGINT AS t FROM c),
 s AS (SELECT c.*, n * 97 // t AS f, n * 97 / t - floor(n * 97 / t) AS rest FROM c, t)

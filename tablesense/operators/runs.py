@@ -93,3 +93,29 @@ def retrieval_recall(gold: DataFrame, sent: DataFrame, question: list[str], name
 def touches_drift(gold: DataFrame, drifted: DataFrame, question: list[str], name: str) -> DataFrame:
     """Questions that read at least one changed column."""
     return gold.join(drifted.select(name).distinct(), name, "left_semi").select(*question).distinct()
+
+
+def metric_slices(
+    records: DataFrame, recalls: DataFrame, changed: DataFrame, question: list[str], cuts: tuple[float, ...] = V.RECALL_CUTS, cap: int | None = None,
+) -> DataFrame:
+    """(slice, arm, changed, min_recall, n, the verdicts, answered, accuracy): how runs fare where retrieval did well, and on changed columns.
+
+    ``recalls`` is (question, recall) as ``retrieval_recall`` gives it, ``changed`` the questions of ``touches_drift``.
+    A record counts at every cut that its recall reaches, so its highest cut is what it is grouped by: one
+    shuffle of grouping sets, whose few rows are then summed from cut to cut.  Records of questions without a known recall
+    are in the slices "all" and "changed" only; a slice without records has no row.
+    """
+    cuts = tuple(sorted(cuts))
+    reached = sum((F.when(F.col("recall") >= t, 1).otherwise(0) for t in cuts), F.lit(0))
+    v = (
+        verdicts(records, cap).join(recalls.groupBy(*question).agg(F.max("recall").alias("recall")), question, "left")
+        .join(changed.select(*question).distinct().withColumn("changed", F.lit(True)), question, "left")
+        .withColumn("changed", F.coalesce("changed", F.lit(False))).withColumn("reached", reached))
+    sums = ["n", *METRICS, "answered"]
+    sets = v.groupingSets([("arm",), ("arm", "changed"), ("arm", "reached"), ("arm", "changed", "reached")], "arm", "changed", "reached").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(m).alias(m) for m in METRICS], F.count_if(F.col("outcome") == "answered").alias("answered"), F.grouping_id().alias("_g"))
+    by_recall = F.col("_g").bitwiseAND(F.lit(1)) == 0
+    of = F.when(by_recall, F.slice(F.array(*map(F.lit, cuts)), F.lit(1), F.col("reached"))).otherwise(F.array(F.lit(None).cast("double")))
+    name = F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "changed").when(F.col("_g") == 2, "recall").otherwise("changed, recall")
+    out = sets.select("arm", "changed", name.alias("slice"), F.explode(of).alias("min_recall"), *sums)
+    return out.groupBy("slice", "arm", "changed", "min_recall").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("accuracy", F.col("relaxed") / F.col("n"))

@@ -12,7 +12,7 @@ from tablesense import values as V
 from tablesense.functions import dates, ratios, text as X
 from tablesense.operators import (
     clean, compare as CMP, dependencies as FD, duplicates, equivalence, foreign_keys as FK, fuzzy, keys as K, labels, plan,
-    profile as P, publish as PB, ranks, retrieve as R, sample as SM, settle, steps as ST, table_profile as TP, triage,
+    profile as P, publish as PB, ranks, retrieve as R, runs, sample as SM, settle, steps as ST, table_profile as TP, triage,
 )
 from tablesense.operators.column_types import column_types
 from tablesense.operators.ranks import exact_medians, number_rows, select_ranks, spacing
@@ -599,3 +599,18 @@ def test_every_rank_from_a_sketch_and_one_count(spark, monkeypatch, few):
 def test_a_rank_outside_its_bracket_is_found(spark):
     long = spark.createDataFrame([("a", float(i)) for i in range(100)], "group_id string, x double")
     assert select_ranks(long, [("a", 50)], {"a": (100, 0.0, 99.0, [0.0] * (ranks.STEPS + 1))}) == {("a", 50): 50.0}
+
+
+def test_metric_slices_count_a_record_at_every_cut_it_reaches(spark):
+    columns = "arm string, q long, strict boolean, normalised boolean, relaxed boolean, outcome string"
+    records = frame(spark, [("a", 1, True, True, True, "answered"), ("a", 2, False, False, False, "answered"), ("a", 3, None, None, True, "no_sql"), ("b", 1, False, None, None, "answered")], columns)
+    recalls = frame(spark, [(1, 1.0), (2, 0.6), (9, 0.1)], "q long, recall double")
+    changed = frame(spark, [(2,), (2,), (8,)], "q long")
+    got = {(r.slice, r.arm, r.changed, r.min_recall): (r.n, r.strict, r.relaxed, r.answered) for r in runs.metric_slices(records, recalls, changed, ["q"], (1.0, 0.5)).collect()}
+    assert got == {
+        ("all", "a", None, None): (3, 1, 2, 2), ("all", "b", None, None): (1, 0, 0, 1),
+        ("changed", "a", True, None): (1, 0, 0, 1), ("changed", "a", False, None): (2, 1, 2, 1), ("changed", "b", False, None): (1, 0, 0, 1),
+        ("recall", "a", None, 0.5): (2, 1, 1, 2), ("recall", "a", None, 1.0): (1, 1, 1, 1), ("recall", "b", None, 0.5): (1, 0, 0, 1), ("recall", "b", None, 1.0): (1, 0, 0, 1),
+        ("changed, recall", "a", False, 0.5): (1, 1, 1, 1), ("changed, recall", "a", False, 1.0): (1, 1, 1, 1), ("changed, recall", "a", True, 0.5): (1, 0, 0, 1),
+        ("changed, recall", "b", False, 0.5): (1, 0, 0, 1), ("changed, recall", "b", False, 1.0): (1, 0, 0, 1)}
+    assert runs.metric_slices(records.limit(0), recalls, changed, ["q"]).count() == 0
