@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablesense.catalogue import query
 from tablesense.catalogue import schema as S
 from tablesense.session import load_tables, scratch_folder
-from tablesense.sources import readers as R, snapshots
+from tablesense.sources import readers as R, snapshots, versions
 
 
 @query("delimited_scan", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment AS c_mktsegment FROM customer")
@@ -52,3 +52,20 @@ def snapshot_restored(spark, path):
     root = scratch_folder(spark, "snapshots")
     snapshots.snapshot(tables, root, "before")
     return snapshots.restore(spark, root, "before", ["supplier"])["supplier"]
+
+
+@query("layer_version_read", """
+SELECT 1 AS version, p_brand AS brand, count(*) AS parts, max(p_size) AS largest FROM part GROUP BY p_brand
+UNION ALL SELECT 2, p_brand, count(*), max(p_size) FROM part WHERE p_size <= 25 GROUP BY p_brand""")
+def layer_version_read(spark, path):
+    """Both versions of a layer, read after a third write that was interrupted."""
+    part = load_tables(spark, path, ["part"])["part"]
+    root = scratch_folder(spark, "layer")
+
+    def layer(parts):
+        return parts.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("parts"), F.max("p_size").alias("largest"))
+
+    first, second = (versions.publish_version(layer(p), root) for p in (part, part.where("p_size <= 25")))
+    versions.stage(layer(part.where("p_size <= 5")), root)
+    return versions.read_version(spark, root, first).select(F.lit(first).alias("version"), "*").unionByName(
+        versions.read_version(spark, root).select(F.lit(second).alias("version"), "*"))

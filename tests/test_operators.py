@@ -18,7 +18,7 @@ from tablesense.operators.column_types import column_types
 from tablesense.operators.ranks import exact_medians, number_rows, select_ranks, spacing
 from tablesense.operators.value_counts import column_refs, gather_evidence, value_counts
 from tablesense.session import row_counts
-from tablesense.sources import readers
+from tablesense.sources import readers, versions
 
 
 def frame(spark, rows, schema):
@@ -614,3 +614,25 @@ def test_metric_slices_count_a_record_at_every_cut_it_reaches(spark):
         ("changed, recall", "a", False, 0.5): (1, 1, 1, 1), ("changed, recall", "a", False, 1.0): (1, 1, 1, 1), ("changed, recall", "a", True, 0.5): (1, 0, 0, 1),
         ("changed, recall", "b", False, 0.5): (1, 0, 0, 1), ("changed, recall", "b", False, 1.0): (1, 0, 0, 1)}
     assert runs.metric_slices(records.limit(0), recalls, changed, ["q"]).count() == 0
+
+
+def test_versions_survive_an_interrupted_write(spark, tmp_path):
+    root = str(tmp_path / "layer")
+    assert versions.versions(spark, root) == []
+    with pytest.raises(ValueError):
+        versions.read_version(spark, root)
+    layer = lambda i: frame(spark, [(i,)], "v int").coalesce(1)
+    assert [versions.publish_version(layer(i), root, keep=3) for i in (1, 2, 3)] == [1, 2, 3]
+    torn = versions.stage(layer(99), root)  # the writer died before it named a version
+    assert versions.versions(spark, root) == [1, 2, 3] and versions.read_version(spark, root).first().v == 3
+    assert versions.publish_version(layer(4), root, keep=3) == 4
+    assert versions.versions(spark, root) == [2, 3, 4]
+    assert [versions.read_version(spark, root, i).first().v for i in (2, 3, 4)] == [2, 3, 4]
+    with pytest.raises(ValueError):
+        versions.read_version(spark, root, 1)
+    folders = {p.name for p in (tmp_path / "layer" / "data").iterdir() if not p.name.startswith(".")}
+    assert torn in folders and len(folders) == 4
+    assert versions.drop_versions(spark, root, keep=1, torn_after=-1) == [2, 3]
+    assert [p.name for p in (tmp_path / "layer" / "data").iterdir() if not p.name.startswith(".")] != [torn]
+    assert versions.read_version(spark, root).first().v == 4
+    assert versions.publish_version(layer(5), root) == 5
