@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tablesense import values as V
 from tablesense.functions import text as X
 from tablesense.functions.vectors import cosine
-from tablesense.session import broadcast_if_small
+from tablesense.session import cut_lineage
 
 
 def terms_of(spark: SparkSession, question: str) -> list[str]:
@@ -34,13 +34,33 @@ def lexical_score(texts: DataFrame, text: Column, terms: list[str]) -> Column:
     return hit / reduce(Column.__add__, weights)
 
 
-def columns_named_in(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str) -> DataFrame:
-    """(keys, name) for each name a text calls by name, spacing and case aside."""
-    wanted = names.select(name, X.squeezed_name(F.col(name)).alias("run")).where(
+#: Names are broadcast up to so many and so many bytes; beyond, runs are sifted by so many digests of names first.
+FEW_NAMES, FEW_BYTES, SIEVE = 200_000, 32 * 1024 * 1024, 1 << 20
+
+
+def columns_named_in(texts: DataFrame, keys: list[str], text: str, names: DataFrame, name: str, few: int = FEW_NAMES) -> DataFrame:
+    """(keys, name) for each name a text calls by name, spacing and case aside.
+
+    Names are a catalogue, however large the tables they were read from: their number and bytes are
+    counted, not estimated.  Beyond ``few``, runs are no longer than the longest name and of a name's digest (at most SIEVE
+    digests are broadcast) before they are shuffled.
+    """
+    wanted = cut_lineage(names.select(name, X.squeezed_name(F.col(name)).alias("run")).where(
         F.length("run") >= V.MIN_NAMED_LENGTH
-    )
+    ).distinct())
     runs = texts.select(*keys, F.explode(X.name_runs(F.col(text))).alias("run"))
-    return runs.join(broadcast_if_small(wanted), "run").select(*keys, name).distinct()
+    held = wanted.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("run") + F.octet_length(F.col(name).cast("string"))).alias("bytes"),
+        F.max(F.length("run")).alias("longest")).first()
+    if held.n <= few and (held.bytes or 0) <= FEW_BYTES:
+        return runs.join(F.broadcast(wanted), "run").select(*keys, name).distinct()
+    sieve = wanted.select(_sieved(F.col("run")).alias("_s")).distinct()
+    sifted = runs.where(F.length("run") <= held.longest).join(F.broadcast(sieve), _sieved(F.col("run")) == F.col("_s"), "left_semi")
+    return sifted.join(wanted, "run").select(*keys, name).distinct()
+
+
+def _sieved(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(SIEVE)).cast("int")
 
 
 #: Question vectors scored per scan of the rows.

@@ -636,3 +636,19 @@ def test_versions_survive_an_interrupted_write(spark, tmp_path):
     assert [p.name for p in (tmp_path / "layer" / "data").iterdir() if not p.name.startswith(".")] != [torn]
     assert versions.read_version(spark, root).first().v == 4
     assert versions.publish_version(layer(5), root) == 5
+
+
+# --- work that grows with the table ------------------------------------------------
+def test_names_are_broadcast_by_their_number_not_by_the_tables_they_come_from(spark):
+    from tablesense.operators import retrieve as R
+
+    texts = frame(spark, [(1, "Sum of Net Total, please"), (2, "the NET-total again net total"), (3, "nothing"), (4, None)], "id int, text string")
+    # a name's source may be estimated at any size: here a cross product that distinct makes small
+    many = spark.range(1 << 20).crossJoin(spark.range(1 << 20).withColumnRenamed("id", "other")).limit(1_000).select(F.lit("net_total").alias("name"))
+    names = many.unionAll(frame(spark, [("id",), (None,), ("unused name",)], "name string"))
+    found = R.columns_named_in(texts, ["id"], "text", names, "name")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    want = [(1, "net_total"), (2, "net_total")]
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, R.columns_named_in(texts, ["id"], "text", names, "name", few=0).collect())) == want
