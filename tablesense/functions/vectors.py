@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablesense import values as V
 from tablesense.functions.text import let, strip
+from tablesense.session import in_pieces
+
+#: Rows whose grams one task sums.
+PIECE = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,8 +46,10 @@ def trigram_weights(df: DataFrame, keys: list[str], text: str, dim: int = V.VECT
     """Sparse vectors: one row per (keys, bucket) with its signed count.
 
     Grams are exploded and summed map-side, so a long text is spread over rows
-    instead of becoming one large array.
+    instead of becoming one large array.  Rows are dealt PIECE to a task, which bounds the sums a task holds
+    (``dim`` a row at most) however large the table.
     """
+    df = in_pieces(df.select(*dict.fromkeys([*keys, text])), PIECE)
     g = F.explode(grams(F.col(text)))
     return (
         df.select(*keys, g.alias("gram"))

@@ -130,6 +130,17 @@ def spread(df: DataFrame, floor_bytes: int = 1 << 20) -> DataFrame:
     return df.repartition(cores) if 0 < parts * 2 <= cores else df
 
 
+def in_pieces(df: DataFrame, rows_each: int, rows: int | None = None) -> DataFrame:
+    """Split so that a task gets about ``rows_each`` rows, and what it groups in memory stays the same at any size.
+
+    ``rows`` are the rows of ``df`` where the caller knows them; else they are counted.  Small inputs stay as they are.
+    """
+    rows = df.count() if rows is None else rows
+    if rows <= rows_each:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_each)))
+
+
 def metadata_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of metadata rows (one per column or table), never of data rows."""
     return spark.createDataFrame(rows, schema)

@@ -652,3 +652,14 @@ def test_names_are_broadcast_by_their_number_not_by_the_tables_they_come_from(sp
     want = [(1, "net_total"), (2, "net_total")]
     assert sorted(map(tuple, found.collect())) == want
     assert sorted(map(tuple, R.columns_named_in(texts, ["id"], "text", names, "name", few=0).collect())) == want
+
+
+def test_one_task_sums_the_grams_of_a_bounded_number_of_rows(spark, monkeypatch):
+    from tablesense.functions import vectors
+
+    rows = frame(spark, [(i % 50, f"name {i % 7} of {i}") for i in range(400)], "id int, text string").coalesce(1)
+    want = sorted(map(tuple, vectors.trigram_weights(rows, ["id"], "text").collect()))
+    monkeypatch.setattr(vectors, "PIECE", 20)
+    dealt = vectors.trigram_weights(rows, ["id"], "text")
+    assert sorted(map(tuple, dealt.collect())) == want
+    assert "RoundRobinPartitioning(20)" in dealt._jdf.queryExecution().optimizedPlan().toString() or "RepartitionByExpression" in dealt._jdf.queryExecution().optimizedPlan().toString() or "Repartition 20" in dealt._jdf.queryExecution().optimizedPlan().toString()
