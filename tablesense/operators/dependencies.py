@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablesense import values as V
 from tablesense.operators.value_counts import ColumnEvidence, gather_evidence
-from tablesense.session import spread
+from tablesense.session import in_pieces
 
 #: Rows drawn to refute pairs, how many times as many the second time, and determinants taken at a time.
 SAMPLE_ROWS, GROW, WIDE = 20_000, 8, 12
+#: Rows of a table that one task groups when pairs are counted in full: its memory does not grow with the table.
+PIECE = 500_000
 SCHEMA = (
     "table_name string, determinant string, dependent string, witness_groups bigint, "
     "consistent_witnesses bigint, total_groups bigint, rows_considered bigint"
@@ -41,6 +43,8 @@ def _chunk_counts(df: DataFrame, table: str, wanted: Mapping[str, Sequence[str]]
         c = F.col(f"`{name}`")
         return F.when(c.isNotNull(), F.xxhash64(*salt, c))
 
+    if one_in > 1:
+        df = df.where(reduce(Column.__or__, [F.pmod(digest(a), F.lit(one_in)) == 0 for a in wanted]))
     width = max(map(len, wanted.values()))
     blank = F.lit(None).cast("bigint")
     copies = []
@@ -117,7 +121,7 @@ def dependencies(
     if not left:
         counted = spark.createDataFrame([], SCHEMA)
     else:
-        counted = reduce(DataFrame.unionAll, [witness_counts(spread(tables[t]), t, wanted) for t, wanted in left.items()])
+        counted = reduce(DataFrame.unionAll, [witness_counts(in_pieces(_narrow(tables[t], wanted), PIECE, evidence.rows(t)), t, wanted) for t, wanted in left.items()])
     score = F.col("consistent_witnesses") / F.col("witness_groups")
     return (
         counted.where(
@@ -129,6 +133,12 @@ def dependencies(
     )
 
 
+def _narrow(df: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The columns that some pair needs."""
+    used = {c for a, bs in wanted.items() for c in (a, *bs)}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
+
+
 def dependency_evidence(df: DataFrame, determinant: str, dependent: str) -> DataFrame:
     """Per determinant value: rows, distinct dependents, and the value when it is the only one.
 

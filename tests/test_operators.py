@@ -676,3 +676,15 @@ def test_shares_of_a_table_are_cut_before_it_is_shuffled(spark, tmp_path, monkey
     found = K.composite_keys(df, {"a": 50_000, "b": 4, "c": 3, "d": 5}, 200_000, 2, sample_rows=100)
     # of four rows in a row, no two agree on id % 5 or id % 4; the first and the last agree on id % 3
     assert sorted(sorted(x) for x in found) == [["a", "b"], ["a", "d"]] and not shuffled
+
+
+def test_a_full_count_of_dependencies_deals_a_bounded_number_of_rows_to_a_task(spark, monkeypatch):
+    from tablesense.operators import dependencies as FD
+
+    df = frame(spark, [(i % 40, i % 40 % 8, i) for i in range(800)], "a int, b int, n int").coalesce(1)
+    want = sorted(map(tuple, FD.dependencies(spark, {"t": df}).collect()))
+    seen, deal = [], FD.in_pieces
+    monkeypatch.setattr(FD, "PIECE", 50)
+    monkeypatch.setattr(FD, "in_pieces", lambda *a: seen.append(deal(*a)) or seen[-1])
+    assert sorted(map(tuple, FD.dependencies(spark, {"t": df}).collect())) == want and want
+    assert [x.rdd.getNumPartitions() for x in seen] == [16]
