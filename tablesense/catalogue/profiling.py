@@ -219,8 +219,9 @@ def column_labels(spark, path):
 @query("column_profile")
 def column_profile(spark, path):
     tables = load_tables(spark, path, S.TPC)
-    types = column_types(spark, tables)
-    return P.profile(spark, tables, types.select("cid", "column_type")).select(
+    counts = cut_lineage(value_counts(tables))
+    types = column_types(spark, tables, counts=counts)
+    return P.profile(spark, tables, types.select("cid", "column_type"), counts).select(
         "table_name", "column_name", "column_type", "row_count", "null_count", "unique_count", "distribution")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablesense import values as V
 from tablesense.functions import dates, text as X
 from tablesense.operators.value_counts import ColumnRef, column_catalogue, column_refs, value_counts
+from tablesense.session import cut_lineage
 
 
 def name_has(name: Column, words: tuple[str, ...]) -> Column:
@@ -22,34 +23,39 @@ def name_has(name: Column, words: tuple[str, ...]) -> Column:
 
 def type_evidence(counts: DataFrame, refs: list[ColumnRef]) -> DataFrame:
     """Per column: weighted shares and extremes of everything the cascade asks."""
-    kind = {"text": F.lit(False), "numeric": F.lit(False), "datetime": F.lit(False)}
-    for group in kind:
-        ids = [r.cid for r in refs if r.family == group]
-        kind[group] = F.col("cid").isin(ids) if ids else F.lit(False)
+    ids = {group: [r.cid for r in refs if r.family == group] for group in ("text", "numeric")}
+    text, numeric = (F.col("cid").isin(x) if x else F.lit(False) for x in ids.values())
     v = F.col("v")
-    trimmed = counts.select("cid", "n", "value", X.strip(F.col("value")).alias("v"))
-    worded = trimmed.select("*", F.lower("v").alias("word"))
-    number = F.when(kind["numeric"], F.col("value").try_cast("double")).when(kind["text"], X.to_number(v))
-    marked = worded.select(
-        "cid", "n", "v", "word", F.col("word").isin(*V.BOOLEAN_TRUE, *V.BOOLEAN_FALSE).alias("truth"), number.alias("number"),
-        (kind["text"] & dates.parse_trimmed(v).isNotNull()).alias("date"),
-        (kind["text"] & X.is_zero_padded(v)).alias("padded"), (kind["text"] & v.rlike(V.UUID_PATTERN)).alias("uuid"),
-        (kind["text"] & v.rlike(V.HEX_PATTERN)).alias("hex"), (kind["text"] & v.rlike(V.CODE_PATTERN)).alias("code"),
-        v.rlike(r"^[\p{L}\p{N}]+$|[-_]").alias("plain"), F.length(v).alias("len"),
-    )
-
-    def share(flag: str) -> Column:
-        return F.sum(F.when(F.col(flag), F.col("n")).otherwise(0)) / F.sum("n")
 
-    return marked.groupBy("cid").agg(
-        F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct_values"), F.bool_and("truth").alias("all_truth"),
-        F.size(F.collect_set(F.when(F.col("truth"), F.col("word")))).alias("truth_words"),
-        share("date").alias("date_share"), share("padded").alias("padded_share"), share("uuid").alias("uuid_share"),
-        share("hex").alias("hex_share"), share("code").alias("code_share"), F.bool_and("plain").alias("all_plain"),
-        F.size(F.collect_set("len")).alias("lengths"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("avg_length"),
-        F.bool_and(F.col("number").isNotNull()).alias("all_numbers"), F.min("number").alias("lo"), F.max("number").alias("hi"),
+    def marks(rows: DataFrame, number: Column, **flags: Column) -> DataFrame:
+        trimmed = rows.select("cid", "n", "value", X.strip(F.col("value")).alias("v"))
+        return trimmed.select("*", F.lower("v").alias("word")).select(
+            "cid", "n", "v", "word", F.col("word").isin(*V.BOOLEAN_TRUE, *V.BOOLEAN_FALSE).alias("truth"), number.alias("number"),
+            *[flag.alias(name) for name, flag in flags.items()], v.rlike(r"^[\p{L}\p{N}]+$|[-_]").alias("plain"), F.length(v).alias("len"))
+
+    # stored numbers and moments, most distinct values of a schema, are asked none of the questions about text
+    stored = marks(counts.where(~text), F.when(numeric, F.col("value").try_cast("double")), **{
+        name: F.lit(False) for name in ("date", "padded", "uuid", "hex", "code")})
+    written = marks(
+        counts.where(text), X.to_number(v), date=dates.parse_trimmed(v).isNotNull(), padded=X.is_zero_padded(v),
+        uuid=v.rlike(V.UUID_PATTERN), hex=v.rlike(V.HEX_PATTERN), code=v.rlike(V.CODE_PATTERN))
+    marked = stored.unionAll(written)
+
+    # plain sums by length and truth word first: the sets below then see few rows, not every distinct value
+    flags = ("date", "padded", "uuid", "hex", "code")
+    by_length = marked.groupBy("cid", "len", F.when(F.col("truth"), F.col("word")).alias("truth_word")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("values_"), F.bool_and("truth").alias("truth"),
+        *[F.sum(F.when(F.col(flag), F.col("n")).otherwise(0)).alias(flag) for flag in flags], F.bool_and("plain").alias("plain"),
+        F.bool_and(F.col("number").isNotNull()).alias("numbers"), F.min("number").alias("lo"), F.max("number").alias("hi"),
         F.bool_and(F.coalesce(F.col("number") % 1 == 0, F.lit(False))).alias("whole"),
     )
+    return by_length.groupBy("cid").agg(
+        F.sum("n").alias("filled"), F.sum("values_").alias("distinct_values"), F.bool_and("truth").alias("all_truth"),
+        F.size(F.collect_set("truth_word")).alias("truth_words"),
+        *[(F.sum(flag) / F.sum("n")).alias(f"{flag}_share") for flag in flags], F.bool_and("plain").alias("all_plain"),
+        F.size(F.collect_set("len")).alias("lengths"), (F.sum(F.col("len") * F.col("n")) / F.sum("n")).alias("avg_length"),
+        F.bool_and("numbers").alias("all_numbers"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("whole").alias("whole"),
+    )
 
 
 def _steady(counts: DataFrame, evidence: DataFrame) -> list[int]:
@@ -121,7 +127,7 @@ def column_types(spark: SparkSession, tables: Mapping[str, DataFrame], symbols:
     ``symbols`` are the currency signs cleaning found, by (table, column).
     """
     refs = column_refs(tables)
-    counts = counts if counts is not None else value_counts(tables, refs)
+    counts = counts if counts is not None else cut_lineage(value_counts(tables, refs))
     # One row per column: computed once, then reasoned about as a catalogue.
     evidence = type_evidence(counts, refs)
     evidence = spark.createDataFrame(evidence.collect(), evidence.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablesense import values as V
 from tablesense.functions import text as X
-from tablesense.operators.ranks import exact_medians, summary
+from tablesense.operators.ranks import exact_medians, medians_of_counts, summary
 from tablesense.operators.value_counts import ColumnRef, column_catalogue, column_refs, value_counts
 from tablesense.session import as_catalogue, cut_lineage, row_counts, spread
 
@@ -57,17 +57,27 @@ def numeric_long(tables: Mapping[str, DataFrame], refs: list[ColumnRef]) -> Data
     return reduce(DataFrame.unionAll, parts)
 
 
-def numeric_distribution(spark: SparkSession, tables: Mapping[str, DataFrame], refs: list[ColumnRef] | None = None) -> DataFrame:
-    """Min, max, mean, exact median, sample deviation, sum, zeros and negatives per column."""
+def numeric_distribution(
+    spark: SparkSession, tables: Mapping[str, DataFrame], refs: list[ColumnRef] | None = None, counts: DataFrame | None = None,
+) -> DataFrame:
+    """Min, max, mean, exact median, sample deviation, sum, zeros and negatives per column.
+
+    With ``counts``, the tables' checkpointed value counts, medians are sought among distinct values, not rows.
+    """
     refs = refs or numeric_refs(tables)
     long = numeric_long(tables, refs)
     x = F.col("x")
+    sketch = [summary("x").alias("points")] if counts is None else []
     rows = as_catalogue(long.groupBy("group_id").agg(
         F.count(x).alias("filled"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.sum(x).alias("sum"), F.count_if(x == 0).alias("zero_count"), F.count_if(x < 0).alias("negative_count"), summary("x").alias("points")))
-    bounds = {r.group_id: (r.filled, r.min, r.max, r.points) for r in rows.collect()}
+        F.sum(x).alias("sum"), F.count_if(x == 0).alias("zero_count"), F.count_if(x < 0).alias("negative_count"), *sketch))
+    if counts is None:
+        medians = exact_medians(long, {r.group_id: (r.filled, r.min, r.max, r.points) for r in rows.collect()})
+    else:
+        values = counts.where(F.col("cid").isin([r.cid for r in refs])).select(F.col("cid").alias("span"), F.col("value").cast("double").alias("x"), "n")
+        medians = medians_of_counts(values, {int(r.group_id): r.filled for r in rows.collect()})
     stats = rows.drop("points")
-    middle = spark.createDataFrame([(int(g), m) for g, m in exact_medians(long, bounds).items()], "cid int, median double")
+    middle = spark.createDataFrame([(int(g), m) for g, m in medians.items()], "cid int, median double")
     return (
         stats.withColumn("cid", F.col("group_id").cast("int")).drop("group_id").join(F.broadcast(middle), "cid", "left")
         .withColumn("std", F.when(F.col("filled") == 1, 0.0).otherwise(F.col("std")))
@@ -136,14 +146,14 @@ def boolean_distribution(counts: DataFrame) -> DataFrame:
     return by.withColumn("share", F.col("n") / total)
 
 
-def profile(spark: SparkSession, tables: Mapping[str, DataFrame], types: DataFrame) -> DataFrame:
+def profile(spark: SparkSession, tables: Mapping[str, DataFrame], types: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row per column: stats and the distribution its type calls for, as JSON.
 
-    ``types`` is (cid, column_type).  Every kind is one branch over all columns of
+    ``types`` is (cid, column_type); ``counts`` the tables' value counts, checkpointed, where the caller has them.  Every kind is one branch over all columns of
     that kind, so a dataset costs a fixed number of jobs, not one per column.
     """
     refs = column_refs(tables)
-    counts = cut_lineage(value_counts(tables, refs))
+    counts = counts if counts is not None else cut_lineage(value_counts(tables, refs))
     kind = {r.cid: r.column_type for r in types.collect()}
     numeric = [r for r in refs if kind.get(r.cid) in V.NUMERIC_COLUMN_TYPES and r.family == "numeric"]
     boolean = [r.cid for r in refs if kind.get(r.cid) == "boolean"]
@@ -152,7 +162,7 @@ def profile(spark: SparkSession, tables: Mapping[str, DataFrame], types: DataFra
     rest = [r.cid for r in refs if r.cid not in taken]
     parts = []
     if numeric:
-        parts.append(numeric_distribution(spark, tables, numeric).select(
+        parts.append(numeric_distribution(spark, tables, numeric, counts).select(
             "cid", F.to_json(F.struct(F.lit("numeric").alias("kind"), "min", "max", "mean", "median", "std", "sum", "zero_count", "negative_count")).alias("distribution")))
     if boolean:
         parts.append(boolean_distribution(counts.where(F.col("cid").isin(boolean))).groupBy("cid").agg(

@@ -94,7 +94,7 @@ def _ranks_by_bins(values: DataFrame, wanted: set[tuple[int, int]]) -> dict[tupl
     """(span, rank) -> value, of ``values`` (span, x, n).
 
     Every pass counts 2 048 equal-width bins between known bounds and keeps, per rank, the one bin that holds
-    it.  A bin with one distinct value ends the search.  What reaches the driver is bins per rank, whatever the rows.
+    it.  A bin with one distinct value ends the search, and so do at most FEW rows in all bins kept.  What reaches the driver is bins per rank and those rows, whatever the table.
     """
     finite = F.when(F.abs("x") < math.inf, F.col("x"))
     edges = {r.span: r for r in values.groupBy("span").agg(
@@ -124,19 +124,31 @@ def _ranks_by_bins(values: DataFrame, wanted: set[tuple[int, int]]) -> dict[tupl
             values.join(F.broadcast(frame), "span")
             .where(F.col("x").between(F.col("lo"), F.col("hi")))
             .groupBy("part", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin"))
-            .agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("rows_"))
             .collect()
         )
         by_part: dict[int, list] = {}
         for row in sorted(bins, key=lambda r: (r.part, r.bin)):
             by_part.setdefault(row.part, []).append(row)
         position = {part: i for i, part in enumerate(parts)}
+        inside: dict[tuple[int, float, float], int] = {}
         for key, (span, lo, hi, rank) in list(open_.items()):
             for row in by_part[position[(span, lo, hi)]]:
                 if rank < row.n:
                     open_[key] = (span, row.lo, row.hi, rank)
+                    inside[open_[key][:3]] = row.rows_
                     break
                 rank -= row.n
+        if sum(inside.values()) <= FEW:
+            kept = sorted(part for part in inside if part[1] < part[2])
+            spans = values.sparkSession.createDataFrame([(i, *part) for i, part in enumerate(kept)], "part int, span int, lo double, hi double")
+            rows = values.join(F.broadcast(spans), "span").where(F.col("x").between(F.col("lo"), F.col("hi"))).select(F.col("part").alias("span"), "x", "n").collect() if kept else []
+            place = {part: i for i, part in enumerate(kept)}
+            todo = {key: (place[part[:3]], part[3]) for key, part in open_.items() if part[:3] in place}
+            at = _ranks_of_rows(rows, set(todo.values()))
+            found.update({key: at[rank] for key, rank in todo.items()})
+            found.update({key: part[1] for key, part in open_.items() if part[:3] not in place})
+            return found
 
 
 def exact_medians(long: DataFrame, bounds: Mapping[str, Bounds] | None = None) -> dict[str, float]:
@@ -147,6 +159,13 @@ def exact_medians(long: DataFrame, bounds: Mapping[str, Bounds] | None = None) -
     return {g: (at[(g, (n - 1) // 2)] + at[(g, n // 2)]) / 2 for g, (n, *_) in bounds.items()}
 
 
+def medians_of_counts(values: DataFrame, filled: Mapping[int, int]) -> dict[int, float]:
+    """Exact median per span of ``values`` (span, x, n), distinct values and how often they occur; ``filled`` sums n."""
+    ranks = {(span, k) for span, n in filled.items() for k in ((n - 1) // 2, n // 2)}
+    at = _ranks_by_bins(values, ranks) if ranks else {}
+    return {span: (at[(span, (n - 1) // 2)] + at[(span, n // 2)]) / 2 for span, n in filled.items()}
+
+
 def nearest_rank(n: int, q: float) -> int:
     """0-based rank of a percentile: half-even rounding of ``q * (n - 1)``."""
     return min(n - 1, int(round(q * (n - 1))))

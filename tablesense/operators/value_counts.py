@@ -94,15 +94,38 @@ def long_cells(df: DataFrame, refs: list[ColumnRef]) -> DataFrame:
 
 
 def value_counts(tables: Mapping[str, DataFrame], refs: list[ColumnRef] | None = None) -> DataFrame:
-    """(cid, value, n): one shuffle for the whole dataset."""
+    """(cid, value, n): one shuffle for each way of storing values.
+
+    Cells are counted as they are stored, and only what is distinct is written as text: a column's
+    cells have equal text exactly when they are equal as doubles, integers or moments.
+    """
     refs = refs or column_refs(tables)
-    parts = [
-        long_cells(df, mine)
-        for name, df in tables.items()
-        if (mine := [r for r in refs if r.table == name])
-    ]
-    cells = reduce(DataFrame.unionAll, parts)
-    return cells.groupBy("cid", "value").agg(F.count(F.lit(1)).alias("n"))
+    kinds = sorted({_stored(r.data_type) for r in refs})
+    counted = [_counts_of_kind(tables, [r for r in refs if _stored(r.data_type) == kind], kind) for kind in kinds]
+    return reduce(DataFrame.unionAll, counted)
+
+
+def _stored(data_type: T.DataType) -> str:
+    """The type a column's cells are counted in."""
+    if is_fractional(data_type):
+        return "double"
+    if isinstance(data_type, T.DateType):
+        return "date"
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        return "timestamp_ntz"  # what the cell shows, in the session's time zone
+    return "bigint" if isinstance(data_type, T.IntegralType) else "string"
+
+
+def _counts_of_kind(tables: Mapping[str, DataFrame], refs: list[ColumnRef], kind: str) -> DataFrame:
+    parts = []
+    for name, df in tables.items():
+        if mine := [r for r in refs if r.table == name]:
+            cells = F.array(*[F.struct(F.lit(r.cid).alias("cid"), F.col(f"`{r.column}`").cast(kind).alias("x")) for r in mine])
+            narrow = spread(df.select(*[F.col(f"`{r.column}`") for r in mine]))
+            parts.append(narrow.select(F.inline(cells)).where(F.col("x").isNotNull()))
+    counts = reduce(DataFrame.unionAll, parts).groupBy("cid", "x").agg(F.count(F.lit(1)).alias("n"))
+    text = cell_text(F.col("x"), T.DoubleType() if kind == "double" else T.StringType())
+    return counts.select("cid", text.alias("value"), "n").where(F.col("value").isNotNull())
 
 
 def _words(count: int) -> list[str]:

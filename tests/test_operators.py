@@ -688,3 +688,38 @@ def test_a_full_count_of_dependencies_deals_a_bounded_number_of_rows_to_a_task(s
     monkeypatch.setattr(FD, "in_pieces", lambda *a: seen.append(deal(*a)) or seen[-1])
     assert sorted(map(tuple, FD.dependencies(spark, {"t": df}).collect())) == want and want
     assert [x.rdd.getNumPartitions() for x in seen] == [16]
+
+
+def test_values_are_counted_as_stored_and_written_as_before(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tablesense.operators import value_counts as VC
+
+    rows = [(0.0, 1, "1", dt.datetime(2024, 1, 2, 3, 4, 5, 600), dt.date(2024, 1, 2), True, Decimal("1.50")),
+            (-0.0, 1, " 1", dt.datetime(2024, 1, 2, 3, 4, 5), dt.date(2024, 1, 2), False, Decimal("2.00")),
+            (1e15, None, "", None, None, None, None), (float("nan"), 7, None, None, None, True, None), (float("inf"), 1, "é", None, None, None, Decimal("1.50"))]
+    tables = {"t": frame(spark, rows, "f double, i int, s string, at timestamp, d date, b boolean, m decimal(9,2)")}
+    refs = VC.column_refs(tables)
+    plain = VC.long_cells(tables["t"], refs).groupBy("cid", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = VC.value_counts(tables, refs)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+    assert "bigint" in counted._jdf.queryExecution().analyzed().toString() and counted.where("cid = 0 AND value = '0'").first().n == 2
+
+
+def test_a_profile_counts_values_once(spark, monkeypatch):
+    from tablesense.operators import profile as P, ranks as R, value_counts as VC
+    from tablesense.operators.column_types import column_types
+
+    rows = [(float(i * i % 97) / 4, i % 5, f"w{i % 3}") for i in range(500)] + [(float("nan"), None, None)]
+    tables = {"t": frame(spark, rows, "x double, k int, w string")}
+    counts = VC.value_counts(tables).cache()
+    monkeypatch.setattr(P, "value_counts", lambda *a: pytest.fail("counted again"))
+    types = column_types(spark, tables, counts=counts).select("cid", "column_type")
+    got = {r.column_name: r.distribution for r in P.profile(spark, tables, types, counts).collect()}
+    xs = sorted(float(i * i % 97) / 4 for i in range(500))
+    assert f'"median":{(xs[249] + xs[250]) / 2}' in got["x"]
+    values = counts.where("cid < 2").select(F.col("cid").alias("span"), F.col("value").cast("double").alias("x"), "n")
+    want = R.medians_of_counts(values, {0: 500, 1: 500})
+    monkeypatch.setattr(R, "FEW", 2)
+    assert R.medians_of_counts(values, {0: 500, 1: 500}) == want == {0: (xs[249] + xs[250]) / 2, 1: 2.0}
