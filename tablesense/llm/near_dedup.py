@@ -18,10 +18,16 @@ HASHES, ORDERS, KEY = 48, 16, 12
 DEPTHS = (2, 4, 8)
 #: A region of more documents is crowded; a document then meets so many neighbours after it.
 CROWD, REACH = 32, 4
+#: So many of KEY hashes make it likely that documents of a crowded region link.
+ALIKE = 8
 #: Partners of a document that are compared in one block.
 BLOCK = 64
 #: Shingles are ordered by how many of them fall into one of so many buckets of hashes (a power of two).
 BUCKETS = 1 << 18
+#: Bits of a bitmap for each shingle of its set, at least.
+BITS = 4
+#: Lists of nothing but ids are broadcast up to so many rows.
+IDS = 2_000_000
 
 
 #: An odd factor for each hash of the signature.
@@ -71,8 +77,8 @@ def _runs(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], change]), np.concatenate([change, [len(keys)]])
 
 
-def _candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in sorted rows (order, hashes...) whose documents are to be compared."""
+def _candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in sorted rows (order, hashes...) whose documents are to be compared, and whether their region is crowded."""
     left, right = [], []
     starts, ends = _runs(keys, DEPTHS[0])
     size = np.repeat(ends - starts, ends - starts)
@@ -95,7 +101,8 @@ def _candidates(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             centre = a + int(agree.argmax())
             left.append(np.full(b - a, centre))
             right.append(np.arange(a, b))
-    return np.concatenate(left), np.concatenate(right)
+    left, right = np.concatenate(left), np.concatenate(right)
+    return left, right, size[left] > CROWD
 
 
 def _neighbours(edges: bool):
@@ -127,8 +134,10 @@ def _neighbours(edges: bool):
             keys[:, 1:] = np.frombuffer(b"".join(r[1] for r in rows), ">u4").reshape(-1, KEY)
             rep = np.array([r[2] for r in rows], np.int64)
             n = np.array([r[3] for r in rows], np.int64)
-            x, y = _candidates(keys)
+            x, y, full = _candidates(keys)
             fit = (rep[x] != rep[y]) & (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y]))
+            # _finish finds every link of a crowd; only what is likely to link is compared before
+            fit[full] &= (keys[x[full], 1:] == keys[y[full], 1:]).sum(axis=1) >= ALIKE
             pairs = np.unique(np.stack([np.minimum(rep[x], rep[y])[fit], np.maximum(rep[x], rep[y])[fit]]), axis=1)
             if pairs.shape[1]:
                 m = pairs.shape[1]
@@ -174,22 +183,25 @@ PAIR = "a long, b long, link boolean"
 
 
 def _compare(share: int):
-    """(block, role, id, set), a block's centre first, to pairs (a, b, link) of the centre."""
+    """(block, role, id, set), a block's centre first (a row for each of its texts), to pairs (a, b, link) of the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, centre, own = None, None, None
+        block, centre, own = None, None, []
         for batch in batches:
             out = []
             for key, role, rep, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 found = np.frombuffer(body, words.U)
                 if role == 0:
-                    block, centre, own = key, rep, found
+                    block, centre, own = key, rep, (own if key == block else []) + [found]
                     continue
                 assert key == block
-                both = np.concatenate([own, found])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                out.append((min(centre, rep), max(centre, rep), 100 * shared >= share * (len(both) - shared)))
+                link = False
+                for mine in own:
+                    both = np.concatenate([mine, found])
+                    both.sort()
+                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                    link |= 100 * shared >= share * (len(both) - shared)
+                out.append((min(centre, rep), max(centre, rep), link))
             a, b, link = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
@@ -197,6 +209,8 @@ def _compare(share: int):
 
 
 def _sets(size: int):
+    """(id, text) to (id, body): the set of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -204,7 +218,56 @@ def _sets(size: int):
                 sets, counts = shingles(texts[a:b], size)
                 ends = np.cumsum(counts).tolist()
                 body = [sets[e - n:e].tobytes() for e, n in zip(ends, counts.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(body, pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(body, pa.binary())], names=["id", "body"])
+
+    return run
+
+
+def _bits(size: int):
+    """(id, text) to (id, body): the size of the text's set (8 bytes) and a bitmap of its hashes' last bits, BITS or more a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in tokens.slices(texts):
+                sets, counts = shingles(texts[a:b], size)
+                body, at = [], 0
+                for n in counts.tolist():
+                    held = np.zeros(1 << max(6, (BITS * n - 1).bit_length()), np.uint8)
+                    held[(sets[at:at + n] & words.U(len(held) - 1)).astype(np.int64)] = 1
+                    body.append(n.to_bytes(8, "little") + np.packbits(held).tobytes())
+                    at += n
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(body, pa.binary())], names=["id", "body"])
+
+    return run
+
+
+def _most_shared(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+    """So many shingles at most are in two sets of ``n`` and ``m`` with bitmaps ``x`` and ``y``: a bit that only one set has is a shingle the other lacks."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] | y[len(y) // 2:]
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _screen(share: int):
+    """(block, role, id, bitmap), as ``_compare`` takes them, to the pairs (a, b) of the centre whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, centre, own = None, None, []
+        for batch in batches:
+            out = []
+            for key, role, rep, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                found = int.from_bytes(body[:8], "little"), np.frombuffer(body, np.uint64, offset=8)
+                if role == 0:
+                    block, centre, own = key, rep, (own if key == block else []) + [found]
+                    continue
+                assert key == block
+                if any(100 * (most := _most_shared(*found, m, bits)) >= share * (found[0] + m - most) for m, bits in own):
+                    out.append((min(centre, rep), max(centre, rep)))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -223,23 +286,32 @@ def _blocks(pairs: DataFrame) -> DataFrame:
         dealt.select(F.col("other").alias("rep"), "block", F.lit(1).alias("role")))
 
 
-def compared(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
-    """The ``pairs`` (a, b) by their full sets; ``link``: 100 * intersection >= share * union.  ``docs`` is (id, text)."""
+def _side_by_side(docs: DataFrame, pairs: DataFrame, body) -> DataFrame:
+    """(block, role, id, body) of all documents of ``pairs``, dealt by block, a block's centre first.  ``docs`` is (id, text)."""
     members = settle(_blocks(pairs), "members")
-    needed = broadcast_counted(settle(members.select("rep").distinct(), "needed"))
-    sets = docs.join(needed, F.col("id") == F.col("rep")).select("id", "text").mapInArrow(_sets(size), "id long, shingles binary")
-    placed = (
-        sets.join(broadcast_counted(members), F.col("id") == F.col("rep")).select("block", "role", "id", "shingles")
+    needed = broadcast_counted(settle(members.select("rep").distinct(), "needed"), IDS)
+    bodies = docs.join(needed, F.col("id") == F.col("rep")).select("id", "text").mapInArrow(body, "id long, body binary")
+    return (
+        bodies.join(broadcast_counted(members), F.col("id") == F.col("rep")).select("block", "role", "id", "body")
         .repartition("block").sortWithinPartitions("block", "role"))
-    return settle(placed.mapInArrow(_compare(share), PAIR), "compared")
+
+
+def screened(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
+    """The ``pairs`` (a, b) without those that cannot link by the bitmaps of their sets, which are an eighth as long or less; no link is lost."""
+    return settle(_side_by_side(docs, pairs, _bits(size)).mapInArrow(_screen(share), "a long, b long").distinct(), "screened")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
+    """The ``pairs`` (a, b) by their full sets; ``link``: 100 * intersection >= share * union.  ``docs`` is (id, text)."""
+    return settle(_side_by_side(docs, pairs, _sets(size)).mapInArrow(_compare(share), PAIR), "compared")
 
 
 def crowded(reps: DataFrame) -> DataFrame:
-    """(rep) of the sets that stand in a region of more than CROWD in at least one order."""
+    """(rep) of the sets that stand in a region of more than CROWD in at least one order; regions are told apart by 64-bit hashes."""
     step, depth = HASHES // ORDERS, DEPTHS[0]
     twice = F.concat("signature", "signature")
-    places = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.struct(
-        t.alias("tree"), F.substring(twice, t * (4 * step) + 1, F.lit(4 * depth)).alias("key")))).alias("region"))
+    places = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.xxhash64(
+        t, F.substring(twice, t * (4 * step) + 1, F.lit(4 * depth))))).alias("region"))
     full = settle(places.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("region"), "regions")
     return settle(places.join(broadcast_counted(full), "region").select("rep").distinct(), "crowded")
 
@@ -328,9 +400,26 @@ def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFram
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         for left, right in ((small.where("x_group <> most"), large), (small.where("x_group = most"), large.where("not y_most")))]
     more = settle(met[0].unionByName(met[1]).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
-    if more.isEmpty():
+    return groups if more.isEmpty() else _linked(docs, more, groups, size, share)
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, groups: DataFrame | None, size: int, share: int) -> DataFrame:
+    """``groups``, if any, joined by all links among ``pairs``.
+
+    Pairs that may link are compared in two rounds: first each document with the smallest of its partners, then all
+    pairs whose ends are still in different groups.  What is left out lies within a group and cannot change any.
+    """
+    pairs = screened(docs, pairs, size, share)
+    first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    links = compared(docs, first, size, share).where("link").select("a", "b")
+    groups = settle(connected_components(links) if groups is None else _groups_joined(groups, links), "groups")
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for c in "ab":
+        rest = rest.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")), c, "left")
+    rest = settle(rest.where(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False))).select("a", "b"), "rest")
+    if rest.isEmpty():
         return groups
-    return _groups_joined(groups, compared(docs, more, size, share).where("link").select("a", "b"))
+    return settle(_groups_joined(groups, compared(docs, rest, size, share).where("link").select("a", "b")), "groups")
 
 
 def near_duplicates(
@@ -348,15 +437,17 @@ def near_duplicates(
     Representatives are sorted in ORDERS orders of their signatures; neighbours that share at least two
     hashes are candidates, all of them in a region of up to CROWD.  A crowded region is entered deeper:
     each document meets its next REACH neighbours, which share the longest prefix, and the most central
-    document of its region at each of the DEPTHS, the one whose other hashes agree with most.
-    Candidates are confirmed on their full sets of 64-bit shingle hashes, recomputed from the texts.
+    document of its region at each of the DEPTHS, the one whose other hashes agree with most; of these,
+    only pairs with at least ALIKE equal hashes are candidates.
+    Bitmaps of the sets tell candidates that cannot link, whatever else is in the sets; the others are
+    confirmed on their full sets of 64-bit shingle hashes, recomputed from the texts: each document with the
+    smallest of its candidates first, then all candidates whose ends those links left in different groups.
 
     Last, an exact join finds all links between documents of crowded regions that are still in different
     groups (see ``_finish``).
 
     A pair of similarity s misses all regions with probability (1 - s^2)^ORDERS at most: 2e-6 at 0.75.
-    In crowded regions links between documents that are in one group anyway are never compared; the
-    answer is groups, not links.
+    Links between documents that are in one group anyway are not compared; the answer is groups, not links.
 
     Defined cases: null or empty texts have no shingles and are linked with nothing; a null id has a
     null component and is kept; rows with the same id and text share one answer (if an id has
@@ -368,8 +459,7 @@ def near_duplicates(
     reps = settle(
         sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
     pairs = settle(candidate_pairs(reps), "candidates")
-    found = compared(rows, pairs, size, share)
-    groups = settle(connected_components(found.where("link").select("a", "b")), "groups")
+    groups = _linked(rows, pairs, None, size, share)
     groups = _finish(rows, reps, pairs, groups, size, share)
     classes = settle(
         reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")

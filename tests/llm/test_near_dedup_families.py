@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tablesense.llm import near_dedup
 
 
@@ -57,3 +59,45 @@ def test_the_busier_document_is_the_centre(spark):
     for r in rows:
         sizes[r.block] = sizes.get(r.block, 0) + r.role
     assert sum(sizes.values()) == n + 1 and max(sizes.values()) <= 2 * near_dedup.BLOCK
+
+
+def test_bitmaps_never_hide_a_link(spark):
+    """The bound is no less than what is shared, for sets of any two sizes; a pair far from a link is dropped, a link stays."""
+    rnd = np.random.default_rng(5)
+    for n, m, both in [(1, 1, 1), (1, 1, 0), (0, 5, 0), (30, 40, 30), (400, 500, 385), (500, 500, 300), (700, 520, 519), (3000, 2300, 2290)]:
+        x = rnd.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[:both], rnd.integers(0, 2**63, m - both, dtype=np.uint64)])
+        maps = []
+        for found in (x, y):
+            held = np.zeros(1 << max(6, (near_dedup.BITS * len(found) - 1).bit_length()), np.uint8)
+            held[(found & np.uint64(len(held) - 1)).astype(int)] = 1
+            maps += [len(found), np.packbits(held).view(np.uint64)]
+        assert both <= near_dedup._most_shared(*maps) == near_dedup._most_shared(*maps[2:], *maps[:2]) <= min(n, m)
+    base = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:280])), (3, " ".join(base[:230])), (4, " ".join(base[:200])), (4, " ".join(base))], "id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3)], "a long, b long")
+    got = {(r.a, r.b) for r in near_dedup.screened(docs, pairs, 1, 75).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 3)}
+    apart = spark.createDataFrame([(5, " ".join(base)), (6, " ".join(base[:150] + [f"v{i}" for i in range(150)]))], "id long, text string")
+    assert near_dedup.screened(apart, spark.createDataFrame([(5, 6)], "a long, b long"), 1, 75).count() == 0
+
+
+def test_comparisons_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Families of 30 near copies, below the size of a crowd, and one of 300: a few full comparisons a document, not all pairs."""
+    rnd = random.Random(7)
+    rows = []
+    for family, n in [(f, 30) for f in range(10)] + [(10, 300)]:
+        base = [f"f{family}w{i}" for i in range(150)]
+        for k in range(n):
+            i = rnd.randrange(150)
+            rows.append((len(rows), " ".join(base[:i] + [f"f{family}c{k}"] + base[i + 1:])))
+    sizes, compared = [], near_dedup.compared
+
+    def counted(docs, pairs, *args):
+        sizes.append(pairs.count())
+        return compared(docs, pairs, *args)
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: min(k // 30 * 30, 300) for k, _ in rows}
+    assert sum(sizes) <= 2 * len(rows)
