@@ -136,7 +136,7 @@ def _neighbours(edges: bool):
             n = np.array([r[3] for r in rows], np.int64)
             x, y, full = _candidates(keys)
             fit = (rep[x] != rep[y]) & (100 * np.minimum(n[x], n[y]) >= 75 * np.maximum(n[x], n[y]))
-            # _finish finds every link of a crowd; only what is likely to link is compared before
+            # _unmet finds every link of a crowd; only what is likely to link is compared before
             fit[full] &= (keys[x[full], 1:] == keys[y[full], 1:]).sum(axis=1) >= ALIKE
             pairs = np.unique(np.stack([np.minimum(rep[x], rep[y])[fit], np.maximum(rep[x], rep[y])[fit]]), axis=1)
             if pairs.shape[1]:
@@ -365,8 +365,17 @@ def _groups_joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
 
 
-def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame:
-    """Groups joined by all links between documents of crowded regions, where not every pair was a candidate.
+def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int, rest: DataFrame | None = None) -> DataFrame:
+    """Groups joined by all links of ``rest`` and between documents of crowded regions, where not every pair was a candidate."""
+    found = _unmet(docs, reps, pairs, groups, size, share)
+    more = [x for x in (rest, found) if x is not None and not x.isEmpty()]
+    if not more:
+        return groups
+    return _groups_joined(groups, compared(docs, more[0] if len(more) == 1 else more[0].unionByName(more[1]), size, share).where("link").select("a", "b"))
+
+
+def _unmet(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame | None:
+    """Pairs (a, b) of documents of crowded regions that may link, are in different groups and not among ``pairs``.
 
     An exact join on prefixes.  With the shingles of every set in one common order, the first one that a link's
     documents share stands so early in both that what follows can still be enough: with n shingles, it has at
@@ -377,7 +386,7 @@ def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFram
     """
     some = crowded(reps)
     if some.isEmpty():
-        return groups
+        return None
     texts = docs.join(broadcast_counted(some), F.col("id") == F.col("rep")).select("id", "text")
     counts = texts.mapInArrow(_bucket_counts(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(BUCKETS, np.int64)
@@ -399,27 +408,19 @@ def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFram
                   & ((100 + share) * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= share * (F.col("n_x") + F.col("n_y"))))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         for left, right in ((small.where("x_group <> most"), large), (small.where("x_group = most"), large.where("not y_most")))]
-    more = settle(met[0].unionByName(met[1]).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
-    return groups if more.isEmpty() else _linked(docs, more, groups, size, share)
+    return settle(met[0].unionByName(met[1]).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, groups: DataFrame | None, size: int, share: int) -> DataFrame:
-    """``groups``, if any, joined by all links among ``pairs``.
-
-    Pairs that may link are compared in two rounds: first each document with the smallest of its partners, then all
-    pairs whose ends are still in different groups.  What is left out lies within a group and cannot change any.
-    """
+def _first_links(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (node, component) by the links of each document to the smallest of its partners in ``pairs``, and the
+    other pairs that may link and whose ends are in different groups; what is left out cannot change any group."""
     pairs = screened(docs, pairs, size, share)
     first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    links = compared(docs, first, size, share).where("link").select("a", "b")
-    groups = settle(connected_components(links) if groups is None else _groups_joined(groups, links), "groups")
+    groups = settle(connected_components(compared(docs, first, size, share).where("link").select("a", "b")), "groups")
     rest = pairs.join(first, ["a", "b"], "left_anti")
     for c in "ab":
         rest = rest.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")), c, "left")
-    rest = settle(rest.where(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False))).select("a", "b"), "rest")
-    if rest.isEmpty():
-        return groups
-    return settle(_groups_joined(groups, compared(docs, rest, size, share).where("link").select("a", "b")), "groups")
+    return groups, settle(rest.where(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False))).select("a", "b"), "rest")
 
 
 def near_duplicates(
@@ -444,7 +445,7 @@ def near_duplicates(
     smallest of its candidates first, then all candidates whose ends those links left in different groups.
 
     Last, an exact join finds all links between documents of crowded regions that are still in different
-    groups (see ``_finish``).
+    groups (see ``_unmet``).
 
     A pair of similarity s misses all regions with probability (1 - s^2)^ORDERS at most: 2e-6 at 0.75.
     Links between documents that are in one group anyway are not compared; the answer is groups, not links.
@@ -459,8 +460,8 @@ def near_duplicates(
     reps = settle(
         sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
     pairs = settle(candidate_pairs(reps), "candidates")
-    groups = _linked(rows, pairs, None, size, share)
-    groups = _finish(rows, reps, pairs, groups, size, share)
+    groups, rest = _first_links(rows, pairs, size, share)
+    groups = _finish(rows, reps, pairs, groups, size, share, rest)
     classes = settle(
         reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "classes")
