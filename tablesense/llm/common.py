@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablesense.session import scratch_folder
@@ -26,13 +30,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, name)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation of what led here, and the
-    planner knows the true size of what it reads.
+    planner knows the true size of what it reads.  ``few``: the caller counted that there are at most some
+    BROADCAST_ROWS narrow rows; they become a file for each core, not one for each partition of the shuffle
+    before, since every file costs time and, in a local folder, processes that the executor starts.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    if few:
+        df = df.coalesce(max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,7 +50,12 @@ def broadcast_counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
     Beyond it the frame comes back as it is: Spark then joins by shuffle, with the same rows.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if are_few(df, limit) else df
+
+
+def are_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """``df``, counted up to the limit, has at most ``limit`` rows."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def lower_ascii(text: Column) -> Column:
@@ -71,6 +84,27 @@ def parallelism(spark: SparkSession) -> int:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system: Arrow's pool, and the C library's where it is glibc."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, for ``mapInArrow``, with ``give_back`` at the end of each task: a Python worker lives on beside the steps that follow."""
+
+    @functools.wraps(run)
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return released
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this library where it was started from a folder and not installed.
 

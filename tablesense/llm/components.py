@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablesense.llm.common import settle
+from tablesense.llm.common import are_few, settle
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,23 +17,24 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = settle(links, "links")
+    few = are_few(links)
     labels = None
     while not links.isEmpty():
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = settle(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("root")), "hooks")
+        hook = settle(ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("root")), "hooks", few)
         rising = True
         while rising:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = settle(hook.join(up, "root").select("node", "root", "above"), "hooks")
+            jumped = settle(hook.join(up, "root").select("node", "root", "above"), "hooks", few)
             rising = not jumped.where("root <> above").isEmpty()
             hook = jumped.select("node", F.col("above").alias("root"))
         labels = hook if labels is None else settle(
             labels.join(hook.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left")
-            .select("node", F.coalesce("above", "root").alias("root")), "labels")
+            .select("node", F.coalesce("above", "root").alias("root")), "labels", few)
         at_a, at_b = (hook.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
         links = settle(
             links.join(at_a, "a").join(at_b, "b").where("root_a <> root_b")
-            .select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links")
+            .select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "links", few)
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", F.col("root").alias("component"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablesense.llm import tokens
-from tablesense.llm.common import broadcast_counted, settle
+from tablesense.llm.common import broadcast_counted, giving_back, settle
 
 #: Hashed byte trigrams of the text model, and the share of their evidence that counts (neighbours overlap).
 CODES, TEMPER = 1 << 15, 0.2
@@ -136,6 +136,7 @@ def identify(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(declared, F.lit("")).alias("declared"),
         F.coalesce(host, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix")).withColumn("print", F.xxhash64("text"))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = batch.column(1).to_pylist()

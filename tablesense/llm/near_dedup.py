@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablesense.llm import tokens, words
-from tablesense.llm.common import broadcast_counted, settle
+from tablesense.llm.common import are_few, broadcast_counted, giving_back, settle
 from tablesense.llm.components import connected_components
 
 #: Hashes of a signature, orders of the forest and hashes by which an order sorts.
@@ -50,6 +50,7 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _sketch(size: int):
     """(id, text, print) to (id, print, n, d1, d2, signature): set size, 128-bit digest of the set, signature."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -112,6 +113,7 @@ def _neighbours(edges: bool):
     compared across partitions.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "tree", "key", "rep", "n"]
         carry: list = []
@@ -185,6 +187,7 @@ PAIR = "a long, b long, link boolean"
 def _compare(share: int):
     """(block, role, id, set), a block's centre first (a row for each of its texts), to pairs (a, b, link) of the centre."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, centre, own = None, None, []
         for batch in batches:
@@ -211,6 +214,7 @@ def _compare(share: int):
 def _sets(size: int):
     """(id, text) to (id, body): the set of the text."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -226,6 +230,7 @@ def _sets(size: int):
 def _bits(size: int):
     """(id, text) to (id, body): the size of the text's set (8 bytes) and a bitmap of its hashes' last bits, BITS or more a shingle."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -254,6 +259,7 @@ def _most_shared(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
 def _screen(share: int):
     """(block, role, id, bitmap), as ``_compare`` takes them, to the pairs (a, b) of the centre whose bitmaps allow a link."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, centre, own = None, None, []
         for batch in batches:
@@ -272,24 +278,25 @@ def _screen(share: int):
     return run
 
 
-def _blocks(pairs: DataFrame) -> DataFrame:
+def _blocks(pairs: DataFrame, few: bool = False) -> DataFrame:
     """(rep, block, role): each pair in a block of the busier of its two documents (role 0), about BLOCK partners in one."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
-    busy = broadcast_counted(settle(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "centres"))
+    busy = broadcast_counted(settle(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "centres", few))
     for c in "ab":
         pairs = pairs.join(busy.select(F.col("rep").alias(c), F.col("m").alias(f"m_{c}")), c, "left").withColumn(f"m_{c}", F.coalesce(f"m_{c}", F.lit(1)))
     turned = F.col("m_b") > F.col("m_a")
     dealt = pairs.select(
         F.when(turned, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other"), F.greatest("m_a", "m_b").alias("m"))
     dealt = dealt.select("centre", "other", F.struct("centre", F.pmod(F.xxhash64("other"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("salt")).alias("block"))
-    return dealt.select(F.col("centre").alias("rep"), "block", F.lit(0).alias("role")).distinct().unionByName(
-        dealt.select(F.col("other").alias("rep"), "block", F.lit(1).alias("role")))
+    ends = F.array(F.struct(F.col("centre").alias("rep"), "block", F.lit(0).alias("role")), F.struct(F.col("other").alias("rep"), "block", F.lit(1).alias("role")))
+    return dealt.select(F.explode(ends).alias("end")).select("end.*").distinct()
 
 
 def _side_by_side(docs: DataFrame, pairs: DataFrame, body) -> DataFrame:
     """(block, role, id, body) of all documents of ``pairs``, dealt by block, a block's centre first.  ``docs`` is (id, text)."""
-    members = settle(_blocks(pairs), "members")
-    needed = broadcast_counted(settle(members.select("rep").distinct(), "needed"), IDS)
+    few = are_few(pairs)
+    members = settle(_blocks(pairs, few), "members", few)
+    needed = broadcast_counted(settle(members.select("rep").distinct(), "needed", few), IDS)
     bodies = docs.join(needed, F.col("id") == F.col("rep")).select("id", "text").mapInArrow(body, "id long, body binary")
     return (
         bodies.join(broadcast_counted(members), F.col("id") == F.col("rep")).select("block", "role", "id", "body")
@@ -298,7 +305,7 @@ def _side_by_side(docs: DataFrame, pairs: DataFrame, body) -> DataFrame:
 
 def screened(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
     """The ``pairs`` (a, b) without those that cannot link by the bitmaps of their sets, which are an eighth as long or less; no link is lost."""
-    return settle(_side_by_side(docs, pairs, _bits(size)).mapInArrow(_screen(share), "a long, b long").distinct(), "screened")
+    return settle(_side_by_side(docs, pairs, _bits(size)).mapInArrow(_screen(share), "a long, b long").distinct(), "screened", are_few(pairs))
 
 
 def compared(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
@@ -319,6 +326,7 @@ def crowded(reps: DataFrame) -> DataFrame:
 def _bucket_counts(size: int):
     """(id, text) to (bucket, n): how many shingles of the batch fall into each bucket."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -338,6 +346,7 @@ def _bucket(found: np.ndarray) -> np.ndarray:
 def _prefixes(size: int, share: int, often):
     """(id, text) to (rep, n, at, h): the shingles of each set that a link's first common shingle can be, with their places."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -365,13 +374,16 @@ def _groups_joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
 
 
-def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int, rest: DataFrame | None = None) -> DataFrame:
-    """Groups joined by all links of ``rest`` and between documents of crowded regions, where not every pair was a candidate."""
-    found = _unmet(docs, reps, pairs, groups, size, share)
-    more = [x for x in (rest, found) if x is not None and not x.isEmpty()]
-    if not more:
+def _joined_by(docs: DataFrame, groups: DataFrame, pairs: DataFrame | None, size: int, share: int, name: str) -> DataFrame:
+    """``groups`` joined by those of the ``pairs`` (a, b) that are links."""
+    if pairs is None or pairs.isEmpty():
         return groups
-    return _groups_joined(groups, compared(docs, more[0] if len(more) == 1 else more[0].unionByName(more[1]), size, share).where("link").select("a", "b"))
+    return settle(_groups_joined(groups, compared(docs, pairs, size, share).where("link").select("a", "b")), name, are_few(groups) and are_few(pairs))
+
+
+def _finish(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame:
+    """``groups`` joined by all links between documents of crowded regions, where not every pair was a candidate."""
+    return _joined_by(docs, groups, _unmet(docs, reps, pairs, groups, size, share), size, share, "groups")
 
 
 def _unmet(docs: DataFrame, reps: DataFrame, pairs: DataFrame, groups: DataFrame, size: int, share: int) -> DataFrame | None:
@@ -415,12 +427,13 @@ def _first_links(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> tu
     """Groups (node, component) by the links of each document to the smallest of its partners in ``pairs``, and the
     other pairs that may link and whose ends are in different groups; what is left out cannot change any group."""
     pairs = screened(docs, pairs, size, share)
-    first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    groups = settle(connected_components(compared(docs, first, size, share).where("link").select("a", "b")), "groups")
+    few = are_few(pairs)
+    first = settle(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs", few)
+    groups = settle(connected_components(compared(docs, first, size, share).where("link").select("a", "b")), "groups", few)
     rest = pairs.join(first, ["a", "b"], "left_anti")
     for c in "ab":
         rest = rest.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group")), c, "left")
-    return groups, settle(rest.where(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False))).select("a", "b"), "rest")
+    return groups, settle(rest.where(~F.coalesce(F.col("a_group") == F.col("b_group"), F.lit(False))).select("a", "b"), "rest", few)
 
 
 def near_duplicates(
@@ -461,7 +474,9 @@ def near_duplicates(
         sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "sets")
     pairs = settle(candidate_pairs(reps), "candidates")
     groups, rest = _first_links(rows, pairs, size, share)
-    groups = _finish(rows, reps, pairs, groups, size, share, rest)
+    # what these links join, the exact join does not meet: in a crowd it makes a row for each pair of groups and shingle
+    groups = _joined_by(rows, groups, rest, size, share, "groups")
+    groups = _finish(rows, reps, pairs, groups, size, share)
     classes = settle(
         reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "classes")

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablesense.llm import tokens
+from tablesense.llm.common import giving_back
 
 PIECES = "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -94,6 +95,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = PIECES.replace("id string", f"`{id_col}` {kind}")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bins = tokens.encoder(path), Bins(capacity, TaskContext.get().partitionId())
         names, id_type = None, None
