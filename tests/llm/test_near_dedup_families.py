@@ -101,3 +101,23 @@ def test_comparisons_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: min(k // 30 * 30, 300) for k, _ in rows}
     assert sum(sizes) <= 2 * len(rows)
+
+
+def test_links_left_from_first_comparisons_join_groups_before_the_exact_join(spark, monkeypatch):
+    """The exact join makes rows for documents of different groups only, so it is to meet groups that all links known so far have joined."""
+    text = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text + ["x"])), (3, "on its own")], "doc_id long, text string")
+    none, rest = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([(1, 2)], "a long, b long")
+    met, exact = [], near_dedup._unmet
+    monkeypatch.setattr(near_dedup, "_first_links", lambda *args: (none, rest))
+    monkeypatch.setattr(near_dedup, "_unmet", lambda docs, reps, pairs, groups, *more: met.append(groups.collect()) or exact(docs, reps, pairs, groups, *more))
+    got = near_dedup.near_duplicates(docs).collect()
+    assert [{r.node: r.component for r in x} for x in met] == [{1: 1, 2: 1}]
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_blocks_join_each_end_of_a_pair_once(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    blocks = near_dedup._blocks(pairs)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    assert blocks.count() == len({(r.rep, r.block, r.role) for r in blocks.collect()}) == 100
